@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secret_scan, shingle_join, token_counts
+from . import kd_shards, packing, secret_scan, shingle_join, token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,17 +21,33 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=2048)
+    return packing.pack(pieces, capacity=2048)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
 
 
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By length, source and language, 24 leaves of near-equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    top = (1 << 20) - 1
+    dimensions = [F.least(F.length("text"), F.lit(top)), F.pmod(F.xxhash64("source"), F.lit(1 << 20)), F.pmod(F.xxhash64("lang"), F.lit(1 << 20))]
+    found = kd_shards.kd_shards(docs, dimensions, shards=24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_counts": op6_token_counts,
+    "op8_kd_shards": op8_kd_shards,
     "op10_secret_scans": op10_secret_scans,
 }
 
