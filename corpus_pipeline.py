@@ -2,12 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.llm import mixing, packing, quality, secret_scan, shingle_join
 from weftline.llm.common import cut
+from weftline.llm.queries import TOKENIZER, mix_path, mix_weights
 
-STAGES: list = []
+#: The words of the mix, as a part of those that reach it. Below 1, so that target weights can be met without repeats.
+MIX_SHARE = 0.8
 
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the classifier rejects."""
+    return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest doc_id stays."""
+    groups = shingle_join.jaccard_components(docs).where("component_id <> doc_id").select("doc_id")
+    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked, and n_chars follows."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights, each document once at most."""
+    return mixing.mix_sources(docs, mix_path(), mix_weights(), share=MIX_SHARE, seed=1).select(*docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path(TOKENIZER), capacity=packing.CAPACITY)
+    return packing.pack(pieces, capacity=packing.CAPACITY)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("secret scans", without_secrets),
+    ("mixing sources to target weights", mixed),
+    ("best-fit packing", sequences),
+]
+
+#: The classifier and the tokenizer are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
