@@ -16,7 +16,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -26,35 +26,29 @@ _STEP = 10  # bits of the ordering that one pass looks at
 _BITS = 50  # of the ordering: 20 of a dimension, 30 of the hash
 
 
-def _cut_nodes(rows: DataFrame, wanted: dict[int, tuple[int, float]]) -> dict[int, int]:
-    """For each node of ``wanted`` (dimension, bytes on the left): the code of the ordering at which its right side begins."""
-    code = F.lit(None).cast("long")
-    for node, (d, _) in wanted.items():
-        code = F.when(F.col("node") == node, F.shiftleft(F.col(f"d{d}"), 30).bitwiseOR(F.col("tie"))).otherwise(code)
-    coded = rows.select("node", "size", code.alias("code")).where("code is not null")
-    prefix, before = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 0)
+def _of(values: list, node: Column) -> Column:
+    """``values[node]``, as an array literal."""
+    return F.element_at(F.array(*(F.lit(v) for v in values)), node + 1)
+
+
+def _cut_nodes(coded: DataFrame, goals: list[float]) -> list[int]:
+    """For each node (0 to len(goals) - 1) the code at which its right side begins, so that the left one has about ``goals[node]`` bytes."""
+    prefix, before, at = [0] * len(goals), [0] * len(goals), [0] * len(goals)
     for shift in range(_BITS - _STEP, -1, -_STEP):
-        within = F.lit(False)
-        for node in wanted:
-            within = within | ((F.col("node") == node) & (F.shiftright("code", shift + _STEP) == prefix[node]))
-        cells = coded.where(within).groupBy("node", F.shiftright("code", shift).alias("cell")).agg(F.sum("size").alias("size"))
-        sums: dict[int, list[tuple[int, int]]] = {n: [] for n in wanted}
+        within = coded.where(F.shiftright("code", shift + _STEP) == _of(prefix, F.col("node")).cast("long"))
+        cells = within.groupBy("node", F.shiftright("code", shift).alias("cell")).agg(F.sum("size").alias("size"))
+        sums: list[list[tuple[int, int]]] = [[] for _ in goals]
         for r in cells.collect():  # at most 2**_STEP cells for each of the nodes
             sums[r["node"]].append((r["cell"], r["size"]))
-        for node, (_, goal) in wanted.items():
+        for node, goal in enumerate(goals):
             have = before[node]
-            chosen = None
             for cell, size in sorted(sums[node]):
-                chosen = cell
-                if have + size > goal:
-                    break
+                prefix[node], before[node] = cell, have
                 have += size
-            else:
-                if chosen is not None:
-                    have -= size
-            if chosen is not None:
-                prefix[node], before[node] = chosen, have
-    return prefix
+                at[node] = cell if goal - before[node] <= have - goal else cell + 1
+                if have > goal:
+                    break
+    return at
 
 
 def kd_shards(docs: DataFrame, dimensions: list[Column], *, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,37 +60,39 @@ def kd_shards(docs: DataFrame, dimensions: list[Column], *, shards: int, key: st
         F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(11), content), 34).alias("tie"),
         *(F.coalesce(d.cast("long"), F.lit(0)).alias(n) for d, n in zip(dimensions, names)),
     )
-    rows = cut(table, "metadata").withColumn("node", F.lit(1).cast("long"))
-    leaves = {1: shards}
-    number: dict[int, int] = {}
+    # node: its number among those of the level that are not leaves yet; leaves have -1 - shard
+    rows = cut(table, "metadata").withColumn("node", F.lit(0 if shards > 1 else -1))
+    leaves, done = ([shards], 0) if shards > 1 else ([], 1)
     spread: list[float] | None = None
-    while True:
-        number |= {n: len(number) + i for i, n in enumerate(n for n, k in leaves.items() if k == 1)}
-        leaves = {n: k for n, k in leaves.items() if k > 1}
-        if not leaves:
-            break
+    while leaves:
         weight = F.col("size").cast("double")
         moments = [f for n in names for f in (F.sum(weight * F.col(n)).alias(f"m_{n}"), F.sum(weight * F.col(n) * F.col(n)).alias(f"s_{n}"))]
-        found = rows.where(F.col("node").isin([*leaves])).groupBy("node").agg(F.sum("size").alias("size"), *moments).collect()
-        wanted: dict[int, tuple[int, float]] = {}
-        for r in sorted(found, key=lambda r: r["node"]):
+        found = {r["node"]: r for r in rows.where("node >= 0").groupBy("node").agg(F.sum("size").alias("size"), *moments).collect()}
+        widest, goals = [0] * len(leaves), [0.0] * len(leaves)
+        for node, r in sorted(found.items()):
             own = [max(0.0, r[f"s_{n}"] / r["size"] - (r[f"m_{n}"] / r["size"]) ** 2) ** 0.5 for n in names]
             spread = spread or own
             relative = [a / b if b else 0.0 for a, b in zip(own, spread)]
-            k = leaves[r["node"]]
-            wanted[r["node"]] = (relative.index(max(relative)), r["size"] * (k // 2) / k)
-        at = _cut_nodes(rows, wanted) if wanted else {}
-        node = F.col("node")
-        split = node
-        for n, (d, _) in wanted.items():
-            code = F.shiftleft(F.col(f"d{d}"), 30).bitwiseOR(F.col("tie"))
-            split = F.when(node == n, F.when(code < at[n], 2 * n).otherwise(2 * n + 1)).otherwise(split)
-        rows = rows.withColumn("node", split)
-        leaves = {c: j for n, k in leaves.items() for c, j in ((2 * n, k // 2), (2 * n + 1, k - k // 2))}
-    shard = F.lit(None).cast("int")
-    for n, i in number.items():
-        shard = F.when(F.col("node") == n, i).otherwise(shard)
-    return numbered(rows.select("key", "size", "text_crc32", "tie", shard.alias("shard"))).withColumnRenamed("key", key)
+            widest[node] = relative.index(max(relative))
+            goals[node] = r["size"] * (leaves[node] // 2) / leaves[node]
+        dimension = F.element_at(F.array(*names), _of(widest, F.col("node")) + 1)
+        code = F.when(F.col("node") >= 0, F.shiftleft(dimension, 30).bitwiseOR(F.col("tie")))
+        coded = rows.select("*", code.alias("code"))
+        at = _cut_nodes(coded.where("node >= 0").select("node", "size", "code"), goals)
+        sides: list[list[int]] = [[], []]
+        following: list[int] = []
+        for k in leaves:
+            for side, part in enumerate((k // 2, k - k // 2)):
+                if part == 1:
+                    done += 1
+                    sides[side].append(-done)
+                else:
+                    sides[side].append(len(following))
+                    following.append(part)
+        split = F.when(F.col("code") < _of(at, F.col("node")).cast("long"), _of(sides[0], F.col("node"))).otherwise(_of(sides[1], F.col("node")))
+        rows = cut(coded.withColumn("node", F.when(F.col("node") >= 0, split).otherwise(F.col("node"))).drop("code"), "kd_level")
+        leaves = following
+    return numbered(rows.select("key", "size", "text_crc32", "tie", (-1 - F.col("node")).cast("int").alias("shard"))).withColumnRenamed("key", key)
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -105,8 +101,6 @@ def numbered(rows: DataFrame) -> DataFrame:
     parts = max(1, rows.count() // LEAF_ROWS)
     part = F.floor(F.col("tie") * parts / (1 << 30)).cast("long")
     rows = rows.withColumn("part", part)
-    from pyspark.sql import Window
-
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")
     own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("tie", "key")) - 1
