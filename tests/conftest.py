@@ -1,3 +1,4 @@
+import os
 import sys
 import tempfile
 from pathlib import Path
@@ -5,21 +6,34 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = Path(__file__).resolve().parent.parent
+sys.path.insert(0, str(ROOT))
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (str(ROOT), os.environ.get("PYTHONPATH")) if x)
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-test-"))
+        .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-local-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-wh-"))
+        .config("spark.driver.extraJavaOptions", f"-Dderby.system.home={tempfile.mkdtemp(prefix='spark-derby-')}")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def sf():
+    """The smallest of the driver's tables."""
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).is_dir():
+        pytest.skip("no test tables here")
+    return folder

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .keys import normal_name
 
@@ -24,7 +25,7 @@ def question_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), BETWEEN), lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(c: pd.Series) -> pd.Series:
     """NFC, the one scalar that Spark lacks."""
     return c.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

@@ -42,7 +42,7 @@ def pivot(rows: DataFrame, key: list[str], name: str, value: str, names: list[st
 
 def unpivot(rows: DataFrame, key: list[str], columns: list[str], name: str, value: str, *, keep_nulls: bool = True, keep_blanks: bool = True) -> DataFrame:
     """RSH-01 to RSH-03, SRC-12, SRC-13."""
-    out = rows.unpivot(key, columns, name, value)
+    out = rows.unpivot([F.col(f"`{c}`") for c in key], [F.col(f"`{c}`") for c in columns], name, value)
     if not keep_nulls:
         out = out.where(F.col(value).isNotNull())
     return out if keep_blanks else out.where(F.trim(F.coalesce(F.col(value).cast("string"), F.lit(""))) != "")

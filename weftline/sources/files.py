@@ -133,7 +133,7 @@ def read_copy_numbers(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path} has no Hugo_Symbol column")
     hugo, entrez = low["hugo_symbol"], low.get("entrez_gene_id")
     samples = [c for c in wide.columns if c not in (hugo, entrez)]
-    gene = wide.select(F.col(hugo).alias("hugo_symbol"), (F.col(entrez) if entrez else F.lit("")).alias("entrez_gene_id"), *(F.col(f"`{c}`") for c in samples))
+    gene = wide.select(F.col(f"`{hugo}`").alias("hugo_symbol"), (F.col(f"`{entrez}`") if entrez else F.lit("")).alias("entrez_gene_id"), *(F.col(f"`{c}`") for c in samples))
     long = unpivot(gene, ["hugo_symbol", "entrez_gene_id"], samples, "sample_id", "cna_value")
     return long.select("sample_id", "hugo_symbol", "entrez_gene_id", F.nullif(F.trim("cna_value"), F.lit("")).alias("cna_value"))
 

@@ -1,7 +1,8 @@
 """Writes that can be repeated.
 
-Parquet has no updates, so a keyed or scoped write makes the whole new table from the stored one and swaps it in; partitions of other
-scopes are left alone where the table is partitioned by its scope.
+A scoped write replaces the partition of its scope and touches no other; an empty one drops it, which an overwrite alone would
+not. Parquet has no updates, so a keyed write makes the whole new table from the stored one and swaps it in. Sessions that have read a
+table before refresh it to see the new one.
 """
 
 from __future__ import annotations
@@ -13,37 +14,50 @@ from weftline.operators import ranked
 
 
 def stored(spark: SparkSession, name: str, like: DataFrame) -> DataFrame:
-    return spark.read.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], like.schema)
+    if not spark.catalog.tableExists(name):
+        return spark.createDataFrame([], like.schema)
+    spark.catalog.refreshTable(name)
+    return spark.read.table(name)
 
 
-def _swap(spark: SparkSession, name: str, rows: DataFrame, partition: list[str] | None = None) -> None:
-    """Write beside the table, then take its place; a reader sees the old or the new one."""
+def swap(spark: SparkSession, name: str, rows: DataFrame) -> None:
+    """Write beside the table, then take its place."""
     beside = f"{name}__next"
     spark.sql(f"DROP TABLE IF EXISTS {beside}")
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(*partition) if partition else writer).saveAsTable(beside)
+    rows.write.mode("overwrite").saveAsTable(beside)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
+    spark.catalog.refreshTable(name)
 
 
 def write_table(spark: SparkSession, name: str, rows: DataFrame, comments: dict[str, str] | None = None) -> None:
     """SNK-01, SNK-13, SNK-17: the table anew, with comments on its columns."""
     notes = comments or {}
-    _swap(spark, name, rows.select(*(F.col(f"`{c}`").alias(c, metadata={"comment": notes[c]}) if c in notes else F.col(f"`{c}`") for c in rows.columns)))
+    swap(spark, name, rows.select(*(F.col(f"`{c}`").alias(c, metadata={"comment": notes[c]}) if c in notes else F.col(f"`{c}`") for c in rows.columns)))
 
 
-def write_scope(spark: SparkSession, name: str, rows: DataFrame, scope: dict[str, object]) -> int:
-    """SNK-09 to SNK-11: the rows of a scope are replaced, also by none. Returns how many rows the scope has then."""
-    _swap(spark, name, ranked.replace_scope(stored(spark, name, rows), rows, scope), list(scope))
-    inside = spark.read.table(name)
+def write_scope(spark: SparkSession, name: str, rows: DataFrame, scope: dict[str, str]) -> int:
+    """SNK-09 to SNK-11: the rows of a scope are replaced, also by none. Returns how many rows the scope has then.
+
+    The table is partitioned by the scope's columns, in their order; rows outside the scope are an error of the caller and are left out.
+    """
+    mine = F.lit(True)
     for c, v in scope.items():
-        inside = inside.where(F.col(c).eqNullSafe(F.lit(v)))
-    return inside.count()
+        mine = mine & (F.col(c) == v)
+    inside = rows.where(mine)
+    if not spark.catalog.tableExists(name):
+        inside.write.partitionBy(*scope).saveAsTable(name)
+    elif inside.isEmpty():
+        where = ", ".join(f"{c} = '{v.replace(chr(39), chr(92) + chr(39))}'" for c, v in scope.items())
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({where})")
+    else:
+        inside.select(*spark.read.table(name).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+    return spark.read.table(name).where(mine).count()
 
 
 def write_upsert(spark: SparkSession, name: str, rows: DataFrame, key: list[str], order: list[Column]) -> None:
     """SNK-14."""
-    _swap(spark, name, ranked.upsert(stored(spark, name, rows), rows, key, order))
+    swap(spark, name, ranked.upsert(stored(spark, name, rows), rows, key, order))
 
 
 def write_once(spark: SparkSession, name: str, rows: DataFrame, key: list[str], order: list[Column]) -> None:

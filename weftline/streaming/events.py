@@ -17,7 +17,7 @@ def follow_status(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery
         spark = batch.sparkSession
         last = latest(batch, ["id"], [F.col("seq")])
         old = sinks.stored(spark, table, batch)
-        sinks._swap(spark, table, latest(old.unionByName(last), ["id"], [F.col("seq")]))
+        sinks.swap(spark, table, latest(old.unionByName(last), ["id"], [F.col("seq")]))
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
