@@ -130,7 +130,7 @@ def orphan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.orphan_nodes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), [_edges(spark, sf_dir)], "id")
 
 
-_USED = "used AS (SELECT DISTINCT event_type || '-' || (event_id % 50) AS vocabulary, 's' || (event_id % 7) AS source_schema, event_id % 3 = 0 AS current FROM events WHERE event_id < 400)"
+_USED = "used AS (SELECT DISTINCT event_type || '-' || (event_id % 50) AS vocabulary, 's' || (event_id % 50 % 7) AS source_schema, event_id % 50 % 4 = 0 AS current FROM events)"
 
 
 @query(f"""WITH {_USED}, whole(s) AS (VALUES ('s0'), ('s1'), ('s2'), ('s3'), ('s5'), ('s6')) SELECT DISTINCT vocabulary FROM used u WHERE NOT current AND NOT EXISTS (SELECT 1 FROM used x WHERE x.vocabulary = u.vocabulary AND x.current)
@@ -138,7 +138,7 @@ _USED = "used AS (SELECT DISTINCT event_type || '-' || (event_id % 50) AS vocabu
 def stale_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF-10, JOIN-29, SET-05."""
     i = F.col("event_id")
-    used = table(spark, sf_dir, "events").where("event_id < 400").select(F.concat_ws("-", "event_type", (i % 50).cast("string")).alias("vocabulary"), F.concat(F.lit("s"), (i % 7).cast("string")).alias("source_schema"), (i % 3 == 0).alias("current")).distinct()
+    used = table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", (i % 50).cast("string")).alias("vocabulary"), F.concat(F.lit("s"), (i % 50 % 7).cast("string")).alias("source_schema"), (i % 50 % 4 == 0).alias("current")).distinct()
     schemas = spark.createDataFrame([(f"s{n}",) for n in range(7)], "source_schema string")
     return graph.stale_vocabularies(used.select("vocabulary").distinct(), used, schemas, schemas.where("source_schema = 's4'"))
 
