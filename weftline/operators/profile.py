@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import keys
@@ -73,11 +73,10 @@ def shared_columns(columns: DataFrame) -> DataFrame:
 
 def key_evidence(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """One row: n_child, n_met, n_parent, n_parent_rows: distinct values of both columns and how many of the child's the parent has (AGG-30, AGG-31)."""
-    own = child.select(F.col(child_column).cast("string").alias("v")).where("v is not null").distinct()
+    own = child.select(F.col(child_column).cast("string").alias("v")).where("v is not null").distinct().withColumn("c", F.lit(1))
     theirs = parent.select(F.col(parent_column).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    met = own.join(theirs.select("v", F.lit(1).alias("met")), "v", "left").agg(F.count("*").alias("n_child"), F.count("met").alias("n_met"))
-    whole = theirs.agg(F.count("*").alias("n_parent"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_parent_rows"))
-    return met.join(F.broadcast(whole))  # one row each
+    met = own.join(theirs, "v", "full_outer")
+    return met.agg(F.count("c").alias("n_child"), F.count(F.when(F.col("n").isNotNull(), F.col("c"))).alias("n_met"), F.count("n").alias("n_parent"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_parent_rows"))
 
 
 def key_tier(evidence: DataFrame) -> DataFrame:
@@ -99,8 +98,8 @@ def domain_weights(columns: DataFrame) -> DataFrame:
     names = tables.unionAll(columns.select(F.col("column").alias("name"))).unionAll(columns.select("table"))
     words = names.select(F.explode(keys.name_tokens(F.col("name"))).alias("word"))
     counts = words.join(F.broadcast(domain_words(columns.sparkSession)), "word").groupBy("domain").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select("domain", "n", F.round(F.col("n") / F.col("total"), 2).alias("weight"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over one row for each domain
+    return counts.select("domain", "n", F.round(F.col("n") / total, 2).alias("weight"))
 
 
 def domain_confidence(top: Column) -> Column:

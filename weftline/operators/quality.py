@@ -34,8 +34,8 @@ def null_rate(staged: DataFrame) -> DataFrame:
 
 def key_accounting(source: DataFrame, written: DataFrame, key: str) -> DataFrame:
     """One row: written + missing == source (QA-06, QA-01)."""
-    n = source.agg(F.count("*").alias("source_rows"), F.count_if(keys.is_blank(F.col(key).cast("string"))).alias("missing_rows"))
-    both = n.join(F.broadcast(written.agg(F.count("*").alias("written_rows"))))
+    marks = source.select(F.lit("s").alias("side"), keys.is_blank(F.col(key).cast("string")).alias("blank")).unionByName(written.select(F.lit("w").alias("side"), F.lit(False).alias("blank")))
+    both = marks.agg(F.count_if(F.col("side") == "s").alias("source_rows"), F.count_if("blank").alias("missing_rows"), F.count_if(F.col("side") == "w").alias("written_rows"))
     return both.withColumn("passed", F.col("written_rows") + F.col("missing_rows") == F.col("source_rows"))
 
 

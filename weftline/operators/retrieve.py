@@ -13,11 +13,15 @@ from weftline.operators.ranked import number, pick
 def lexical_seeds(questions: DataFrame, nodes: DataFrame, k: int | None = None) -> DataFrame:
     """(question_id, label, name, n_tokens, score, match): nodes whose name holds a word of the question (VEC-05, FN-13, FN-15).
 
-    questions: question_id, question; nodes: label, name, confidence. Questions are few; their words go to all tasks and
-    every node is looked at once.
+    questions: question_id, question, those of one request: their words come to the driver and go with the plan, so every node is
+    looked at once and nothing is joined. nodes: label, name, confidence.
     """
-    words = questions.select("question_id", F.explode(F.array_distinct(question_tokens(F.col("question")))).alias("token"))
-    met = nodes.join(F.broadcast(words), F.contains(F.lower(nodes["name"]), words["token"]))
+    words = questions.select("question_id", F.explode(F.array_distinct(question_tokens(F.col("question")))).alias("token")).collect()
+    kind = questions.schema["question_id"].dataType
+    asked = F.array(*(F.struct(F.lit(w["question_id"]).cast(kind).alias("question_id"), F.lit(w["token"]).alias("token")) for w in words))
+    if not words:
+        asked = F.array().cast(f"array<struct<question_id:{kind.simpleString()},token:string>>")
+    met = nodes.select("*", F.explode(F.filter(asked, lambda w: F.contains(F.lower(F.col("name")), w["token"]))).alias("w")).select("*", "w.question_id")
     hits = met.groupBy("question_id", "label", "name", "confidence").agg(F.count("*").alias("n_tokens"))
     out = hits.withColumns({"score": F.lit(1.0), "match": F.lit("lexical_exact")})
     return out if k is None else number(out, ["question_id"], [F.desc("n_tokens"), F.asc("label"), F.asc("name")], "_n", k).drop("_n")
@@ -67,9 +71,9 @@ def context(entities: DataFrame, joins: DataFrame, values: DataFrame, most_entit
     return e.join(j, "question_id", "left").join(v, "question_id", "left")
 
 
-def suggestions(wrong: DataFrame, known: DataFrame, k: int = 3) -> DataFrame:
-    """(wrong, known, distance, n): the k names nearest by edits (FN-22, SRT-06). Known names are a catalog's; wrong ones are few."""
-    met = known.join(F.broadcast(wrong), F.lit(True)).withColumn("distance", F.levenshtein(F.lower("wrong"), F.lower("known")))
+def suggestions(wrong: list[str], known: DataFrame, k: int = 3) -> DataFrame:
+    """(wrong, known, distance, n): the k names nearest by edits (FN-22, SRT-06). ``wrong``: the names of one query, which go with the plan."""
+    met = known.select("known", F.explode(F.array(*map(F.lit, wrong))).alias("wrong")).withColumn("distance", F.levenshtein(F.lower("wrong"), F.lower("known")))
     return number(met, ["wrong"], [F.asc("distance"), F.asc("known")], "n", k)
 
 

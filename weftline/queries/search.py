@@ -119,7 +119,7 @@ _WRONG = ["CANDA", "germny", "Untied States", "x"]
     (SELECT wrong, n_name AS known, levenshtein(lower(wrong), lower(n_name))::INT AS distance FROM nation, w)) WHERE n <= 3""")
 def edit_distance_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-22, SRT-06."""
-    return retrieve.suggestions(spark.createDataFrame([(x,) for x in _WRONG], "wrong string"), table(spark, sf_dir, "nation").select(F.col("n_name").alias("known")))
+    return retrieve.suggestions(_WRONG, table(spark, sf_dir, "nation").select(F.col("n_name").alias("known")))
 
 
 _ASKED = [("orders", "customer_id"), ("orders", "gone"), ("nowhere", "id"), ("nowhere", None), ("part", None)]
