@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -91,7 +92,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _round(capacity: int, last: bool):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         """Places each item (item, length) of the group in a bin. A bin is named by its first item; ``done``: whether it is emitted."""
         rows = rows.sort_values("item", kind="stable")
         items = rows["item"].to_numpy()
