@@ -9,8 +9,10 @@ n - T + 1 short lists at least. So
    it. Only their order matters (short before long), and all documents use the same one, so no pair can be missed;
 2. only the short lists of each document are written as postings. Lists of one entry are dropped. Equal sets are one node;
 3. merging: the postings are joined on the shingle, and a pair is kept if the positions at which it meets leave room for
-   the overlap. Pairs first go through the head of each list only (a group of many near copies collapses to its heads);
-   the remaining pairs are merged in full, but only between documents that are not yet connected;
+   the overlap. A few rounds first pair the documents of each list with one head only, drawn anew in each round (most of a
+   group of many near copies gets connected at the cost of one pair a document); the remaining pairs are merged in full, but
+   only between documents that are not yet connected, and only where a pair meets first: a posting also has the shingle
+   before it, and a pair with the same one has met there;
 4. probing: for each pair left, the rest of the smaller set is looked up by binary search in the sorted larger one, and
    the pair is kept if the overlap reaches the need.
 
@@ -39,6 +41,9 @@ SIMILARITY = (3, 4)  # as a fraction, so that all comparisons are exact
 #: The long lists that are told apart. A bound on what is broadcast (8 bytes each); longer or shorter never changes the result.
 LONG_LISTS = 100_000
 
+#: Rounds of pairs with heads. More or fewer never change the result.
+HEAD_ROUNDS = 3
+
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _LOW = np.uint64((1 << 48) - 1)
 _LONG = 1 << 62
@@ -114,10 +119,10 @@ def _survey(key: str):
 
 def _postings(long_tokens: np.ndarray, long_rank: np.ndarray, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The short lists of each set: (slot, node, meta). A set that the task has met before is left out.
+        """The short lists of each set: (slot, node, meta, before). A set that the task has met before is left out.
 
         slot: the token; for a long list that is in a short part all the same, also ``_LONG`` and some bits of the node, which
-        spread the list. meta: n and the position.
+        spread the list. meta: n and the position. before: the token at the position before, -1 at the first.
         """
         seen: set[int] = set()
         for batch in batches:
@@ -135,9 +140,10 @@ def _postings(long_tokens: np.ndarray, long_rank: np.ndarray, num: int, den: int
                 pos = np.arange(len(token)) - at[row]
                 keep = (pos < (n - (num * n + den - 1) // den + 1)[row]) & new[row]
                 took = order[keep]
+                before = np.where(pos > 0, token[np.concatenate((order[:1], order[:-1]))], -1)[keep]
                 own = node[row[keep]]
                 slot = np.where(rank[took] > 0, token[took] | _LONG | ((own & 63) << 48), token[took])
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(own), pa.array(n[row[keep]] << 32 | pos[keep])], ["slot", "node", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(own), pa.array(n[row[keep]] << 32 | pos[keep]), pa.array(before)], ["slot", "node", "meta", "before"])
 
     return run
 
@@ -200,29 +206,31 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     by_token = np.argsort(common["token"].to_numpy(np.int64), kind="stable")
     tokens = common["token"].to_numpy(np.int64)[by_token]
 
-    postings = keyed.mapInArrow(_postings(tokens, ranks[by_token].astype(np.int64), num, den), "slot long, node long, meta long")
+    postings = keyed.mapInArrow(_postings(tokens, ranks[by_token].astype(np.int64), num, den), "slot long, node long, meta long, before long")
     whole = Window.partitionBy("slot")
     several = postings.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where((F.col("low") != F.col("high")) | (F.col("slot") >= _LONG))
-    columns = ["token", "node", "n", "pos"]
-    lists = several.select(F.col("slot").bitwiseAND((1 << 48) - 1).alias("token"), "node", F.shiftright("meta", 32).cast("int").alias("n"), F.col("meta").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"))
-    lists = cut(lists.distinct(), "lists")
-
-    heads = lists.groupBy("token").agg(F.min(F.struct("n", "node", "pos")).alias("h"))
-    first = lists.join(heads, "token").where(F.col("node") != F.col("h.node"))
-    first = first.where(_room(num, den, F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
-    first = cut(first.select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct(), "head_pairs")
+    columns = ["token", "node", "n", "pos", "before"]
+    lists = several.select(F.col("slot").bitwiseAND((1 << 48) - 1).alias("token"), "node", F.shiftright("meta", 32).cast("int").alias("n"), F.col("meta").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), "before")
+    labelled = cut(lists.distinct().withColumn("c", F.col("node")), "lists")
 
     holders = documents.where("n > 0").groupBy("node").agg(F.min("key").alias("key"))
-    links = _verified(first, keyed, holders, similarity, "head")
-    groups = cut(components(links, name="head_components"), "groups")
+    links = tried = None
+    for r in range(HEAD_ROUNDS):
+        heads = labelled.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("draw"), "node", "n", "pos", "c")).alias("h"))
+        met = labelled.join(heads, "token").where((F.col("c") != F.col("h.c")) & _room(num, den, F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
+        pairs = met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "head_pairs")
+        found = _verified(pairs, keyed, holders, similarity, "head")
+        links, tried = (found, pairs) if links is None else (links.union(found), tried.union(pairs))
+        labelled = _relabelled(labelled, columns, links)
+        if labelled.isEmpty():  # all that meet are connected
+            break
 
-    labelled = lists.join(groups, lists.node == groups.id, "left").select(*columns, F.coalesce("component", "node").alias("c"))
-    open_lists = labelled.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
-    labelled = cut(labelled.join(open_lists, "token", "left_semi"), "open_lists")
     x, y = labelled.alias("x"), labelled.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+    meet &= (F.col("x.before") != F.col("y.before")) | (F.col("x.before") < 0)
     meet &= _room(num, den, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    rest = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = cut(rest, "rest_pairs")
     more = _verified(rest, keyed, holders, similarity, "rest")
 
@@ -237,6 +245,14 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
 
 
+def _relabelled(labelled: DataFrame, columns: list[str], links: DataFrame) -> DataFrame:
+    """The lists with the component of each node as ``c``, without lists that have one component only."""
+    groups = cut(components(links, name="head_components"), "groups")
+    rows = labelled.select(*columns).join(groups, F.col("node") == groups.id, "left").select(*columns, F.coalesce("component", "node").alias("c"))
+    open_lists = rows.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
+    return cut(rows.join(open_lists, "token", "left_semi"), "open_lists")
+
+
 def _verified(pairs: DataFrame, keyed: DataFrame, holders: DataFrame, similarity: tuple[int, int], name: str) -> DataFrame:
     """The pairs (a, b) of nodes whose sets overlap enough. Only the texts of nodes in a pair are read for their sets."""
     wanted = cut(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node")), f"{name}_nodes")
