@@ -60,7 +60,7 @@ def test_jaccard_components(spark):
     assert got == {i: (sizes[i], least[i]) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("setting", [("HEAD_ROUNDS", 1), ("LONG_LISTS", 3)])
+@pytest.mark.parametrize("setting", [("HEAD_ROUNDS", (1,)), ("LONG_LISTS", 3)])
 def test_settings_change_nothing(spark, monkeypatch, setting):
     monkeypatch.setattr(shingle_join, *setting)
     texts = texts_with_copies()[:140]

@@ -9,8 +9,8 @@ n - T + 1 short lists at least. So
    it. Only their order matters (short before long), and all documents use the same one, so no pair can be missed;
 2. only the short lists of each document are written as postings. Lists of one entry are dropped. Equal sets are one node;
 3. merging: the postings are joined on the shingle, and a pair is kept if the positions at which it meets leave room for
-   the overlap. A few rounds first pair the documents of each list with one head only, drawn anew in each round (most of a
-   group of many near copies gets connected at the cost of one pair a document); the remaining pairs are merged in full, but
+   the overlap. A few rounds first pair the documents of each list with one head or a few, drawn anew in each round (most of a
+   group of many near copies gets connected at the cost of a few pairs a document); the remaining pairs are merged in full, but
    only between documents that are not yet connected, and only where a pair meets first: a posting also has the shingle
    before it, and a pair with the same one has met there;
 4. probing: for each pair left, the rest of the smaller set is looked up by binary search in the sorted larger one, and
@@ -41,8 +41,8 @@ SIMILARITY = (3, 4)  # as a fraction, so that all comparisons are exact
 #: The long lists that are told apart. A bound on what is broadcast (8 bytes each); longer or shorter never changes the result.
 LONG_LISTS = 100_000
 
-#: Rounds of pairs with heads. More or fewer never change the result.
-HEAD_ROUNDS = 3
+#: Rounds of pairs with heads, and the heads that a list has in each. More or fewer never change the result.
+HEAD_ROUNDS = (1, 6, 6)
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _LOW = np.uint64((1 << 48) - 1)
@@ -215,8 +215,10 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     holders = documents.where("n > 0").groupBy("node").agg(F.min("key").alias("key"))
     links = tried = None
-    for r in range(HEAD_ROUNDS):
-        heads = labelled.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("draw"), "node", "n", "pos", "c")).alias("h"))
+    for r, draws in enumerate(HEAD_ROUNDS):
+        # heads are drawn by hashes of the node, so lists with the same documents have the same ones
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(r), F.lit(j)).alias("draw"), "node", "n", "pos", "c")) for j in range(draws)]
+        heads = labelled.groupBy("token").agg(F.array(*drawn).alias("hs")).select("token", F.explode("hs").alias("h"))
         met = labelled.join(heads, "token").where((F.col("c") != F.col("h.c")) & _room(num, den, F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
         pairs = met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "head_pairs")
