@@ -1,5 +1,7 @@
 """Matching, lifecycles, plug-ins and interpretation on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +20,14 @@ def test_closure(spark):
     assert match.closure(links.where("false")).count() == 0
 
 
+def test_closure_of_a_shuffled_chain(spark):
+    ids = random.Random(3).sample(range(10_000), 400)
+    links = spark.createDataFrame([*zip(ids, ids[1:]), (20_000, 20_001), (20_001, 20_002), (20_002, 20_000)], "a int, b int")
+    assert dict(rows(match.closure(links))) == {**dict.fromkeys(ids, min(ids)), **dict.fromkeys(range(20_000, 20_003), 20_000)}
+    named = spark.createDataFrame([("c", "b"), ("d", "c"), ("a", "d"), (None, "a"), ("x", "x")], "a string, b string")
+    assert dict(rows(match.closure(named))) == dict.fromkeys("abcd", "a")
+
+
 def test_blocks_skip_nulls_and_link_equal_texts_once(spark):
     t = spark.createDataFrame([(1, "b", "Anna"), (2, "b", "anna"), (3, "b", "anne"), (4, None, "anna"), (5, "b", None), (6, "c", "anna")], "id int, k string, name string")
     assert rows(match.by_score(t, "id", F.col("k"), "name", 0.7)) == [(1, 2, 1.0), (1, 3, 0.75)]
