@@ -20,9 +20,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id stays."""
-    groups = shingle_join.jaccard_components(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates, the document with the smallest doc_id stays; of rows with the same doc_id and text, one.
+
+    Rows without a doc_id get one by their text, above all others: they stay only if no row of their group has a doc_id, and once.
+    """
+    top = max(docs.agg(F.max("doc_id")).first()[0] or 0, 0)
+    made = F.lit(top + 1) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1)
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    groups = shingle_join.jaccard_components(named, key="_id").where("component_id <> _id").select("_id")
+    kept = named.join(groups, "_id", "left_anti")
+    again = cut(named.groupBy("_id").count().where("count > 1").select("_id"), "repeated_ids")
+    if not again.isEmpty():
+        kept = kept.join(again, "_id", "left_anti").unionByName(kept.join(again, "_id", "left_semi").dropDuplicates(["_id", "text"]))
+    return kept.select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from weftline.llm import cosine_dedup, shingle_join, topk_search
 from weftline.llm.components import components
 
@@ -69,6 +70,17 @@ def test_settings_change_nothing(spark, monkeypatch, setting):
     assert {r["doc_id"]: r["component_id"] for r in shingle_join.jaccard_components(table).collect()} == least
 
 
+def test_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, a + " z"), (None, b), (5, b + " z"), (7, c), (7, c), (8, c + " z"), (9, "one"), (9, "two"), (9, "three"), (9, "three")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in shingle_join.jaccard_components(table).collect()), key=repr)
+    assert got == sorted([(None, None)] * 2 + [(None, 5), (5, 5), (7, 7), (7, 7), (8, 7)] + [(9, 9)] * 4, key=repr)
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, table, "").collect()]
+    assert sorted(x for x in kept if x[0] is not None) == [(5, b + " z"), (7, c), (9, "one"), (9, "three"), (9, "two")]
+    assert len(kept) == 6 and {x[1] for x in kept if x[0] is None} <= {a, a + " z"}
+
+
 def test_no_documents(spark):
     assert shingle_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

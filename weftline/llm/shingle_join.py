@@ -20,7 +20,8 @@ Links between equal or connected documents need not be listed to get the compone
 
 Defined cases: null and empty texts, or texts without words, have an empty set and link with nothing; texts with fewer
 words than a shingle have one shingle, the whole sequence; equal doc_ids are one document only if their texts have equal
-sets, else their classes are joined; an empty table gives an empty result; extra columns are ignored.
+sets, else their classes are joined; rows with a null id are documents of their own, link like others, and have the least id
+that links reach, null if none of these has one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -236,8 +237,9 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     rest = cut(rest, "rest_pairs")
     more = _verified(rest, keyed, holders, similarity, "rest")
 
-    same = documents.where("n > 0").select("key", "node")
-    repeated = same.distinct().groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b")
+    same = documents.where("n > 0 and key is not null").select("key", "node").distinct()
+    several_sets = same.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("key", "a")
+    repeated = same.join(several_sets, "key").where("a != node").select("a", F.col("node").alias("b"))
     final = components(links.union(more).union(repeated), name="components")
     # a component's documents and the least key of each
     placed = documents.join(final, documents.node == final.id, "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c"))
@@ -260,6 +262,8 @@ def _verified(pairs: DataFrame, keyed: DataFrame, holders: DataFrame, similarity
     wanted = cut(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node")), f"{name}_nodes")
     chosen = holders.join(wanted, "node", "left_semi").select("key")
     texts = keyed.join(chosen, "key", "left_semi").select("text")
+    if not chosen.where("key is null").isEmpty():  # sets that only rows without a key have
+        texts = texts.union(keyed.where("key is null").select("text"))
     sets = texts.mapInArrow(_sets, "node long, tokens binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = cut(sets, f"{name}_sets")
     a, b = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
