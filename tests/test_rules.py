@@ -1,12 +1,14 @@
 """Matching, lifecycles, plug-ins and interpretation on small tables."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import interpret, lifecycle, match
+from weftline.operators import connect, interpret, lifecycle, match
 from weftline.plans import build, plugins
+from weftline.sources import staging
 
 
 def rows(df):
@@ -97,3 +99,25 @@ def test_build_a_graph(spark):
     assert joins.select("tier", "confidence").first() == (1, 0.95)
     g = build.materialise(cols, joins)
     assert (g.tables.count(), g.columns.count(), g.has_column.count(), g.joins.count()) == (2, 3, 3, 1) and build.orphans(g).count() == 0
+
+
+def test_closure_of_a_large_star(spark, monkeypatch):
+    """Dealt out in parts, a star's centre is many keys; the result is the same."""
+    monkeypatch.setattr(connect, "ARCS", 40)
+    links = spark.createDataFrame([*((0, i) for i in range(1, 300)), *((i, i + 1) for i in range(1000, 1040)), (299, 1040), (5000, 5001)], "a int, b int")
+    want = dict.fromkeys([*range(300), *range(1000, 1041)], 0) | {5000: 5000, 5001: 5000}
+    assert dict(rows(match.closure(links))) == want
+
+
+def test_closure_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(connect, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        match.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5)], "a int, b int"))
+
+
+def test_steps_leave_only_what_the_result_reads(spark):
+    steps = staging.Steps(spark)
+    kept, other = (steps.cut(spark.range(3).toDF("x"), n) for n in ("kept", "other"))
+    path = other.inputFiles()[0].removeprefix("file://")
+    steps.finish(kept)
+    assert kept.count() == 3 and not Path(path).parent.exists()

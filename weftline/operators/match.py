@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import keys
+from weftline.operators.connect import components
 
 
 def by_hash(records: DataFrame, parts: list[str]) -> DataFrame:
@@ -42,29 +41,6 @@ def shared_key_links(records: DataFrame, key: str, parts: list[str]) -> DataFram
     return named.join(first, ["k", "v"]).where("a <> b").select("a", "b").distinct()
 
 
-def _least(arcs: DataFrame) -> DataFrame:
-    """(u, m): for each node u of arcs (u, v), the least of its neighbours and itself."""
-    return arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-
-
 def closure(links: DataFrame) -> DataFrame:
-    """(id, entity): the least id that links reach, for ids with a link (GRAPH_CLOSURE, MULTI_KEY_UNION).
-
-    Alternating stars: first each node links its larger neighbours, then its smaller ones and itself, to the least id among its neighbours
-    and its own. Roots are hooked too, so rounds do not grow with the length of a chain. They end when only stars are left, which is always
-    reached; there is no bound on them. ``checkpoint`` cuts the plan and survives lost executors.
-    """
-    spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    arcs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u > v").distinct().checkpoint()
-    while True:
-        ends = arcs.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(arcs.select("v", F.lit(0), F.lit(1)))
-        ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-        if ends.where("up > 1 or (up > 0 and down > 0)").isEmpty():
-            break
-        both = arcs.union(arcs.select("v", "u"))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.join(_least(large), "u")
-        arcs = low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct().checkpoint()
-    return arcs.select(F.col("u").alias("id"), F.col("v").alias("entity")).union(arcs.select("v", "v").distinct())
+    """(id, entity): the least id that links (a, b) reach, for ids with a link (GRAPH_CLOSURE, MULTI_KEY_UNION)."""
+    return components(links).withColumnRenamed("component", "entity")
