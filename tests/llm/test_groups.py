@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from weftline.operators.connect import components
 from weftline.llm import cosine_dedup, shingle_join, topk_search
-from weftline.llm.components import components
 
 
 def least_reachable(ids, links):
@@ -61,15 +61,43 @@ def test_jaccard_components(spark):
     assert got == {i: (sizes[i], least[i]) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("setting", [("HEAD_ROUNDS", (1,)), ("LONG_LISTS", 3)])
-def test_settings_change_nothing(spark, monkeypatch, setting):
-    monkeypatch.setattr(shingle_join, *setting)
+@pytest.mark.parametrize("settings", [{"HEAD_ROUNDS": (1,), "SENT_KEYS": -1}, {"HEAD_ROUNDS": (2,), "LONG_LISTS": 40, "PART": 2}])
+def test_settings_change_nothing(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(shingle_join, name, value)
     texts = texts_with_copies()[:140]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     _, least = brute_words(texts)
     assert {r["doc_id"]: r["component_id"] for r in shingle_join.jaccard_components(table).collect()} == least
 
 
+def test_short_names_of_sets_are_told_apart(spark):
+    """With 6 bits nearly all sets share their name with others."""
+    texts = texts_with_copies()
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, least = brute_words(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_components(table, name_bits=6).collect()}
+    assert got == {i: (sizes[i], least[i]) for i in range(len(texts))}
+
+
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_words_with_equal_polynomials_are_not_one(spark):
+    """Thue-Morse words and their complements have equal polynomials modulo 2**64 for any base."""
+    texts = [thue_morse(n, *ab) for n in (1024, 2048, 8192) for ab in ("ab", "ba", "xy", "yx")]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["n_shingles"], r["component_id"] == r["doc_id"]) for r in shingle_join.jaccard_components(table).collect()} == {(1, True)}
+
+
+def test_lists_are_divided_by_cost():
+    for n in range(1, 3000, 7):
+        need = shingle_join.need_of(n, (3, 4))
+        assert 0 <= shingle_join.long_lists(n, (3, 4), 10**6) <= shingle_join.long_lists(n, (3, 4), 2) <= need - 1
+    assert shingle_join.long_lists(4000, (3, 4), 10**6) < 2900
+
+
 def test_null_and_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(None, a), (None, a + " z"), (None, b), (5, b + " z"), (7, c), (7, c), (8, c + " z"), (9, "one"), (9, "two"), (9, "three"), (9, "three")]

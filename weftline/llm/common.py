@@ -1,55 +1,20 @@
-"""Shared helpers: tables written to the shared folder, Arrow text access, hashing of words."""
+"""Shared helpers: Arrow text access, hashing of words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from weftline.sources.staging import Steps, cut, new_path  # noqa: F401
 
 #: Bytes of text that the vectorised kernels look at together. Bounds the memory of a task.
 CHUNK_BYTES = 1 << 20
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    global _own_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="spark-weftline-")
-    return _own_dir
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}/{name}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    Cuts the lineage at a place that survives lost executors, gives the planner true sizes, and lets Spark drop the
-    shuffle files of the finished step at once.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+#: Values from which on a span is hashed on its own.
+LONG_SPAN = 256
 
 
 def text_chunks(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -102,7 +67,8 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit:
     """A 64-bit hash of each span ``values[start:end]`` (spans ascending and disjoint; values: uint64 codes).
 
     A polynomial modulo 2**64 from prefix sums, so the cost is a few vector operations per value. Spans of at most
-    ``limit`` values are worked on together.
+    ``limit`` values are worked on together. Long spans can be built so that such a polynomial is the same for any base
+    (from 1,024 values on), so spans of more than ``LONG_SPAN`` values have a cryptographic hash instead.
     """
     out = np.empty(len(starts), np.uint64)
     lo = 0
@@ -114,6 +80,9 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit:
         s, e = starts[lo:hi] - a, ends[lo:hi] - a
         out[lo:hi] = mix((prefix[e] - prefix[s]) * _power_table(_INVERSE, b - a + 1)[s] + (e - s).astype(np.uint64))
         lo = hi
+    for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(np.ascontiguousarray(values[starts[i] : ends[i]]).tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 

@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.connect import components
+
 from .common import cut
-from .components import components
 from .vectors import matrix, packed, unpacked
 
 SIMILARITY = 0.93
@@ -260,7 +261,7 @@ def cosine_components(table: DataFrame, *, key: str = "vec_id", vector: str = "e
     counts = found.select("node", F.col("links").alias("n")).unionByName(same.where("times > 1").select("node", (F.col("times") - 1).alias("n")))
     counts = counts.groupBy("node").agg(F.sum("n").alias("links"))
     pairs = found.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(members.select(F.col("id").alias("a"), F.col("node").alias("b")))
-    groups = components(pairs, name="vector_components")
+    groups = components(pairs)
     # what each id gets: its node's links; ids without any row here have none
     own = members.select("id", "node").distinct()
     ids = counts.select(F.col("node").alias("id"), "node").unionByName(own).distinct()

@@ -1,22 +1,28 @@
 """N-gram Jaccard join: T-occurrence search with divided lists.
 
-A document is the set of its distinct 5-word shingles (48-bit hashes; two sets of n shingles agree by chance in one with
-odds of n * n / 2**48). For a similarity t, a partner of a document with n shingles shares at least T = ceil(t * n) of
-them. DivideSkip parts the n inverted lists in the L = T - 1 longest and the rest: any partner must occur in one of the
-n - T + 1 short lists at least. So
+A document is the set of its distinct 5-word shingles (64-bit hashes). For a similarity t, a partner of a document with n shingles
+shares at least T = ceil(t * n) of them. DivideSkip parts the n inverted lists of a document in its L longest and the n - L short ones: a partner must
+occur T - L times in the short lists, and only such candidates are looked up in the long ones, by binary search. Here
 
 1. one pass finds the long lists: shingles that occur in several documents of a stretch of the input, added up over all of
-   it. Only their order matters (short before long), and all documents use the same one, so no pair can be missed;
-2. only the short lists of each document are written as postings. Lists of one entry are dropped. Equal sets are one node;
-3. merging: the postings are joined on the shingle, and a pair is kept if the positions at which it meets leave room for
-   the overlap. A few rounds first pair the documents of each list with one head or a few, drawn anew in each round (most of a
-   group of many near copies gets connected at the cost of a few pairs a document); the remaining pairs are merged in full, but
-   only between documents that are not yet connected, and only where a pair meets first: a posting also has the shingle
-   before it, and a pair with the same one has met there;
-4. probing: for each pair left, the rest of the smaller set is looked up by binary search in the sorted larger one, and
-   the pair is kept if the overlap reaches the need.
-
-Links between equal or connected documents need not be listed to get the components, so none is written twice.
+   it. Only their order matters (short before long), and all documents use the same one, so no pair can be missed. L follows
+   from the cost of a posting and of a step of a search, as ``long_lists`` says;
+2. of the short lists of a document, its first n - T + 1 are written as postings: no partner can miss all of these. Lists of
+   one entry are dropped where the postings meet. Equal sets are one node;
+3. candidates: a few rounds pair the documents of each list with one head or a few, drawn anew in each round (most of a
+   group of many near copies gets connected at the cost of a few pairs a document). All other pairs of a list are made
+   only between documents that are not yet connected, and only where a pair meets first: a posting knows the shingle that is
+   before it in its document, and a pair with the same one has met there. A pair goes on if the positions leave room for the overlap;
+4. merging: the sorted short parts of a pair are merged and its occurrences there are counted. Pairs with fewer than the need less L are dropped;
+5. probing: for the others, the long parts are looked up by binary search, and the pair is a link if the overlap reaches the need.
+
+A list that is known to be long is dealt out in parts of about ``PART`` postings by its measured size; the heads of its parts are
+paired with one of themselves. Links between equal or connected documents need not be found to get the components, so
+they are neither all verified nor counted.
+
+Hashes: two words or shingles are taken for one by chance in one of 2^64 pairs, so a set of n shingles lacks one with odds of
+n * n / 2^65. Names of sets have 64 bits and are checked against 64 others; names that stand for two sets are made longer before they are used.
+Postings carry 48 bits of a shingle, which can only add candidates.
 
 Defined cases: null and empty texts, or texts without words, have an empty set and link with nothing; texts with fewer
 words than a shingle have one shingle, the whole sequence; equal doc_ids are one document only if their texts have equal
@@ -26,28 +32,52 @@ that links reach, null if none of these has one; an empty table gives an empty r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix, text_chunks, word_hashes, word_spans
-from .components import components
+from weftline.operators.connect import components
+from weftline.sources.staging import Steps
+
+from .common import mix, text_chunks, word_hashes, word_spans
 
 WORDS = 5
 SIMILARITY = (3, 4)  # as a fraction, so that all comparisons are exact
 
-#: The long lists that are told apart. A bound on what is broadcast (8 bytes each); longer or shorter never changes the result.
+#: The long lists that are told apart. A bound on what is sent to tasks (24 bytes each); longer or shorter never changes the result.
 LONG_LISTS = 100_000
 
-#: Rounds of pairs with heads, and the heads that a list has in each. More or fewer never change the result.
+#: Heads that a list has in each round of pairs with heads. More or fewer never change the result.
 HEAD_ROUNDS = (1, 6, 6)
 
+#: Postings of a long list that are kept together.
+PART = 2_048
+
+#: What a step of a binary search costs against writing, sending and sorting one posting: about 4 ns and 1.5 microseconds.
+SEARCH_COST = 0.003
+
+#: Keys or pairs (8 or 16 bytes) that are sent to all tasks at once; beyond it texts and sets are shuffled to them.
+SENT_KEYS = 2_000_000
+
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
-_LOW = np.uint64((1 << 48) - 1)
-_LONG = 1 << 62
+_LOW = (1 << 48) - 1
+_DEALT = 1 << 62  # marks slots of lists that are dealt out
+_DROP = np.uint64(16)
+
+
+def need_of(n: int | np.ndarray, similarity: tuple[int, int]) -> int | np.ndarray:
+    """T: how many of its n shingles a set shares with any partner at least."""
+    return -(-similarity[0] * n // similarity[1])
+
+
+def long_lists(n: int, similarity: tuple[int, int], longest: int) -> int:
+    """L, the lists of a set of n shingles that are searched instead of merged: T / (1 + cost * log2(longest list)), T - 1 at most."""
+    need = need_of(n, similarity)
+    return max(0, min(need - 1, int(need / (1 + SEARCH_COST * math.log2(max(2, longest))))))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,35 +88,55 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     n_words = np.diff(first)
     row_of = np.repeat(np.arange(rows), n_words)
     total = len(h)
-    keys = []
+    found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if total >= words:
         rolled = np.zeros(total - words + 1, np.uint64)
         for k in range(words):
             rolled += h[k : total - words + 1 + k] * np.uint64(_ODD[k % 5] + 2 * (k // 5))
         inside = row_of[: total - words + 1] == row_of[words - 1 :]
-        keys.append((row_of[: total - words + 1][inside].astype(np.uint64) << np.uint64(48)) | (mix(rolled[inside]) & _LOW))
+        found.append(mix(rolled[inside]))
+        owner.append(row_of[: total - words + 1][inside])
     short = np.flatnonzero((n_words > 0) & (n_words < words))
     if len(short):
         whole = np.zeros(len(short), np.uint64)
         for k in range(words - 1):
             has = n_words[short] > k
             whole[has] += h[first[short[has]] + k] * np.uint64(_ODD[k % 5] + 2 * (k // 5))
-        keys.append((short.astype(np.uint64) << np.uint64(48)) | (mix(whole + n_words[short].astype(np.uint64)) & _LOW))
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-    row = (key >> np.uint64(48)).astype(np.int64)
-    return row, (key & _LOW).astype(np.int64), np.searchsorted(row, np.arange(rows + 1))
+        found.append(mix(whole + n_words[short].astype(np.uint64)))
+        owner.append(short)
+    token, row = np.concatenate(found), np.concatenate(owner)
+    key = (row.astype(np.uint64) << np.uint64(48)) | (token >> _DROP)
+    order = np.argsort(key)
+    key, token, row = key[order], token[order], row[order]
+    same = key[1:] == key[:-1]
+    if (same & (token[1:] != token[:-1])).any():  # alike in 48 bits only
+        order = np.lexsort((token, row))
+        token, row = token[order], row[order]
+        same = (row[1:] == row[:-1]) & (token[1:] == token[:-1])
+    keep = np.concatenate(([True], ~same))[: len(token)]
+    token, row = token[keep], row[keep]
+    return row, token, np.searchsorted(row, np.arange(rows + 1))
+
+
+def _sums(token: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+    total = np.zeros(len(token) + 1, np.uint64)
+    np.cumsum(mix(token ^ np.uint64(salt)), out=total[1:])
+    return mix((total[at[1:]] - total[at[:-1]]) ^ np.diff(at).astype(np.uint64))
 
 
-def _nodes(row: np.ndarray, token: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each row's set."""
-    total = np.zeros(len(token) + 1, np.uint64)
-    np.cumsum(mix(token.astype(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=total[1:])
-    return mix((total[at[1:]] - total[at[:-1]]) ^ np.diff(at).astype(np.uint64)).view(np.int64)
+def _names(token: np.ndarray, at: np.ndarray, bits: int, twice: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(a name of each row's set, 64 other bits of it). Names in ``twice`` (sorted) have the other bits added."""
+    name = (_sums(token, at, 0xA5A5A5A5A5A5A5A5) >> np.uint64(64 - bits)).view(np.int64)
+    other = _sums(token, at, 0x3C79AC492BA7B653).view(np.int64)
+    if twice is not None and len(twice):
+        near = np.minimum(np.searchsorted(twice, name), len(twice) - 1)
+        name = np.where(twice[near] == name, name ^ other, name)
+    return name, other
 
 
-def _survey(key: str):
+def _survey(key: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row (key, n, node) for each document, and (token, seen) for shingles of several different sets in a stretch of 8 MB of text."""
+        """A row (key, n, node, other) for each document, and (token, seen) for shingles of several different sets in a stretch of 8 MB of text."""
         held: list[np.ndarray] = []
         seen: set[int] = set()
         size = 0
@@ -96,17 +146,17 @@ def _survey(key: str):
             value, count = np.unique(tokens, return_counts=True)
             value, count = value[count > 1], count[count > 1]
             none = pa.nulls(len(value), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(value), pa.array(count)], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(value), pa.array(count)], names)
 
-        names = [key, "n", "node", "token", "seen"]
+        names = [key, "n", "node", "other", "token", "seen"]
         for batch in batches:
             for part, data, offsets in text_chunks(batch, 1):
                 row, token, at = shingle_sets(data, offsets)
-                n, node = np.diff(at), _nodes(row, token, at)
+                node, other = _names(token, at, bits, None)
                 none = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(node), none, none], names)
-                new = np.array([not (x in seen or seen.add(x)) for x in node.tolist()], bool)
-                held.append(token[new[row]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(node), pa.array(other), none, none], names)
+                new = np.array([not (x in seen or seen.add(x)) for x in other.tolist()], bool)
+                held.append((token[new[row]] >> _DROP).astype(np.int64))
                 size += len(data)
                 if size > 8 << 20:
                     yield several()
@@ -118,154 +168,240 @@ def _survey(key: str):
     return run
 
 
-def _postings(long_tokens: np.ndarray, long_rank: np.ndarray, num: int, den: int):
+class _Order:
+    """The order of the lists, the same for all documents: those that are not known to be long, by hash, then the long ones by size."""
+
+    def __init__(self, token: np.ndarray, seen: np.ndarray) -> None:
+        by_size = np.lexsort((token, seen))
+        rank = np.empty(len(token), np.int64)
+        rank[by_size] = np.arange(1, len(token) + 1)
+        at = np.argsort(token)
+        self.token, self.rank = token[at], rank[at]
+        parts = np.minimum(1 << 13, 1 << np.ceil(np.log2(np.maximum(1, seen[at] / PART))).astype(np.int64))
+        self.parts = np.where(seen[at] > PART, parts, 0)
+        self.longest = int(seen.max(initial=2))
+
+    def of(self, row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the tokens' positions in this order, row by row; in how many parts the list of each is dealt, 0 for one that is kept together)."""
+        lists = (token >> _DROP).astype(np.int64)
+        rank, parts = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
+        if len(self.token):
+            near = np.minimum(np.searchsorted(self.token, lists), len(self.token) - 1)
+            hit = self.token[near] == lists
+            rank, parts = np.where(hit, self.rank[near], 0), np.where(hit, self.parts[near], 0)
+        order = np.argsort((row << np.int64(32)) | rank, kind="stable")
+        return order, parts[order]
+
+
+def _postings(lists: _Order, similarity: tuple[int, int], bits: int, twice: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The short lists of each set: (slot, node, meta, before). A set that the task has met before is left out.
+        """The lists of each set that find its partners: (slot, node, meta). A set that the task has met before is left out.
 
-        slot: the token; for a long list that is in a short part all the same, also ``_LONG`` and some bits of the node, which
-        spread the list. meta: n and the position. before: the token at the position before, -1 at the first.
+        slot: 48 bits of the token; for a list that is dealt out also ``_DEALT`` and the part. meta: n and the position.
         """
         seen: set[int] = set()
         for batch in batches:
-            for part, data, offsets in text_chunks(batch, 1):
+            for _, data, offsets in text_chunks(batch, 0):
                 row, token, at = shingle_sets(data, offsets)
-                n, node = np.diff(at), _nodes(row, token, at)
+                n, (node, _) = np.diff(at), _names(token, at, bits, twice)
                 if len(seen) > 500_000:
                     seen.clear()
                 new = np.array([not (x in seen or seen.add(x)) for x in node.tolist()], bool) & (n > 0)
-                rank = np.zeros(len(token), np.int64)
-                if len(long_tokens):
-                    near = np.minimum(np.searchsorted(long_tokens, token), len(long_tokens) - 1)
-                    rank = np.where(long_tokens[near] == token, long_rank[near], 0)
-                order = np.argsort((row << np.int64(32)) | rank, kind="stable")
+                order, parts = lists.of(row, token)
                 pos = np.arange(len(token)) - at[row]
-                keep = (pos < (n - (num * n + den - 1) // den + 1)[row]) & new[row]
-                took = order[keep]
-                before = np.where(pos > 0, token[np.concatenate((order[:1], order[:-1]))], -1)[keep]
-                own = node[row[keep]]
-                slot = np.where(rank[took] > 0, token[took] | _LONG | ((own & 63) << 48), token[took])
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(own), pa.array(n[row[keep]] << 32 | pos[keep]), pa.array(before)], ["slot", "node", "meta", "before"])
+                keep = (pos < (n - need_of(n, similarity) + 1)[row]) & new[row]
+                own, took, parts = node[row[keep]], (token[order[keep]] >> _DROP).astype(np.int64), parts[keep]
+                slot = np.where(parts > 0, took | _DEALT | ((own & np.maximum(parts - 1, 0)) << 48), took)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(own), pa.array(n[row[keep]] << 32 | pos[keep])], ["slot", "node", "meta"])
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, tokens): the sorted set of each text, 6 bytes a shingle."""
-    for batch in batches:
-        for _, data, offsets in text_chunks(batch, 0):
-            row, token, at = shingle_sets(data, offsets)
-            raw = np.ascontiguousarray(token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-            tokens = pa.array([raw[6 * a : 6 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(_nodes(row, token, at)), tokens], ["node", "tokens"])
+def _sets(lists: _Order, similarity: tuple[int, int], bits: int, twice: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, short, long): the sorted hashes of the short and the long lists of each text."""
+        sizes: dict[int, int] = {}
+        for batch in batches:
+            for _, data, offsets in text_chunks(batch, 0):
+                row, token, at = shingle_sets(data, offsets)
+                order, _ = lists.of(row, token)
+                short, long = [], []
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                    if b - a not in sizes:
+                        sizes[b - a] = long_lists(b - a, similarity, lists.longest)
+                    own, middle = token[order[a:b]], b - a - sizes[b - a]
+                    short.append(np.sort(own[:middle]).astype("<u8").tobytes())
+                    long.append(np.sort(own[middle:]).astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(_names(token, at, bits, twice)[0]), pa.array(short, pa.binary()), pa.array(long, pa.binary())], ["node", "short", "long"])
+
+    return run
 
 
-def _tokens(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+def _met(some: np.ndarray, other: np.ndarray) -> int:
+    """How many of ``some`` are in ``other`` (both sorted): binary search of the fewer in the more."""
+    if len(some) > len(other):
+        some, other = other, some
+    if not len(some):
+        return 0
+    return int(np.count_nonzero(other[np.minimum(np.searchsorted(other, some), len(other) - 1)] == some))
+
+
+def _merged(some: np.ndarray, other: np.ndarray) -> int:
+    """How many are in both sorted arrays: the two runs are merged, and equal neighbours are counted."""
+    both = np.sort(np.concatenate((some, other)), kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def _probe(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keep the pairs (a, b) whose overlap reaches the need: num / den of the union."""
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
+            columns = [batch.column(i) for i in range(2, 6)]
             keep = np.zeros(batch.num_rows, bool)
-            last, held = None, None
             for i in range(batch.num_rows):
-                raw = left[i].as_buffer()
-                if last is None or not raw.equals(last):
-                    last, held = raw, _tokens(raw)
-                small, large = _tokens(right[i].as_buffer()), held
-                if len(small) > len(large):
-                    small, large = large, small
-                need = -(-num * (len(small) + len(large)) // (num + den))
-                if len(small) >= need > 0:
-                    near = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    keep[i] = np.count_nonzero(large[near] == small) >= need
+                s1, l1, s2, l2 = (np.frombuffer(c[i].as_buffer(), "<u8") for c in columns)
+                n1, n2 = len(s1) + len(l1), len(s2) + len(l2)
+                need = -(-num * (n1 + n2) // (num + den))
+                if not min(n1, n2) >= need > 0:
+                    continue
+                count = _merged(s1, s2)
+                if count >= need - max(len(l1), len(l2)):
+                    keep[i] = count + _met(l1, s2) + _met(s1, l2) + _met(l1, l2) >= need
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _room(num: int, den: int, n1, p1, n2, p2):
-    """Whether sets of n1 and n2 shingles that first meet at positions p1 and p2 can overlap enough."""
+def _room(similarity: tuple[int, int], x: Column, y: Column) -> Column:
+    """Whether two sets with these ``meta`` that meet first there can overlap enough."""
+    num, den = similarity
+    n1, n2 = F.shiftright(x, 32), F.shiftright(y, 32)
+    p1, p2 = x.bitwiseAND((1 << 32) - 1), y.bitwiseAND((1 << 32) - 1)
     return (F.least(n1 - p1, n2 - p2) * (num + den) >= num * (n1 + n2)) & (F.least(n1, n2) * den >= num * F.greatest(n1, n2))
 
 
-def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(key, n_shingles, component_id) for every row of ``docs``: the least key that links reach."""
-    num, den = similarity
+def _with_heads(rows: DataFrame, r: int, draws: int) -> DataFrame:
+    """``rows`` (slot, node, meta, c) with ``heads``: a few nodes of the slot, drawn by hashes of the node, so that lists with the same documents have the same ones."""
+    slot = Window.partitionBy("slot")
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(r), F.lit(j)).alias("draw"), "node", "meta", "c")).over(slot) for j in range(draws)]
+    return rows.withColumn("heads", F.array(*drawn))
+
+
+def _head_pairs(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): each node with the heads of its slot, and the heads of the parts of a list with one of themselves."""
+    x, y = F.col("x"), F.col("y")
+    own = rows.select(F.struct("node", "meta", "c").alias("x"), F.explode("heads").alias("y"))
+    tops = rows.where(F.col("slot") >= _DEALT).select("slot", "node", F.posexplode("heads").alias("j", "x")).where("x.node = node")
+    tops = tops.select("x", F.min("x").over(Window.partitionBy(F.col("slot").bitwiseAND(_LOW), "j")).alias("y"))
+    met = own.select("x", F.struct("y.node", "y.meta", "y.c").alias("y")).unionByName(tops.select(*(F.struct(f"{v}.node", f"{v}.meta", f"{v}.c").alias(v) for v in "xy")))
+    met = met.where((x["c"] != y["c"]) & _room(similarity, x["meta"], y["meta"]))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (slot, node, meta, c) of lists with several components."""
+    slot = Window.partitionBy("slot")
+    rows = rows.withColumns({"c0": F.min("c").over(slot), "c1": F.max("c").over(slot)})
+    dealt = rows.where(F.col("slot") >= _DEALT)
+    parts = dealt.select("slot", "c0", "c1").distinct()
+    whole = Window.partitionBy(F.col("slot").bitwiseAND(_LOW))
+    parts = parts.withColumns({"w0": F.min("c0").over(whole), "w1": F.max("c1").over(whole)}).where("w0 != w1").select("slot")
+    return rows.where((F.col("slot") < _DEALT) & (F.col("c0") != F.col("c1"))).drop("c0", "c1").unionByName(dealt.drop("c0", "c1").join(parts, "slot", "left_semi"))
+
+
+class _Verifier:
+    """Reads the sets of the nodes in pairs, each once, and keeps the pairs that overlap enough."""
+
+    def __init__(self, steps: Steps, keyed: DataFrame, holders: DataFrame, make, similarity: tuple[int, int]) -> None:
+        self.steps, self.keyed, self.holders, self.make, self.similarity = steps, keyed, holders, make, similarity
+        self.sets: DataFrame | None = None
+
+    def _read(self, pairs: DataFrame) -> None:
+        """Only the texts of nodes that are new here are read: one for each, by its key."""
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node"))
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        wanted = self.steps.cut(self.holders.join(wanted, "node", "left_semi"), "wanted")
+        some = wanted.count() <= SENT_KEYS
+        sent = F.broadcast if some else (lambda df: df)
+        texts = self.keyed.join(sent(wanted.select("key")), "key", "left_semi").select("text")
+        if not wanted.where("key is null").isEmpty():  # sets that only rows without a key have
+            texts = texts.union(self.keyed.where("key is null").select("text"))
+        found = texts.mapInArrow(self.make, "node long, short binary, long binary").join(sent(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
+        found = self.steps.cut(found, "sets")
+        self.sets = found if self.sets is None else self.sets.union(found)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        self._read(pairs)
+        sent = F.broadcast if pairs.count() <= SENT_KEYS else (lambda df: df)
+        a, b = (self.sets.select(F.col("node").alias(v), F.col("short").alias(f"s{v}"), F.col("long").alias(f"l{v}")) for v in "ab")
+        met = a.join(sent(pairs), "a").join(b.join(sent(pairs.select("b").distinct()), "b", "left_semi"), "b").select("a", "b", "sa", "la", "sb", "lb")
+        return self.steps.cut(met.mapInArrow(_probe(*self.similarity), "a long, b long"), "links")
+
+
+def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY, name_bits: int = 64) -> DataFrame:
+    """(key, n_shingles, component_id) for every row of ``docs``: the least key that links reach. ``name_bits``: fewer are for tests."""
+    steps = Steps(docs.sparkSession)
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    survey = cut(keyed.mapInArrow(_survey("key"), "key long, n long, node long, token long, seen long"), "survey")
-    documents = survey.where("token is null").select("key", "n", "node")
+    survey = steps.cut(keyed.mapInArrow(_survey("key", name_bits), "key long, n long, node long, other long, token long, seen long"), "survey")
 
     common = survey.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen >= 4")
     common = common.orderBy(F.desc("seen"), "token").limit(LONG_LISTS).toPandas()  # at most LONG_LISTS rows
-    common = common.sort_values(["seen", "token"])
-    ranks = np.arange(1, len(common) + 1)
-    by_token = np.argsort(common["token"].to_numpy(np.int64), kind="stable")
-    tokens = common["token"].to_numpy(np.int64)[by_token]
-
-    postings = keyed.mapInArrow(_postings(tokens, ranks[by_token].astype(np.int64), num, den), "slot long, node long, meta long, before long")
-    whole = Window.partitionBy("slot")
-    several = postings.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where((F.col("low") != F.col("high")) | (F.col("slot") >= _LONG))
-    columns = ["token", "node", "n", "pos", "before"]
-    lists = several.select(F.col("slot").bitwiseAND((1 << 48) - 1).alias("token"), "node", F.shiftright("meta", 32).cast("int").alias("n"), F.col("meta").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), "before")
-    labelled = cut(lists.distinct().withColumn("c", F.col("node")), "lists")
-
-    holders = documents.where("n > 0").groupBy("node").agg(F.min("key").alias("key"))
+    order = _Order(common["token"].to_numpy(np.int64), common["seen"].to_numpy(np.int64))
+
+    named = survey.where("token is null")
+    twice = named.groupBy("node").agg(F.min("other").alias("o0"), F.max("other").alias("o1"), F.min("key").alias("key"), F.max("n").alias("n"))
+    twice = steps.cut(twice, "names")
+    # names that stand for several sets: some dozens among 10^10 sets
+    again = np.sort(np.array([r[0] for r in twice.where("o0 != o1").select("node").limit(1_000_001).collect()], np.int64))
+    if len(again) > 1_000_000:
+        raise RuntimeError("the names of sets are too short for this table")
+    documents, holders = named.select("key", "n", "node"), twice.where("n > 0").select("node", "key")
+    if len(again):
+        longer = F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in again], "node long").withColumn("more", F.lit(True)))
+        node = F.when(F.col("more"), F.col("node").bitwiseXOR(F.col("other"))).otherwise(F.col("node"))
+        documents = named.join(longer, "node", "left").select("key", "n", node.alias("node"))
+        holders = documents.where("n > 0").groupBy("node").agg(F.min("key").alias("key"))
+    verifier = _Verifier(steps, keyed, holders, _sets(order, similarity, name_bits, again), similarity)
+
+    postings = keyed.select("text").mapInArrow(_postings(order, similarity, name_bits, again), "slot long, node long, meta long")
+    slot = Window.partitionBy("slot")
+    several = postings.withColumns({"low": F.min("node").over(slot), "high": F.max("node").over(slot)}).where((F.col("low") != F.col("high")) | (F.col("slot") >= _DEALT))
+    lists = several.drop("low", "high").dropDuplicates(["slot", "node"]).withColumn("c", F.col("node"))
     links = tried = None
     for r, draws in enumerate(HEAD_ROUNDS):
-        # heads are drawn by hashes of the node, so lists with the same documents have the same ones
-        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(r), F.lit(j)).alias("draw"), "node", "n", "pos", "c")) for j in range(draws)]
-        heads = labelled.groupBy("token").agg(F.array(*drawn).alias("hs")).select("token", F.explode("hs").alias("h"))
-        met = labelled.join(heads, "token").where((F.col("c") != F.col("h.c")) & _room(num, den, F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
-        pairs = met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "head_pairs")
-        found = _verified(pairs, keyed, holders, similarity, "head")
+        last, lists = lists, steps.cut(_with_heads(lists, r, draws), "lists")
+        pairs = _head_pairs(lists, similarity)
+        pairs = steps.cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = verifier.links(pairs)
         links, tried = (found, pairs) if links is None else (links.union(found), tried.union(pairs))
-        labelled = _relabelled(labelled, columns, links)
-        if labelled.isEmpty():  # all that meet are connected
-            break
-
-    x, y = labelled.alias("x"), labelled.alias("y")
+        groups = steps.cut(components(links, steps=steps), "groups")
+        steps.drop(last)
+        last, c = lists, F.coalesce("component", "node").alias("c")
+        rows = lists.select("slot", "node", "meta").join(groups.withColumnRenamed("id", "node"), "node", "left").select("slot", "node", "meta", c)
+        lists = _open(rows)
+
+    rows = steps.cut(lists, "open_lists")
+    token = F.col("slot").bitwiseAND(_LOW)
+    before = F.coalesce(F.lag(token).over(Window.partitionBy("node").orderBy("meta", "slot")), F.lit(-1))
+    rows = rows.select("node", "meta", "c", token.alias("token"), before.alias("before"))
+    x, y = rows.alias("x"), rows.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
     meet &= (F.col("x.before") != F.col("y.before")) | (F.col("x.before") < 0)
-    meet &= _room(num, den, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    meet &= _room(similarity, F.col("x.meta"), F.col("y.meta"))
     rest = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = cut(rest, "rest_pairs")
-    more = _verified(rest, keyed, holders, similarity, "rest")
+    more = verifier.links(steps.cut(rest, "rest_pairs"))
 
     same = documents.where("n > 0 and key is not null").select("key", "node").distinct()
     several_sets = same.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("key", "a")
     repeated = same.join(several_sets, "key").where("a != node").select("a", F.col("node").alias("b"))
-    final = components(links.union(more).union(repeated), name="components")
-    # a component's documents and the least key of each
-    placed = documents.join(final, documents.node == final.id, "left").select("key", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("c"))
-    placed = cut(placed, "placed")
-    least = placed.where("c is not null").groupBy("c").agg(F.min("key").alias("least"))
-    out = placed.join(least, "c", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
-
-
-def _relabelled(labelled: DataFrame, columns: list[str], links: DataFrame) -> DataFrame:
-    """The lists with the component of each node as ``c``, without lists that have one component only."""
-    groups = cut(components(links, name="head_components"), "groups")
-    rows = labelled.select(*columns).join(groups, F.col("node") == groups.id, "left").select(*columns, F.coalesce("component", "node").alias("c"))
-    open_lists = rows.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
-    return cut(rows.join(open_lists, "token", "left_semi"), "open_lists")
-
-
-def _verified(pairs: DataFrame, keyed: DataFrame, holders: DataFrame, similarity: tuple[int, int], name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets overlap enough. Only the texts of nodes in a pair are read for their sets."""
-    wanted = cut(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node")), f"{name}_nodes")
-    chosen = holders.join(wanted, "node", "left_semi").select("key")
-    texts = keyed.join(chosen, "key", "left_semi").select("text")
-    if not chosen.where("key is null").isEmpty():  # sets that only rows without a key have
-        texts = texts.union(keyed.where("key is null").select("text"))
-    sets = texts.mapInArrow(_sets, "node long, tokens binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = cut(sets, f"{name}_sets")
-    a, b = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right")
-    return cut(met.mapInArrow(_probe(*similarity), "a long, b long"), f"{name}_links")
+    final = components(links.union(more).union(repeated), steps=steps)
+    # the least key of each component, then of each node in one, so that documents are joined by node
+    linked = steps.cut(final.withColumnRenamed("id", "node").join(holders, "node"), "linked")
+    least = steps.cut(linked.groupBy("component").agg(F.min("key").alias("least")), "least")
+    reached = linked.select("node", "component").join(least, "component").select("node", "least")
+    own = steps.cut(holders.join(reached, "node", "left").select("node", F.coalesce("least", "key").alias("component_id")), "own")
+    documents = steps.cut(documents, "documents")
+    out = documents.where("n > 0").join(own, "node", "left").select("key", "n", "component_id").unionByName(documents.where("n = 0").select("key", "n", F.col("key").alias("component_id")))
+    steps.finish(own, documents)
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
