@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from weftline.llm import packing, token_counts
+from weftline.llm import packing, pieces, queries, token_counts
 from weftline.llm.pieces import PieceEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,28 @@ def test_very_long_text(library):
     assert PieceEncoder(PATH).counts([text])[0] == len(library.encode(text, add_special_tokens=False).ids)
 
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+#: Long words that a polynomial modulo 2**64 can't tell apart, and very long texts without gaps.
+ALIKE = [x for n in (256, 512, 1024, 2048, 8192) for ab in ("ab", "ba", "xy", "yx", "01", "10") for x in (thue_morse(n, *ab), "a " + thue_morse(n, *ab))] + ["z" * 300_000, "-=" * 100_000, "q" * 513]
+
+
+def test_words_with_equal_polynomials(library):
+    want = [library.encode(t, add_special_tokens=False).ids for t in ALIKE]
+    assert [x.tolist() for x in PieceEncoder(PATH).encode(ALIKE)] == want
+    assert PieceEncoder(PATH).counts(ALIKE[::-1]).tolist() == [len(w) for w in want[::-1]]
+
+
+def test_pieces_that_share_a_hash(library, monkeypatch):
+    """With few hashes nearly all pieces collide; their characters tell them apart."""
+    full = pieces.span_hashes
+    monkeypatch.setattr(pieces, "span_hashes", lambda *a: full(*a) & np.uint64(3))
+    texts = [t or "" for t in TEXTS] + ["some more words, and then some more", "others are here 1 22 333"]
+    assert [x.tolist() for x in PieceEncoder(PATH).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def docs(spark, texts, extra=True):
     rows = [(i, t, i) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens long") if extra else spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -66,6 +88,47 @@ def test_counts_and_cache(spark, library, tmp_path):
     assert token_counts.count_tokens(table.where("false"), PATH).count() == 0
 
 
+def test_a_digest_that_is_stored_twice_counts_once(spark, library, tmp_path):
+    path = str(tmp_path / "cache")
+    table = docs(spark, ["a b", "c"])
+    spark.createDataFrame([], token_counts.TokenCountCache.schema).write.parquet(path)
+    token_counts.count_tokens(table, PATH, cache_path=path)
+    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(path)  # another writer's
+    assert sorted(r["n_tokens"] for r in token_counts.count_tokens(table, PATH, cache_path=path).collect()) == [1, 2]
+
+
+def test_the_query_counts_like_the_library(spark, sf, library):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op6_token_counts(spark, sf).collect()}
+    want = {r["doc_id"]: (r["text"] or "", len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in rows}
+    assert len(got) == len(rows) and got == {k: (len(t.encode()), n, n > 512) for k, (t, n) in want.items()}
+
+
+def test_emitting_the_fuller_bins_costs_no_sequence(spark, monkeypatch):
+    """Long-tailed lengths in many groups, carried all or a few."""
+    monkeypatch.setattr(packing, "GROUP", 60)
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(int(min(2047, x)),) for x in rng.pareto(0.9, 1500) * 150 + 1], "length long")
+    n = []
+    for carry in (10_000, 8):
+        monkeypatch.setattr(packing, "CARRY", carry)
+        n.append(packing.pack(table).select("sequence_id").distinct().count())
+    assert n[0] == n[1]
+
+
+def test_the_query_packs_the_librarys_ids(spark, sf, library):
+    ids = {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op5_best_fit_packing(spark, sf).toPandas()
+    for doc, rows in got.sort_values("piece").groupby("doc_id"):
+        assert rows["piece"].tolist() == list(range(len(rows))) and rows["start"].tolist() == [0, *rows["length"].cumsum().tolist()][:-1] and rows["length"].sum() == len(ids[doc])
+        for s, n, crc in zip(rows["start"], rows["length"], rows["ids_crc32"]):
+            assert zlib.crc32(np.array(ids[doc][s : s + n], "<u4").tobytes()) == crc
+        assert (rows["length"].iloc[1:] == 2048).all() and len(rows) == -(-len(ids[doc]) // 2048)
+    assert set(got["doc_id"]) == set(ids)
+    for _, rows in got.sort_values("offset").groupby("sequence_id"):
+        assert rows["offset"].tolist() == [0, *rows["length"].cumsum().tolist()][:-1] and rows["length"].sum() <= 2048
+
+
 def test_cache_encodes_only_misses(spark, tmp_path):
     path = str(tmp_path / "cache")
     spark.createDataFrame([], token_counts.TokenCountCache.schema).write.parquet(path)

@@ -2,9 +2,10 @@
 
 Round 1 gives each group of at most about ``GROUP`` items to one task, which packs best-fit, longest first. Bins filled
 to ``NEARLY`` of the capacity are emitted. The others are items of the next round, in groups that join ``FAN`` of the
-former ones, until one group is left. In a group no two bins left could be one (best fit sees to that), so at most one
-of them is half full or less; a round carries these and the emptiest others, ``CARRY`` a group, and emits the rest as
-they are: every bin is emitted once, and no task grows with the input.
+former ones, until one group is left. In a group no two bins left could be one (best fit opens a bin only if the item fits in no other), so at most one
+of them is half full or less. A later round can thus only join such a small bin of one group with a bin of another, ``FAN`` times
+in a group at most, and any bin that has room for it is no emptier than the emptiest. So a round carries the ``CARRY`` emptiest bins of a
+group, many more than ``FAN``, and emits the others as they are: that costs no join that carrying them all would make, and no task grows with the input.
 
 Defined cases: a null or empty text has the closing id alone; pieces of equal documents are packed like any others; an
 empty table gives an empty result; texts longer than the capacity are cut into full pieces, the first one being shorter;

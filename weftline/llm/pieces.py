@@ -1,21 +1,18 @@
 """Token ids of many texts: the library encodes each distinct piece of text once.
 
 A byte-level BPE with the usual splitting pattern never merges across the pieces that the pattern cuts. So the pieces
-are found here with vector operations, each distinct one is encoded once per task, and the ids of a text are those of
-its pieces in a row. Texts with characters outside the ranges below, or with a special token's text in them, go to the
-``tokenizers`` library whole. Pieces go to ``tiktoken`` with the ranks of the same file where the file's ids are in the
-order of its merges (then both libraries give the same ids; the tests hold them against each other), else to
-``tokenizers`` too.
+are found here with vector operations, each distinct one is encoded once per task by the ``tokenizers`` library, and the ids of a text are those of
+its pieces in a row. Pieces are found again by a hash, and then their characters are compared with those that were encoded: a piece
+that shares its hash with another one, or has more than ``MOST_CHARS`` characters, is kept under its characters instead.
+Texts with characters outside the ranges below, or with a special token's text in them, go to the library whole.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 
 import numpy as np
-import tiktoken
 from tokenizers import Tokenizer
 
 from .common import mix, span_hashes
@@ -36,43 +33,29 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     return kind, known
 
 
-def _ranked(path: str) -> tiktoken.Encoding | None:
-    """The same vocabulary as ranks, if ids are in the order of the merges and bytes come first."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level vocabularies
-    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    try:
-        plain = {t: bytes(byte[c] for c in t) for t in model["vocab"] if all(c in byte for c in t)}
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        ids = [model["vocab"][a + b] for a, b in merges]
-        used = {*ids, *(model["vocab"][c] for c in byte)}
-    except KeyError:
-        return None
-    if ids != sorted(ids) or max(model["vocab"][c] for c in byte) > ids[0] or model.get("ignore_merges"):
-        return None
-    ranks = {b: model["vocab"][t] for t, b in plain.items() if model["vocab"][t] in used}
-    return tiktoken.Encoding(path, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+_LONG = 1 << 20
 
+#: Characters of a piece that is known by its hash; longer ones are rare and known by their characters.
+MOST_CHARS = 512
+MOST_HELD = 1 << 24
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
-#: Fixed value: the pattern that splits text before the merges.
-_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-
-_LONG = 1 << 20
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+def _each(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions in all of these spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class PieceEncoder:
     """Counts and ids of texts as ``tokenizers`` gives them for a byte-level BPE file.
 
-    ``most`` bounds the pieces that are remembered; beyond it the memory starts anew, with the same results.
+    ``most`` bounds the pieces that are remembered, and ``MOST_HELD`` their characters and ids; beyond these the memory starts anew, with the same results.
     """
 
     def __init__(self, path: str, most: int = 500_000) -> None:
         self.library = Tokenizer.from_file(path)
         self.most = most
-        self.ranked = _ranked(path)
         self.kind, self.known = _classes()
         self.codes = mix(np.arange(len(self.known), dtype=np.uint64))
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -85,6 +68,11 @@ class PieceEncoder:
         self.flat = np.zeros(0, np.uint32)
         self.size = np.zeros(0, np.int64)
         self.begin = np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.int32)  # the characters of the pieces that have a hash, and where each begins and how long it is (-1: it has none)
+        self.text_at = np.zeros(0, np.int64)
+        self.span = np.zeros(0, np.int64)
+        self.odd: dict[bytes, int] = {}
+        self.odd_bytes = 0
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The numbers of known pieces; -1 for others. Linear probing, all at once."""
@@ -112,7 +100,7 @@ class PieceEncoder:
             hashes, numbers, slot = hashes[rest], numbers[rest], (slot[rest] + 1) & (self.slots - 1)
 
     def whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _pieces(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces in texts that each end with the separator."""
@@ -153,32 +141,61 @@ class PieceEncoder:
         order = np.argsort(s, kind="stable")
         return s[order], e[order]
 
+    def _add(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed: bool) -> np.ndarray:
+        """The numbers of new pieces, after the library has encoded them."""
+        flat, sizes = self._learn(chars, starts, ends)
+        base = len(self.size)
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.flat = np.concatenate((self.flat, flat))
+        self.size = np.concatenate((self.size, sizes))
+        span = ends - starts
+        self.text_at = np.concatenate((self.text_at, len(self.text) + np.cumsum(span) - span if hashed else np.zeros(len(starts), np.int64)))
+        self.span = np.concatenate((self.span, span if hashed else np.full(len(starts), -1)))
+        if hashed:
+            self.text = np.concatenate((self.text, chars[_each(starts, span)].astype(np.int32)))
+        return np.arange(base, base + len(starts))
+
     def _numbers(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each piece, after the library has seen the new ones."""
+        if len(self.size) > self.most or len(self.flat) + len(self.text) + self.odd_bytes > MOST_HELD:
+            self.reset()
         hashes = span_hashes(self.codes[np.where(chars == _SEPARATOR, 0, chars)], starts, ends)
         hashes[hashes == 0] = 1
+        usual = ends - starts <= MOST_CHARS
         found = self._find(hashes)
-        if (found < 0).any():
-            if len(self.size) > self.most:
-                self.reset()
-                found[:] = -1
-            new = np.flatnonzero(found < 0)
+        new = np.flatnonzero((found < 0) & usual)
+        if len(new):
             distinct, first, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
-            for lo in range(0, len(distinct), self.most // 2):  # the table stays at most three quarters full
+            numbers = np.zeros(len(distinct), np.int64)
+            for lo in range(0, len(distinct), self.most // 2):
                 at = new[first[lo : lo + self.most // 2]]
-                flat, sizes = self._learn(chars, starts[at], ends[at])
-                self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes) - sizes))
-                self.flat = np.concatenate((self.flat, flat))
-                base = len(self.size)
-                self.size = np.concatenate((self.size, sizes))
-                if lo == 0:
-                    self._insert(distinct[: len(at)], np.arange(base, base + len(at)))
-                found[new[np.isin(inverse, np.arange(lo, lo + len(at)))]] = base + inverse[np.isin(inverse, np.arange(lo, lo + len(at)))] - lo
+                numbers[lo : lo + len(at)] = self._add(chars, starts[at], ends[at], hashed=True)
+                if lo == 0:  # the table stays at most three quarters full
+                    self._insert(distinct[: len(at)], numbers[: len(at)])
+            found[new] = numbers[inverse]
+        for i in np.flatnonzero(~self._same(chars, starts, ends, found, usual)).tolist():
+            name = chars[starts[i] : ends[i]].astype("<u4").tobytes()
+            if name not in self.odd:
+                self.odd[name] = int(self._add(chars, starts[i : i + 1], ends[i : i + 1], hashed=False)[0])
+                self.odd_bytes += len(name)
+            found[i] = self.odd[name]
         return found
 
+    def _same(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray, usual: np.ndarray) -> np.ndarray:
+        """Whether each piece has the characters of the one with its number."""
+        span = ends - starts
+        if not usual.any():
+            return usual
+        same = usual & (self.span[np.maximum(numbers, 0)] == span)
+        at = np.flatnonzero(same)
+        equal = chars[_each(starts[at], span[at])] == self.text[_each(self.text_at[numbers[at]], span[at])]
+        if not equal.all():
+            same[at] = np.logical_and.reduceat(equal, np.cumsum(span[at]) - span[at])
+        return same
+
     def _learn(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, and how many each has. Pieces are encoded many to a string, parted by line ends, which the pattern keeps to themselves."""
-        encode = self.ranked.encode_ordinary if self.ranked else self.whole
+        encode = self.whole
         white = self.kind[chars[ends - 1]] == _SPACE
         words = np.flatnonzero(~white)
         line = encode("\n")

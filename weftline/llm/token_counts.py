@@ -47,7 +47,9 @@ class TokenCountCache:
             spark.createDataFrame([], self.schema).write.mode("append").parquet(self.path)
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path).where(F.col("tokenizer") == self.version)
+        """(digest, n_tokens), a row for each digest: a job that ran again, or two at the same time, may have appended one twice."""
+        stored = self.spark.read.schema(self.schema).parquet(self.path).where(F.col("tokenizer") == self.version)
+        return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def misses(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The distinct texts that the cache does not have: (digest, content)."""
