@@ -168,20 +168,30 @@ def test_no_vectors(spark):
 def test_top_products(spark, monkeypatch, group, queries):
     monkeypatch.setattr(topk_search, "GROUP", group)
     monkeypatch.setattr(topk_search, "QUERIES", queries)
-    rows = [(i, v, lab) for i, v, lab in vectors() if not (v and v[0] and abs(v[0]) > 1e100)]
+    rows = [*vectors(), (20, [1.5] * 12, 0), (3, [0.25] * 12, 0), (3, [0.25] * 12, 0), (500, [1e30] * 12, 0), (501, [-1e30, 1e30, 3e18], 0), (520, [1e308] * 12, 0), (None, [1.0] * 12, 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
-    whole = {i: [int(np.floor(64 * c)) for c in v] for i, v, _ in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)}
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
-    want = set()
-    for q in whole:
-        if q % 20 == 0:
-            best = sorted((-dot(whole[q], whole[c]), c) for c in whole if c != q)[:20]
-            want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(best)}
+    whole = [(i, [int(np.floor(64 * c)) for c in v]) for i, v, _ in rows if i is not None and v is not None and all(c is not None and np.isfinite(64 * c) for c in v)]
+    top = 2**63 - 1
+    dot = lambda a, b: max(-top, min(top, sum(x * y for x, y in zip(a, b))))
+    want = []
+    for q, (i, v) in enumerate(whole):
+        if i % 20 == 0:
+            best = sorted((-dot(v, w), j) for c, (j, w) in enumerate(whole) if c != q)[:20]
+            want += [(i, n + 1, c, -s) for n, (s, c) in enumerate(best)]
     got = topk_search.top_products(table, table.vec_id % 20 == 0, k=20)
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()} == want
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == sorted(want)
 
 
 def test_large_components_are_exact():
     big = np.array([[2.0**40, 1.0], [2.0**40, 3.0], [2.0**40, 2.0]])
     (at, score), *_ = topk_search.best_products(big[:1], big, 2, np.array([0]), np.array([-np.inf]), np.array([0, 1, 2]))
-    assert at.tolist() == [1, 2] and score.tolist() == [2**80 + 3, 2**80 + 2]
+    assert at.tolist() == [1, 2] and score.tolist() == [2**63 - 1] * 2
+    rng = np.random.default_rng(3)
+    for size in (20, 26, 30, 34):  # on both sides of what float64 and a long hold
+        q, x = (np.floor(rng.normal(size=(n, 21)) * 2.0**size) for n in (4, 300))
+        x[100:] = x[:200] + rng.integers(-1, 2, (200, 21))
+        found = topk_search.best_products(q, x, 7, np.arange(4), np.full(4, -np.inf), np.arange(300))
+        for i, (at, score) in enumerate(found):
+            exact = [max(1 - 2**63, min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q[i], c)))) for c in x]
+            best = sorted((j for j in range(300) if j != i), key=lambda j: (-exact[j], j))[:7]
+            assert at.tolist() == best and score.tolist() == [exact[j] for j in best]
