@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +47,22 @@ def test_any_text(parts):
     assert secret_scan.automaton().spans(text.encode()) == in_bytes(text)
 
 
+def test_long_texts_of_spans_are_read_once(spark):
+    text = "secret: secret: abcdefghi token=üabc token=abcdefgh é " * 3000
+    began = time.process_time()
+    assert secret_scan.automaton().spans(text.encode()) == in_bytes_once(text)
+    assert time.process_time() - began < 20  # minutes, if each span began the text anew
+    got = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    assert [(r["start"], ORDER.index(r["kind"]), r["end"]) for r in got] == brute(text)
+
+
+def in_bytes_once(text):
+    at = [0]
+    for c in text:
+        at.append(at[-1] + len(c.encode()))
+    return [(at[a], k, at[b]) for a, k, b in brute(text)]
+
+
 def test_automaton_is_minimal_and_one():
     found = secret_scan.automaton()
     width = len(set(found.classes))

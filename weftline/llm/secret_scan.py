@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,15 +194,14 @@ class Automaton:
                 self.back[1].setdefault(m[1], []).append(s)
         self._own: dict[int, Automaton] = {}
 
-    def stretches(self, data: bytes, at: int = 0, one: bool = False) -> list[tuple[int, int, int]]:
+    def stretches(self, data: bytes) -> list[tuple[int, int, int]]:
         """(rule, index of the first accepting byte, index after the last one) for each accepting stretch."""
         step, hot, kinds = self.step, self.hot, self.kinds
         s = self.start
         out: list[tuple[int, int, int]] = []
         inside = 0
         rise: dict[int, int] = {}
-        i = at
-        for i, c in enumerate(data[at:].translate(self.classes) if at else data.translate(self.classes), at):
+        for i, c in enumerate(data.translate(self.classes)):
             s = step[s + c]
             if s >= hot or inside:
                 bits = kinds[s]
@@ -211,12 +211,24 @@ class Automaton:
                             rise[k] = i
                         elif inside >> k & 1 and not bits >> k & 1:
                             out.append((k, rise[k], i))
-                            if one:
-                                return out
                     inside = bits
         out += [(k, rise[k], len(data)) for k in range(len(self.rules)) if inside >> k & 1]
         return out
 
+    def anew(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(start, end, index of the first accepting byte) of the spans of an automaton of one rule, which begins anew after each of them. One pass."""
+        step, hot = self.step, self.hot
+        s, rise, at = self.start, -1, 0
+        out: list[tuple[int, int, int]] = []
+        for i, c in enumerate(data.translate(self.classes)):
+            s = step[s + c]
+            if rise >= 0 and s < hot:
+                out.append((self.begin(data, 0, rise, at), i, rise))
+                s, rise, at = step[self.start + c], -1, i
+            if rise < 0 and s >= hot:
+                rise = i
+        return [*out, (self.begin(data, 0, rise, at), len(data), rise)] if rise >= 0 else out
+
     def begin(self, data: bytes, rule: int, last: int, least: int = 0) -> int:
         """The leftmost start, from ``least`` on, of a match of ``rule`` that ends with the byte at ``last``."""
         start, end = self.parts[rule]
@@ -254,11 +266,7 @@ class Automaton:
             for k in again:
                 own = self._own.setdefault(k, None) or Automaton((self.rules[k],))
                 self._own[k] = own
-                at = 0
-                while got := own.stretches(data, at, one=True):
-                    _, rise, end = got[0]
-                    out.append((own.begin(data, 0, rise, at), k, end, rise))
-                    at = end
+                out += [(start, k, end, rise) for start, end, rise in own.anew(data)]
         return sorted((a, k, e) for a, k, e, rise in out if e - (rise if self.rules[k].tail else a) >= self.rules[k].least)
 
 
@@ -281,8 +289,10 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ru
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     raw = data[a:b].tobytes()
                     spans = found.spans(raw)
-                    place = (lambda i: i) if not spans or raw.isascii() else (lambda i: len(raw[:i].decode()))
-                    rows.append([{"kind": rules[k].kind, "start": place(s), "end": place(e)} for s, k, e in spans])
+                    if spans and not raw.isascii():  # code points before each byte
+                        before = np.concatenate(([0], np.cumsum((data[a:b] & 0xC0) != 0x80)))
+                        spans = [(int(before[s]), k, int(before[e])) for s, k, e in spans]
+                    rows.append([{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in spans])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], [key, "spans"])
 
     return docs.select(key, text).mapInArrow(scan, f"{key} {key_type}, spans array<struct<kind:string,start:long,end:long>>")
