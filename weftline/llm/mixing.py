@@ -81,43 +81,54 @@ def digest(key: Column, epoch: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
+def own_name(name: str, taken: list[str]) -> str:
+    """``name`` with as many ``_`` in front as it takes to be no column of ``taken``, one at least."""
+    have = {c.lower() for c in taken}
+    name = f"_{name}"
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def mix_sources(
     docs: DataFrame, path: dict[str, Column], weights: list[Column], *, budget: int | None = None, share: float = 1.0, epochs: int = 1, seed: int = 1, key: str = "doc_id", tokens: Column | None = None
 ) -> DataFrame:
-    """The rows of ``docs`` chosen for the mix, with ``_tokens`` and ``_epoch`` (from 0), one row for each time a document is taken.
+    """The rows of ``docs`` chosen for the mix, one row for each time a document is taken, with the names on its path (as ``_domain``), ``_tokens`` and ``_epoch`` (from 0).
 
     path: the tree's levels, names and expressions; weights: whole numbers for the nodes of each level, over columns of
     these names; budget: tokens in all, by default the part ``share`` of those in ``docs``; epochs: how often a document may be taken.
+    Where ``docs`` has such a column itself, the added one has another ``_`` in front.
     """
     tokens = count_words() if tokens is None else tokens
-    levels = [f"_{n}" for n in path]
-    sized = docs.select(F.col(key).alias("_key"), *(e.alias(n) for n, e in zip(levels, path.values())), tokens.alias("_tokens"))
-    sized = cut(sized, "sizes")
-    leaves = cut(sized.groupBy(*levels).agg(F.sum("_tokens").alias("tokens")), "leaves")
+    levels = [f"l{i}" for i in range(len(path))]
+    own = [F.col(f"`{key}`").alias("key"), *(e.alias(n) for n, e in zip(levels, path.values())), tokens.alias("tokens")]
+    sized = cut(docs.select(*own), "sizes")
+    leaves = cut(sized.groupBy(*levels).agg(F.sum("tokens").alias("tokens")), "leaves")
     if budget is None:
         budget = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
-    renamed = leaves.toDF(*path, "tokens")
-    plan = leaf_budgets(renamed, [*path], weights, budget, epochs).toDF(*levels, "_budget")
-    same = lambda left, right: [left[n].eqNullSafe(right[n]) for n in levels]
-    plan = plan.join(leaves, same(plan, leaves)).select(*(plan[n] for n in levels), "_budget", "tokens")
-    plan = plan.withColumn("_full", F.when(F.col("tokens") > 0, F.floor(F.expr("_budget div tokens"))).otherwise(0).cast("int"))
-    plan = cut(plan.select(*levels, "_full", (F.col("_budget") - F.col("_full") * F.col("tokens")).alias("_rest")), "leaf_plan")
+    plan = leaf_budgets(leaves.toDF(*path, "tokens"), [*path], weights, budget, epochs).toDF(*levels, "budget")
+    plan = plan.join(leaves, [plan[n].eqNullSafe(leaves[n]) for n in levels]).select(*(plan[n] for n in levels), "budget", "tokens")
+    plan = plan.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.expr("budget div tokens"))).otherwise(0).cast("int"))
+    plan = cut(plan.select(*levels, "full", (F.col("budget") - F.col("full") * F.col("tokens")).alias("rest")), "leaf_plan")
+
+    def beside(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        """``rows`` with the columns of ``table`` for their leaf."""
+        named = table.withColumnsRenamed({n: f"own_{n}" for n in levels})
+        return rows.join(named, [F.col(n).eqNullSafe(F.col(f"own_{n}")) for n in levels], how).drop(*(f"own_{n}" for n in levels))
 
     def placed(rows: DataFrame) -> DataFrame:
-        found = rows.join(plan.toDF(*(f"p{n}" for n in levels), "_full", "_rest"), [F.col(n).eqNullSafe(F.col(f"p{n}")) for n in levels])
-        found = found.withColumn("_digest", digest(F.col("_key"), F.col("_full"), seed)).withColumn("_range", F.shiftright("_digest", _SHIFT).cast("int"))
-        return found.drop(*(f"p{n}" for n in levels))
-
-    sums = placed(sized).groupBy(*levels, "_rest", "_range").agg(F.sum("_tokens").alias("sum"))
-    upto = F.sum("sum").over(Window.partitionBy(*levels).orderBy("_range"))
-    ends = sums.withColumn("_upto", upto).where(F.col("_upto") > F.col("_rest")).groupBy(*levels).agg(F.min(F.struct("_range", F.col("_upto") - F.col("sum"))).alias("end"))
-    ends = cut(ends.select(*(F.col(n).alias(f"e{n}") for n in levels), F.col("end._range").alias("_end"), F.col("end.col2").alias("_before")), "prefix_ends")
-
-    rows = docs.select("*", F.col(key).alias("_key"), *(e.alias(n) for n, e in zip(levels, path.values())), tokens.alias("_tokens"))
-    rows = placed(rows).join(ends, [F.col(n).eqNullSafe(F.col(f"e{n}")) for n in levels], "left")
-    more = F.when(F.col("_end").isNull() | (F.col("_range") < F.col("_end")), 1).otherwise(0)
-    whole = rows.withColumn("_times", F.col("_full") + more).where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    running = F.sum("_tokens").over(Window.partitionBy(*levels).orderBy("_digest", "_key").rowsBetween(Window.unboundedPreceding, 0))
-    edge = rows.where(F.col("_range") == F.col("_end")).withColumn("_running", F.col("_before") + running).where(F.col("_running") <= F.col("_rest"))
-    columns = [*docs.columns, *levels, "_tokens", "_epoch"]
-    return whole.select(*columns).unionByName(edge.withColumn("_epoch", F.col("_full")).select(*columns))
+        return beside(rows, plan, "inner").withColumn("digest", digest(F.col("key"), F.col("full"), seed)).withColumn("range", F.shiftright("digest", _SHIFT).cast("int"))
+
+    sums = placed(sized).groupBy(*levels, "rest", "range").agg(F.sum("tokens").alias("sum"))
+    upto = F.sum("sum").over(Window.partitionBy(*levels).orderBy("range"))  # at most ``RANGES`` rows a leaf
+    ends = sums.withColumn("upto", upto).where("upto > rest").groupBy(*levels).agg(F.min(F.struct("range", (F.col("upto") - F.col("sum")).alias("before"))).alias("end"))
+    ends = cut(ends.select(*levels, F.col("end.range").alias("end"), F.col("end.before").alias("before")), "prefix_ends")
+
+    rows = beside(placed(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *own)), ends, "left")
+    more = F.when(F.col("end").isNull() | (F.col("range") < F.col("end")), 1).otherwise(0)
+    whole = rows.withColumn("times", F.col("full") + more).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    running = F.sum("tokens").over(Window.partitionBy(*levels).orderBy("digest", "key").rowsBetween(Window.unboundedPreceding, 0))
+    edge = rows.where(F.col("range") == F.col("end")).withColumn("running", F.col("before") + running).where("running <= rest").withColumn("epoch", F.col("full"))
+    names = {n: own_name(p, docs.columns) for n, p in [*zip(levels, path), ("tokens", "tokens"), ("epoch", "epoch")]}
+    out = [F.col("row.*"), *(F.col(n).alias(name) for n, name in names.items())]
+    return whole.select(*out).unionByName(edge.select(*out))
