@@ -65,6 +65,10 @@ def test_mixing(spark, monkeypatch, share, epochs):
                     break
                 want.append((i, whole))
     assert sorted((r["doc_id"], r["_epoch"]) for r in got) == sorted(want)
+    clashing = {c: F.lit("x") for c in ("_tokens", "_Epoch", "_lang", "_key", "key", "row", "l0", "own_l0", "range", "end", "digest", "rest", "full", "running")}
+    wide = mixing.mix_sources(table.withColumns(clashing), path, weights, share=share, epochs=epochs, seed=9)
+    assert wide.columns == [*table.columns, *clashing, "__lang", "_source", "__tokens", "__epoch"]
+    assert sorted((r["doc_id"], r["__epoch"], r["_key"]) for r in wide.collect()) == sorted((*w, "x") for w in want)
     assert sum(size(r["text"]) for r in got) <= total * share
     assert mixing.mix_sources(table.where("false"), path, weights).count() == 0
 
@@ -120,12 +124,66 @@ def test_shards_stay_in_the_jvm(spark, sf):
 def test_words_and_pooling():
     raw = "Ab ab!! 12x\tAb é".encode()
     data = np.frombuffer(raw + b"" + "zz zz".encode(), np.uint8)
-    slot, row = quality.words(data, np.array([0, len(raw), len(raw), len(raw) + 5]))
-    assert row.tolist() == [0] * 7 + [2] * 2 and slot[0] == slot[5] != slot[1] and slot[7] == slot[8]
-    x = quality.pooled(data, np.array([0, len(raw), len(raw), len(raw) + 5]), quality.index_vectors())
+    hashes, shape, row = quality.words(data, np.array([0, len(raw), len(raw), len(raw) + 5]))
+    assert row.tolist() == [0] * 7 + [2] * 2 and hashes[0] == hashes[5] != hashes[1] and hashes[7] == hashes[8]
+    assert shape.tolist() == [1, 1, 33, 17, 0, 1, 1, 1, 1]
+    known = np.unique(hashes[:3])
+    assert quality.slots(known, hashes, shape).tolist() == [*np.searchsorted(known, hashes[:3]), 20, 3, np.searchsorted(known, hashes[5]), 4, 4, 4]
+    x = quality.pooled(data, np.array([0, len(raw), len(raw), len(raw) + 5]), quality.WordVectors(known, np.ones((len(known) + quality.SHAPES, quality.WIDTH), np.float32)))
     assert np.isfinite(x).all() and (x[1, : 2 * quality.WIDTH] == 0).all() and x[1, -1] == 1
 
 
+def plain_words(text):
+    return re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\x00-\x20\x7fA-Za-z0-9\x80-\xff]+", (text or "").encode())
+
+
+def test_classifier_is_the_plain_one(spark, monkeypatch):
+    """Word vectors, features and scores against loops over words, with more words than the vocabulary takes."""
+    monkeypatch.setattr(quality, "VOCABULARY", 12)
+    rng = np.random.default_rng(8)
+    names = [f"{c}{c}" for c in "abcdefghijk"] + ["12", "!!", "Größe", "x" * 700, "é", "77777", "zq"]
+    texts = [None, "", "one word", *(" ".join(rng.choice(names, int(rng.integers(1, 25)), p=np.arange(18, 0, -1) / 171)) for _ in range(80))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int("aa" in (t or ""))) for i, t in enumerate(texts)], "doc_id long, quality int")
+
+    hash_of = lambda w: int(quality.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])
+    all_words = [plain_words(t) for t in texts]
+    count = {}
+    for ws in all_words:
+        for w in ws:
+            count[w] = count.get(w, 0) + 1
+    least = next(n for n in range(quality.LEAST, 10_000) if sum(c >= n for c in count.values()) <= 12)
+    own = {w for w, c in count.items() if c >= least}
+    kind = lambda w: 0 if w[:1].isalpha() or w[0] > 127 else 1 if w.isdigit() else 2
+    name = lambda w: w if w in own else (kind(w), min(len(w), quality.LENGTHS))
+    index = quality.index_vectors()
+    sums, n = {}, {}
+    for ws in all_words:
+        for i, w in enumerate(ws):
+            around = [index[(hash_of(v) >> 40) % quality.INDEXES].astype(int) for j, v in enumerate(ws) if 0 < abs(i - j) <= quality.WINDOW]
+            sums[name(w)] = sums.get(name(w), 0) + sum(around, np.zeros(quality.WIDTH, int))
+            n[name(w)] = n.get(name(w), 0) + 1
+    middle = sum(sums.values()) / sum(n.values())
+    vector = {w: sums[w] / n[w] - middle for w in sums}
+    vector = {w: v / np.linalg.norm(v) for w, v in vector.items()}
+
+    table, network = quality.classifier(docs, labels)
+    assert table.vocabulary.tolist() == sorted(hash_of(w) for w in own) and 0 < len(own) < len(count)
+    for w, v in vector.items():
+        at = table.vocabulary.tolist().index(hash_of(w)) if isinstance(w, bytes) else len(own) + w[0] * quality.LENGTHS + w[1] - 1
+        assert np.allclose(table.vectors[at], v, atol=1e-6)
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
+    for i, ws in enumerate(all_words):
+        x = np.zeros(quality.FEATURES)
+        if ws:
+            v = np.array([vector[name(w)] for w in ws])
+            x[: quality.WIDTH], x[quality.WIDTH : 2 * quality.WIDTH] = v.mean(0), v.std(0)
+            x[-4:-1] = np.log1p(len(ws)), sum(a == b for a, b in zip(ws, ws[1:])) / len(ws), np.log1p(len(texts[i].encode())) - np.log1p(len(ws))
+        x[-1] = not texts[i]
+        h = np.maximum(0, ((x - network.middle) / network.scale) @ network.w1 + network.b1)
+        assert abs(got[i] - 1 / (1 + np.exp(-(h @ network.w2 + network.b2) / network.temperature))) < 1e-3
+
+
 def test_network_is_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(8000, quality.FEATURES)).astype(np.float32)

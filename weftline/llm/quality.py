@@ -2,10 +2,11 @@
 
 Words are runs of letters, runs of digits and runs of other visible characters, as they are written. Every word has a sparse
 random index vector, made by rule from its hash; a word's context vector is the sum of the index vectors of the words
-around it, over all documents. Words share ``SLOTS`` hashed slots, so the table of context vectors has one size for any
-corpus. A document's features are the mean and the spread of its words' vectors, and a few lengths.
+around it, over all documents. The most frequent words, at most ``VOCABULARY``, have a context vector each; rarer ones share
+that of their shape (kind and length), so the table of vectors is bounded for any corpus and no rare word gets a frequent one's.
+A document's features are the mean and the spread of its words' vectors, and a few lengths.
 
-Counting is one pass that adds up a table in each task and sums the tables; scoring is another. The network (two layers,
+One pass counts the words, a second one adds up the context vectors in each task and sums the tables; scoring is a third. The network (two layers,
 numpy) is fitted on at most ``MOST_LABELLED`` labelled documents, taken by a hash of their ids, and its probabilities
 are calibrated by one temperature on a part of them that it was not fitted on.
 
@@ -16,7 +17,6 @@ that share of ones (0.5 for none); equal texts get equal scores; an empty table
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, cut, span_hashes, text_chunks
+from .common import BYTE_CODES, Steps, span_hashes, text_chunks
 
-SLOTS = 1 << 13
+VOCABULARY = 1 << 16  # words with a vector of their own: what is held and sent to tasks, 200 bytes each
+LEAST = 3  # occurrences of such a word
+INDEXES = 1 << 16  # index vectors that are told apart
 WIDTH = 48  # of a word vector
 SIGNS = 4  # entries of an index vector
 WINDOW = 2  # words on each side
@@ -40,10 +42,12 @@ _KIND = np.full(256, _MARK, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E), *range(0x00, 0x09), *range(0x0E, 0x20), 0x7F]] = _BLANK
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
 _KIND[48:58] = _DIGIT
+LENGTHS = 16  # bytes from which on words have one shape
+SHAPES = 3 * LENGTHS
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot of each word, row of each word)."""
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its shape, its row)."""
     kind = _KIND[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -52,80 +56,138 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     solid = kind[turn] != _BLANK if len(turn) else np.zeros(0, bool)
     starts, ends = turn[solid], ends[solid] if len(turn) else turn
     hashes = span_hashes(BYTE_CODES[data], starts, ends)
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    return (hashes >> np.uint64(40)).astype(np.int64) % SLOTS, row
+    shape = (kind[starts].astype(np.int64) - 1) * LENGTHS + np.minimum(ends - starts, LENGTHS) - 1
+    return hashes, shape, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def slots(vocabulary: np.ndarray, hashes: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Where the vector of each word is: that of the word in the sorted ``vocabulary``, or after these the one of its shape."""
+    if not len(vocabulary):
+        return shape
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == hashes, at, len(vocabulary) + shape)
 
 
 def index_vectors() -> np.ndarray:
-    """The sparse random vector of each slot, by rule."""
+    """The sparse random vectors that words have by their hash, by rule; the last one is zero."""
     rng = np.random.default_rng(20_231)
-    out = np.zeros((SLOTS, WIDTH), np.float32)
+    out = np.zeros((INDEXES + 1, WIDTH), np.int8)
     for _ in range(SIGNS):
-        out[np.arange(SLOTS), rng.integers(0, WIDTH, SLOTS)] += rng.choice([-1.0, 1.0], SLOTS).astype(np.float32)
+        np.add.at(out, (np.arange(INDEXES), rng.integers(0, WIDTH, INDEXES)), rng.choice(np.array([-1, 1], np.int8), INDEXES))
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, sums): for each slot that a task met, the sum of the index vectors around it, and how often it occurred."""
-    index = np.concatenate([index_vectors(), np.zeros((1, WIDTH), np.float32)])
-    sums = np.zeros((SLOTS, WIDTH + 1))
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): the words of a task and how often they occur, in stretches of a bounded number of words."""
+    value, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], ["word", "n"])
+
     for batch in batches:
         for _, data, offsets in text_chunks(batch, 0):
-            slot, row = words(data, offsets)
-            n = len(slot)
-            if not n:
-                continue
-            around = np.zeros((n, WIDTH), np.float32)
-            for step in range(1, min(WINDOW, n - 1) + 1):
-                same = row[step:] == row[:-step]
-                around[:-step] += index[np.where(same, slot[step:], SLOTS)]
-                around[step:] += index[np.where(same, slot[:-step], SLOTS)]
-            order = np.argsort(slot, kind="stable")
-            first = np.flatnonzero(np.diff(slot[order], prepend=-1))
-            met = slot[order][first]
-            sums[met, :WIDTH] += np.add.reduceat(around[order], first, axis=0)
-            sums[met, WIDTH] += np.diff(np.append(first, n))
-    met = np.flatnonzero(sums[:, WIDTH])
-    rows = sums[met].astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(WIDTH + 1))], ["slot", *_SUMS])
+            some, n = np.unique(words(data, offsets)[0], return_counts=True)
+            both = np.concatenate((value, some))
+            value, inverse = np.unique(both, return_inverse=True)
+            count = np.bincount(inverse, np.concatenate((count, n)), len(value)).astype(np.int64)
+            if len(value) > 1 << 20:
+                yield rows()
+                value, count = value[:0], count[:0]
+    yield rows()
+
+
+def vocabulary(docs: DataFrame, *, text: str = "text") -> np.ndarray:
+    """The sorted hashes of the most frequent words, ``VOCABULARY`` at most, that occur ``LEAST`` times.
+
+    The frequency from which on words fit is found from counts of frequencies; words as frequent as the first one that does not fit are left out.
+    """
+    steps = Steps(docs.sparkSession)
+    counted = steps.cut(docs.select(text).mapInArrow(_occurrences, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "words")
+    # whole up to 4,096, then 64 steps for each doubling
+    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor((F.log2("n") - 12) * 64)).cast("long")
+    least, total = 0, 0
+    for row in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):  # some 7,000 rows at most
+        least, total = row["level"], total + row["count"]
+        if total > VOCABULARY:
+            least += 1
+            break
+    chosen = counted.where(level >= least).select("word").toPandas()["word"]
+    steps.finish()
+    return np.sort(chosen.to_numpy(np.int64).view(np.uint64))
+
+
+def _count(known: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(slot, sums): for each slot that a task met, the sum of the index vectors around it, and how often it occurred."""
+        index = index_vectors()
+        sums = np.zeros((len(known) + SHAPES, WIDTH + 1), np.int64)
+        for batch in batches:
+            for _, data, offsets in text_chunks(batch, 0):
+                hashes, shape, row = words(data, offsets)
+                n = len(row)
+                if not n:
+                    continue
+                slot, of = slots(known, hashes, shape), (hashes >> np.uint64(40)).astype(np.int64) % INDEXES
+                around = np.zeros((n, WIDTH), np.int8)
+                for step in range(1, min(WINDOW, n - 1) + 1):
+                    same = row[step:] == row[:-step]
+                    around[:-step] += index[np.where(same, of[step:], INDEXES)]
+                    around[step:] += index[np.where(same, of[:-step], INDEXES)]
+                order = np.argsort(slot, kind="stable")
+                first = np.flatnonzero(np.diff(slot[order], prepend=-1))
+                met = slot[order][first]
+                sums[met, :WIDTH] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
+                sums[met, WIDTH] += np.diff(np.append(first, n))
+        met = np.flatnonzero(sums[:, WIDTH])
+        yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(np.ascontiguousarray(sums[met, i])) for i in range(WIDTH + 1))], ["slot", *_SUMS])
+
+    return run
 
 
 _SUMS = [f"s{i}" for i in range(WIDTH + 1)]
 
 
-def word_vectors(docs: DataFrame, *, text: str = "text") -> np.ndarray:
-    """The context vector of each slot, of length 1 or zero, counted over all of ``docs``: SLOTS rows, whatever the corpus."""
-    counted = docs.select(text).mapInArrow(_count, "slot long, " + ", ".join(f"{c} long" for c in _SUMS))
-    total = counted.groupBy("slot").agg(*(F.sum(c).alias(c) for c in _SUMS))
-    out = np.zeros((SLOTS, WIDTH + 1))
-    for row in total.collect():  # at most SLOTS rows
-        out[row[0]] = row[1:]
+@dataclass
+class WordVectors:
+    """``vectors``: a row for each word of the sorted ``vocabulary`` (hashes), then one for each shape."""
+
+    vocabulary: np.ndarray
+    vectors: np.ndarray
+
+
+def word_vectors(docs: DataFrame, *, text: str = "text") -> WordVectors:
+    """Context vectors of length 1 or zero, counted over all of ``docs``; at most ``VOCABULARY`` and ``SHAPES`` rows, whatever the corpus."""
+    known = vocabulary(docs, text=text)
+    counted = docs.select(text).mapInArrow(_count(known), "slot long, " + ", ".join(f"{c} long" for c in _SUMS))
+    total = counted.groupBy("slot").agg(*(F.sum(c).alias(c) for c in _SUMS)).toPandas()  # a row for each vector
+    out = np.zeros((len(known) + SHAPES, WIDTH + 1))
+    out[total["slot"].to_numpy(np.int64)] = total[_SUMS].to_numpy(np.float64)
     # common directions say little: take out the mean over the occurrences, then scale
     total_n = max(1.0, out[:, WIDTH].sum())
     vectors = out[:, :WIDTH] / np.maximum(out[:, WIDTH:], 1)
     vectors -= (vectors * out[:, WIDTH:]).sum(0) / total_n
     vectors[out[:, WIDTH] == 0] = 0
     size = np.sqrt((vectors**2).sum(1))
-    return (vectors / np.where(size > 0, size, 1)[:, None]).astype(np.float32)
+    return WordVectors(known, (vectors / np.where(size > 0, size, 1)[:, None]).astype(np.float32))
 
 
-def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def pooled(data: np.ndarray, offsets: np.ndarray, table: WordVectors) -> np.ndarray:
     """Features of each row: mean and spread of its word vectors, then logarithms of lengths."""
-    slot, row = words(data, offsets)
+    hashes, shape, row = words(data, offsets)
     rows = len(offsets) - 1
     out = np.zeros((rows, FEATURES), np.float32)
-    if len(slot):
+    if len(row):
         first = np.flatnonzero(np.diff(row, prepend=-1))
         at, n = row[first], np.diff(np.append(first, len(row)))
-        v = vectors[slot]
+        v = table.vectors[slots(table.vocabulary, hashes, shape)]
         mean = np.add.reduceat(v, first, axis=0) / n[:, None]
         square = np.add.reduceat(v * v, first, axis=0) / n[:, None]
         out[at, :WIDTH] = mean
         out[at, WIDTH : 2 * WIDTH] = np.sqrt(np.maximum(0, square - mean**2))
         out[at, 2 * WIDTH] = np.log1p(n)
         # a word that follows itself
-        again = np.zeros(len(slot), np.float32)
-        again[1:] = (slot[1:] == slot[:-1]) & (row[1:] == row[:-1])
+        again = np.zeros(len(row), np.float32)
+        again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
         out[at, 2 * WIDTH + 1] = np.add.reduceat(again, first) / n
         out[at, 2 * WIDTH + 2] = np.log1p(np.diff(offsets)[at]) - np.log1p(n)
     out[:, 2 * WIDTH + 3] = np.diff(offsets) == 0
@@ -200,7 +262,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, epochs: int = 60, seed: int = 7) -> Net
 _TEMPERATURES = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
 
 
-def _features(vectors: np.ndarray):
+def _features(vectors: WordVectors):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in text_chunks(batch, 3):
@@ -210,7 +272,7 @@ def _features(vectors: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> Network:
+def train(docs: DataFrame, labels: DataFrame, vectors: WordVectors, *, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> Network:
     """``labels`` (key, label): the rows to learn from. At most ``most`` of them are, those whose ids hash lowest."""
     chosen = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     order = F.xxhash64(F.col("id"), F.lit(29))
@@ -222,18 +284,14 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, key: str =
     return fit(x, got["label"].to_numpy())
 
 
-def score(docs: DataFrame, network: Network, vectors: np.ndarray, *, text: str = "text", name: str = "score") -> DataFrame:
+def score(docs: DataFrame, network: Network, vectors: WordVectors, *, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` (all columns) and ``name``, the probability of label 1."""
-    raw = io.BytesIO()
-    np.save(raw, vectors)
     at = docs.columns.index(text)
-    held = raw.getvalue()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.load(io.BytesIO(held))
         for batch in batches:
             for part, data, offsets in text_chunks(batch, at):
-                s = network.scores(pooled(data, offsets, table))
+                s = network.scores(pooled(data, offsets, vectors))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*part.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -245,7 +303,7 @@ def held_out(key: Column, parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % parts == part, F.lit(False))
 
 
-def classifier(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, Network]:
+def classifier(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[WordVectors, Network]:
     """Word vectors of ``docs`` and a network for them, from the labels that are not held out."""
     vectors = word_vectors(docs, text=text)
     return vectors, train(docs, labels.where(~held_out(F.col(key))), vectors, key=key, text=text, label=label)
