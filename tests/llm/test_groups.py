@@ -134,9 +134,11 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("cell, block", [(2048, 1024), (40, 16)])
-def test_cosine_components(spark, monkeypatch, cell, block):
-    """The small setting makes many cells, visits and blocks."""
+@pytest.mark.parametrize("cell, block, split", [(2048, 1024, 256), (40, 16, 256), (12, 8, 3)])
+def test_cosine_components(spark, monkeypatch, cell, block, split):
+    """The small settings make many cells, visits and blocks, and divide cells again."""
+    monkeypatch.setattr(cosine_dedup, "SPLIT", split)
+    monkeypatch.setattr(cosine_dedup, "CHUNK", 50 * split)
     monkeypatch.setattr(cosine_dedup, "CELL", cell)
     monkeypatch.setattr(cosine_dedup, "BLOCK", block)
     rows = vectors()
