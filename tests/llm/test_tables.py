@@ -94,6 +94,26 @@ def test_fixity(spark, monkeypatch):
     assert {r["state"] for r in fixity.audit(ours, none).collect()} == {"missing"} and fixity.audit(ours, none).count() == 301
 
 
+def test_warc_files(spark, tmp_path):
+    """Written, read again and audited against a replica with a broken record, a lost one and a torn head."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>é\r\n\r\n" * (i % 5) + "WARC/1.0\r\n" * (i % 2)) for i in range(40)] + [(7, "http://x/7", None)] * 3 + [(8, "u", "y" * 600_000)], "page_id long, url string, html string")
+    ours = fixity.archive(pages, per_file=25).cache()
+    assert [r["n"] for r in ours.groupBy("file").agg((F.sum("length") - F.max(F.col("offset") + F.col("length"))).alias("n")).collect()] == [0, 0]
+    fixity.write_warc(ours, str(tmp_path / "a"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(str(tmp_path / "a"))
+    number = F.regexp_extract("file", "file=([0-9]+)", 1).cast("long")
+    read = fixity.read_warc(files).withColumn("file", number)
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, ours.select("file", "offset", "length", "payload").collect()))
+    raw = bytearray(files.where("path like '%file=0/%'").first()["content"])
+    places = sorted((r["offset"], r["length"]) for r in ours.where("file = 0").collect())
+    raw[places[3][0] + places[3][1] - 6] ^= 1
+    raw[places[4][0]] ^= 1
+    broken = spark.createDataFrame([("file=0", bytes(raw))], "path string, content binary")
+    found = fixity.audit(ours.where("file = 0"), fixity.read_warc(broken).withColumn("file", number))
+    assert sorted((r["offset"], r["state"]) for r in found.collect()) == [(places[3][0], "changed"), (places[4][0], "changed")]
+    assert fixity.read_warc(files.where("false")).count() == 0
+
+
 def test_shards(spark):
     rng = np.random.default_rng(1)
     rows = [(i, None if i % 50 == 0 else "x" * int(rng.integers(0, 200)), "hot" if i % 3 else f"s{i % 9}", "en", 1) for i in range(2000)]
@@ -110,6 +130,42 @@ def test_shards(spark):
     assert kd_shards.kd_shards(table, [F.lit(1)], shards=1).select("shard").distinct().count() == 1
 
 
+def test_shards_are_those_of_a_plain_tree(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if i == 7 else i // 2 if i < 40 else i, None if i % 50 == 0 else "x" * int(rng.integers(0, 90)), f"s{i % 5}") for i in range(700)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    dimensions = [F.length("text"), F.pmod(F.xxhash64("source"), F.lit(1 << 20))]
+    content = F.coalesce("text", F.lit(""))
+    codes = table.select("doc_id", content.alias("t"), *(F.coalesce(d.cast("long"), F.lit(0)) for d in dimensions), F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11), content), 34)).collect()
+    points = [(r[0], len(r[1]) + 8, r[2:4], r[4]) for r in codes]
+
+    def spread(ps, d):
+        w = np.array([p[1] for p in ps], float)
+        x = np.array([p[2][d] for p in ps], float)
+        return max(0.0, (w * x * x).sum() / w.sum() - ((w * x).sum() / w.sum()) ** 2) ** 0.5
+
+    whole = [spread(points, d) for d in (0, 1)]
+
+    def leaves(ps, k):
+        if k == 1:
+            return [ps]
+        relative = [spread(ps, d) / whole[d] if whole[d] else 0.0 for d in (0, 1)]
+        d = relative.index(max(relative))
+        code = lambda p: p[2][d] << 30 | p[3]
+        goal, before = sum(p[1] for p in ps) * (k // 2) / k, 0
+        for c in sorted({code(p) for p in ps}):
+            have = before + sum(p[1] for p in ps if code(p) == c)
+            if have > goal:
+                at = c if goal - before <= have - goal else c + 1
+                break
+            before = have
+        return leaves([p for p in ps if code(p) < at], k // 2) + leaves([p for p in ps if code(p) >= at], k - k // 2)
+
+    got = kd_shards.kd_shards(table, dimensions, shards=6).collect()
+    shards = [sorted(repr((r["doc_id"], r["size"])) for r in got if r["shard"] == s) for s in range(6)]
+    assert sorted(shards) == sorted(sorted(repr((p[0], p[1])) for p in leaf) for leaf in leaves(points, 6))
+
+
 def test_shards_cut_equal_rows(spark):
     table = spark.createDataFrame([(i, "same") for i in range(1000)], "doc_id long, text string")
     got = kd_shards.kd_shards(table, [F.lit(3)], shards=5).groupBy("shard").count().toPandas()

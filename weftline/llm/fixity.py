@@ -15,31 +15,87 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Steps
 
 LEAF = 1 << 18  # bytes of a file that a leaf covers
 FAN = 16
 
+#: The date that records have whose page has none.
+DATE = "2024-01-01T00:00:00Z"
+
+_HEAD = re.compile(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*?Content-Length:[ \t]*([0-9]+)[ \t]*\r\n(?:[^\r\n]+\r\n)*\r\n", re.IGNORECASE)
+_NEXT = re.compile(rb"WARC/1\.[01]\r\n")
+
 
-def warc_record(uri: Column, content: Column, number: Column) -> Column:
-    """The bytes of a WARC/1.0 resource record."""
+def warc_record(uri: Column, content: Column, number: Column, date: str = DATE) -> Column:
+    """The text of a WARC/1.0 resource record, with the two line ends after it. ``uri`` and ``content``: text."""
     body = F.coalesce(content, F.lit(""))
     head = F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:weft:"), F.coalesce(number.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "),
+        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:weft:"), F.coalesce(number.cast("string"), F.lit("")), F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
         F.coalesce(uri, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
-    return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
+    return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def archive(pages: DataFrame, *, key: str = "page_id", uri: str = "url", content: str = "html", per_file: int = 1000) -> DataFrame:
-    """(file, offset, length, key, payload): ``pages`` as records of WARC files with the pages of ``per_file`` consecutive keys each."""
-    rows = pages.select(F.floor(F.col(key) / per_file).cast("long").alias("file"), F.col(key).alias("key"), warc_record(F.col(uri), F.col(content), F.col(key)).alias("payload"))
-    rows = rows.where("key is not null").withColumn("length", F.octet_length("payload").cast("long"))
-    before = F.coalesce(F.sum("length").over(Window.partitionBy("file").orderBy("key", "payload").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("offset", before).select("file", "offset", "length", "key", "payload")
+def archive(pages: DataFrame, *, key: str = "page_id", uri: str = "url", content: str = "html", per_file: int = 1000, date: str = DATE) -> DataFrame:
+    """(file, offset, length, key, payload): ``pages`` as records of WARC files with the pages of ``per_file`` consecutive keys each.
+
+    Records of a file follow their keys, those of one key a digest. Offsets are sums over (key, digest, length) alone; payloads are dealt by
+    these and never sorted by file. Pages that are alike in all columns lie side by side.
+    """
+    record = warc_record(F.col(uri), F.col(content), F.col(key), date)
+    rows = pages.where(F.col(key).isNotNull()).select(F.floor(F.col(key) / per_file).cast("long").alias("file"), F.col(key).alias("key"), record.cast("binary").alias("payload"))
+    rows = rows.select("file", "key", F.xxhash64("payload").alias("tie"), F.octet_length("payload").cast("long").alias("length"), "payload")
+    same = ["key", "tie", "length"]
+    alike = rows.groupBy("file", *same).agg(F.count("*").alias("n"))
+    upto = F.sum(F.col("n") * F.col("length")).over(Window.partitionBy("file").orderBy(*same).rowsBetween(Window.unboundedPreceding, -1))
+    begins = alike.select(*same, F.coalesce(upto, F.lit(0)).alias("begin"))
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("begin")) - 1
+    return rows.join(begins, same).withColumn("offset", F.col("begin") + nth * F.col("length")).select("file", "offset", "length", "key", "payload")
+
+
+def write_warc(records: DataFrame, path: str) -> None:
+    """Write (file, offset, payload) as WARC files, a folder ``file=...`` for each, records in the order of their offsets. Payloads are UTF-8.
+
+    The two line ends of a record are what Spark's text writer puts after each row.
+    """
+    end = F.octet_length("payload") - 4
+    rows = records.select("file", "offset", F.expr("substring(payload, 1, octet_length(payload) - 4)").cast("string").alias("value")).where(end >= 0)
+    rows.repartition("file").sortWithinPartitions("file", "offset").select("file", "value").write.partitionBy("file").option("lineSep", "\r\n\r\n").text(path)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, offset, length, payload) of the records in whole files. What cannot be read as a record goes up to the next one that begins with a version line."""
+    for batch in batches:
+        for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            raw = memoryview(raw.as_buffer())
+            at, rows = 0, []
+            while at < len(raw):
+                found = _HEAD.match(raw, at)
+                end = found.end() + int(found[1]) + 4 if found else at
+                if not found or end > len(raw) or raw[end - 4 : end] != b"\r\n\r\n":
+                    following = _NEXT.search(raw, at + 1)
+                    end = following.start() if following else len(raw)
+                rows.append((at, end))
+                at = end
+            for lo in range(0, len(rows), 1000):
+                some = rows[lo : lo + 1000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(some)), pa.array([a for a, _ in some], pa.int64()), pa.array([b - a for a, b in some], pa.int64()), pa.array([bytes(raw[a:b]) for a, b in some], pa.binary())],
+                    ["file", "offset", "length", "payload"],
+                )
+
+
+def read_warc(files: DataFrame) -> DataFrame:
+    """(file, offset, length, payload) of WARC files without compression, from (path, content) as Spark's ``binaryFile`` reads them. A file is read by one task."""
+    return files.select("path", "content").mapInArrow(_members, "file string, offset long, length long, payload binary")
 
 
 def record_hashes(records: DataFrame) -> DataFrame:
@@ -48,15 +104,15 @@ def record_hashes(records: DataFrame) -> DataFrame:
     return found.select("file", "offset", "length", F.sha2(F.coalesce("payload", F.lit(b"")), 256).alias("hash"))
 
 
-def merkle_levels(hashed: DataFrame, heights: int) -> list[DataFrame]:
+def merkle_levels(steps: Steps, hashed: DataFrame, heights: int) -> list[DataFrame]:
     """Tables (file, node, hash), leaves first; ``heights``: how many levels are over the leaves. The last one has one node for each file."""
     entry = F.concat_ws(":", F.lpad(F.col("offset").cast("string"), 20, "0"), F.col("length").cast("string"), "hash")
     leaf = hashed.groupBy("file", F.floor(F.col("offset") / LEAF).cast("long").alias("node")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ","), 256).alias("hash"))
-    levels = [cut(leaf, "merkle_leaves")]
+    levels = [steps.cut(leaf, "merkle_leaves")]
     for _ in range(heights):
         part = F.concat_ws(":", F.lpad(F.col("node").cast("string"), 20, "0"), "hash")
         up = levels[-1].groupBy("file", F.floor(F.col("node") / FAN).cast("long").alias("up")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(part)), ","), 256).alias("hash"))
-        levels.append(cut(up.withColumnRenamed("up", "node"), "merkle_level"))
+        levels.append(steps.cut(up.withColumnRenamed("up", "node"), "merkle_level"))
     return levels
 
 
@@ -65,19 +121,21 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
 
     Both are tables (file, offset, length, payload). length: that of the original, or of the replica for extra records.
     """
-    left, right = cut(record_hashes(original), "hashes"), cut(record_hashes(replica), "hashes")
+    steps = Steps(original.sparkSession)
+    left, right = steps.cut(record_hashes(original), "hashes"), steps.cut(record_hashes(replica), "hashes")
     last = left.unionByName(right).agg(F.max("offset")).first()[0]
     heights, reach = 0, (last or 0) // LEAF
     while reach:
         heights, reach = heights + 1, reach // FAN
-    ours, theirs = merkle_levels(left, heights), merkle_levels(right, heights)
+    ours, theirs = merkle_levels(steps, left, heights), merkle_levels(steps, right, heights)
     bad: DataFrame | None = None
     for a, b in zip(reversed(ours), reversed(theirs)):
         if bad is not None:
             up = F.floor(F.col("node") / FAN).cast("long").alias("up")
             a, b = (t.select("*", up).join(bad, ["file", "up"], "left_semi").drop("up") for t in (a, b))
         met = a.select("file", "node", F.col("hash").alias("h1")).join(b.select("file", "node", F.col("hash").alias("h2")), ["file", "node"], "full_outer")
-        bad = cut(met.where(~F.col("h1").eqNullSafe(F.col("h2"))).select("file", F.col("node").alias("up")), "differing")
+        bad = steps.cut(met.where(~F.col("h1").eqNullSafe(F.col("h2"))).select("file", F.col("node").alias("up")), "differing")
+    steps.finish(left, right, bad)
     leaf = F.floor(F.col("offset") / LEAF).cast("long").alias("up")
 
     def records(t: DataFrame, side: str) -> DataFrame:

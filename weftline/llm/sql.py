@@ -25,7 +25,7 @@ FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON l
 def _op2() -> str:
     """Lines of the record's head end in carriage return and line feed."""
     end = "' || chr(13) || chr(10) || '"
-    head = f"'WARC/1.0{end}WARC-Type: resource{end}WARC-Record-ID: <urn:weft:' || page_id || '>{end}WARC-Target-URI: ' || coalesce(url, '') || '{end}Content-Type: text/html{end}Content-Length: '"
+    head = f"'WARC/1.0{end}WARC-Type: resource{end}WARC-Record-ID: <urn:weft:' || page_id || '>{end}WARC-Date: 2024-01-01T00:00:00Z{end}WARC-Target-URI: ' || coalesce(url, '') || '{end}Content-Type: text/html{end}Content-Length: '"
     return f"""
 WITH records AS (
     SELECT page_id, page_id // 1000 AS file,
