@@ -9,10 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
-_cleanup = threading.Lock()
+_WANTED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_before: dict[str, str | None] = {}
+_lock = threading.Lock()
 _writers = 0
-_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_cleanup_before: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,26 +32,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftline/{uuid.uuid4().hex}/{name}"
 
 
-class _FilesGoEarly:
-    """While any table is written, shuffle files go as soon as their query has ended. Tables written at the same time by several threads share the setting."""
+class _Settings:
+    """The session's settings while any table is written: shuffle files go as soon as their query has ended, and Python gets fewer rows at once.
+
+    Tables written at the same time by several threads share them.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.conf = spark.conf
 
     def __enter__(self) -> None:
-        global _writers, _cleanup_before
-        with _cleanup:
+        global _writers
+        with _lock:
             if not _writers:
-                _cleanup_before = self.conf.get(_CLEANUP_KEY, None)
-                self.conf.set(_CLEANUP_KEY, "true")
+                for key, value in _WANTED.items():
+                    _before[key] = self.conf.get(key, None)
+                    self.conf.set(key, value)
             _writers += 1
 
     def __exit__(self, *_) -> None:
         global _writers
-        with _cleanup:
+        with _lock:
             _writers -= 1
             if not _writers:
-                self.conf.unset(_CLEANUP_KEY) if _cleanup_before is None else self.conf.set(_CLEANUP_KEY, _cleanup_before)
+                for key, value in _before.items():
+                    self.conf.unset(key) if value is None else self.conf.set(key, value)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -70,7 +75,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    with _FilesGoEarly(df.sparkSession):
+    with _Settings(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
