@@ -11,7 +11,7 @@ import pyarrow as pa
 from weftline.sources.staging import Steps, cut, new_path  # noqa: F401
 
 #: Bytes of text that the vectorised kernels look at together. Bounds the memory of a task.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 #: Values from which on a span is hashed on its own.
 LONG_SPAN = 256
