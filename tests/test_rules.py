@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import connect, interpret, lifecycle, match
+from weftline.operators import connect, identity, interpret, lifecycle, match
 from weftline.plans import build, plugins
 from weftline.sources import staging
 
@@ -115,6 +115,18 @@ def test_closure_that_does_not_settle_is_an_error(spark, monkeypatch):
         match.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5)], "a int, b int"))
 
 
+def test_ids_do_not_depend_on_what_spark_reuses(spark):
+    keys = spark.range(200_000).select(F.lit("ns").alias("source_namespace"), F.sha2(F.col("id").cast("string"), 256).alias("source_key"))
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            got = identity.register(None, keys, "r")
+            assert tuple(got.agg(F.min("entity_id"), F.max("entity_id"), F.countDistinct("entity_id"), F.count("*")).first()) == (1, 200_000, 200_000, 200_000)
+            assert got.orderBy("source_key").where("entity_id = 1").first()["source_key"] == got.agg(F.min("source_key")).first()[0]
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_steps_leave_only_what_the_result_reads(spark):
     steps = staging.Steps(spark)
     kept, other = (steps.cut(spark.range(3).toDF("x"), n) for n in ("kept", "other"))

@@ -69,6 +69,11 @@ def test_jsonl_ddl_and_names(spark, tmp_path):
     t = files.declared_tables("CREATE TABLE @x.person (person_id integer NOT NULL, born date, price numeric(10,2), note varchar(50), at timestamp with time zone, CONSTRAINT p PRIMARY KEY (person_id));")
     assert t["person"].simpleString() == "struct<person_id:int,born:date,price:double,note:string,at:timestamp>"
     assert files.wanted("data_clinical_patient.txt") and not files.wanted("data_expression_x.txt") and not files.wanted("readme.md")
+    assert files.wanted("data_linear_cna_hg19.seg") and not files.wanted("Data_Clinical_patient.txt") and not files.wanted("data_rppa_x.txt")
+    p = write(tmp_path, "long.txt", "".join(f"#note {i}\n\n" for i in range(200)) + "A\tB\n1\t2\n")
+    assert rows(files.read_tsv(spark, p)) == [("1", "2")]
+    with pytest.raises(ValueError, match="no line of names"):
+        files.read_tsv(spark, write(tmp_path, "none.txt", "#a\n#b\n"))
 
 
 def test_scoped_and_keyed_writes(spark):
@@ -95,8 +100,39 @@ def test_status_log_as_a_stream(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
         events.follow_status(spark.readStream.schema(schema).parquet(str(tmp_path / "log")), "statuses", str(tmp_path / "cp")).awaitTermination()
         spark.catalog.refreshTable("statuses")
-        assert n or rows(spark.read.table("statuses")) == [(1, "auto", 1), (2, "pinned", 5)]
-    assert rows(spark.read.table("statuses")) == [(1, "accepted", 3), (2, "pinned", 5)]
+        assert n or rows(spark.read.table("statuses").select("id", "status", "seq")) == [(1, "auto", 1), (2, "pinned", 5)]
+    assert rows(spark.read.table("statuses").select("id", "status", "seq")) == [(1, "accepted", 3), (2, "pinned", 5)]
+
+
+def test_a_batch_replaces_only_the_parts_of_its_ids(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS parted")
+    schema = "id int, status string, seq int"
+    files_of = lambda: set(spark.read.table("parted").inputFiles())
+    seen = []
+    for batch in ([(i, "auto", 1) for i in range(40)], [(7, "pinned", 2)], [(7, "late", 0), (41, "auto", 1)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        events.follow_status(spark.readStream.schema(schema).parquet(str(tmp_path / "log")), "parted", str(tmp_path / "cp"), buckets=8).awaitTermination()
+        spark.catalog.refreshTable("parted")
+        seen.append(files_of())
+    assert len({f.rpartition("bucket=")[2].split("/")[0] for f in seen[0] - seen[1]}) == 1 and spark.read.table("parted").count() == 41
+    assert rows(spark.read.table("parted").where("id = 7").select("status", "seq")) == [("pinned", 2)]
+
+
+def test_a_broken_swap_keeps_the_table(spark):
+    t = spark.createDataFrame([(1,)], "v int")
+    for broken in range(4):
+        for n in ("sw", "sw__next", "sw__before"):
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
+        sinks.swap(spark, "sw", t)
+        t.union(t).write.saveAsTable("sw__next")  # what a break leaves: a new table, then the old one put aside, then a new one in place
+        if broken:
+            spark.sql("ALTER TABLE sw RENAME TO sw__before")
+        if broken == 2:
+            spark.sql("ALTER TABLE sw__next RENAME TO sw")
+        if broken == 3:
+            spark.sql("DROP TABLE sw__next")
+        assert sinks.stored(spark, "sw", t).count() == (2 if broken in (1, 2) else 1)
+        assert catalog.tables(spark, "default", "sw*") == ["sw"]
 
 
 def test_windowed_counts(spark, sf, tmp_path):

@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import keys
+from weftline.sources.staging import cut
 
 
-def _numbered(new: DataFrame, order: list[str], first: Column, parts: int = 64) -> DataFrame:
-    """Dense numbers in the order of ``order``, without gathering all rows in one task: ranges of the order are counted, then numbered on their own."""
-    ranged = new.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+def _numbered(new: DataFrame, order: list[str], first: Column) -> DataFrame:
+    """Dense numbers in the order of ``order``, without gathering all rows in one task: ranges of the order are counted, then numbered on their own.
+
+    The rows are written with the number of their range, so both steps see the same ranges, whatever Spark computes again.
+    """
+    ranged = cut(new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))
-    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # ``parts`` rows
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # a row for each range
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("entity_id", first + F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 

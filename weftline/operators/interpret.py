@@ -35,6 +35,7 @@ def needs_decoding() -> Column:
 
 def plain_vocabulary(name: Column) -> Column:
     """A vocabulary's name for comparison (FN-19)."""
+    # The edition's pattern and the words that are left out.
     bare = F.regexp_replace(F.trim(F.lower(name)), r"\s*\d+(st|nd|rd|th)\s+edition\s*", "")
     for word in ("staging", "classification", "codes", "system"):
         bare = F.trim(F.regexp_replace(bare, word, ""))

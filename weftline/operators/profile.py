@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +11,22 @@ from weftline.functions import keys
 
 #: Words of table and column names that speak for a domain.
 DOMAIN_WORDS = {
-    "healthcare": "patient diagnosis encounter provider claim procedure medication prescription clinical icd cpt ndc loinc snomed vitals lab observation condition allergy immunization practitioner hospital admission discharge",
-    "financial": "account transaction ledger portfolio trade ticker cusip isin naics sic balance payment invoice revenue expense asset liability equity dividend interest loan credit debit settlement clearing",
-    "real_estate": "property listing parcel lease tenant unit building address zoning mls appraisal mortgage deed escrow closing sqft bedroom bathroom lot assessment landlord rental vacancy occupancy",
-    "logistics": "shipment carrier tracking warehouse inventory order delivery route fleet freight container manifest customs dispatch dock pallet sku fulfillment transit",
-    "general": "user customer product order category session event log metric config",
-}
+    "healthcare": [
+        "patient", "diagnosis", "encounter", "provider", "claim", "procedure", "medication", "prescription", "clinical", "icd", "cpt", "ndc", "loinc", "snomed", "vitals", "lab", "observation", "condition", "allergy", "immunization", "practitioner", "hospital", "admission", "discharge",
+    ],
+    "financial": [
+        "account", "transaction", "ledger", "portfolio", "trade", "ticker", "cusip", "isin", "naics", "sic", "balance", "payment", "invoice", "revenue", "expense", "asset", "liability", "equity", "dividend", "interest", "loan", "credit", "debit", "settlement", "clearing",
+    ],
+    "real_estate": [
+        "property", "listing", "parcel", "lease", "tenant", "unit", "building", "address", "zoning", "mls", "appraisal", "mortgage", "deed", "escrow", "closing", "sqft", "bedroom", "bathroom", "lot", "assessment", "landlord", "rental", "vacancy", "occupancy",
+    ],
+    "logistics": [
+        "shipment", "carrier", "tracking", "warehouse", "inventory", "order", "delivery", "route", "fleet", "freight", "container", "manifest", "customs", "dispatch", "dock", "pallet", "sku", "fulfillment", "transit",
+    ],
+    "general": [
+        "user", "customer", "product", "order", "category", "session", "event", "log", "metric", "config",
+    ],
+}
 #: Fixed values of the tiers of foreign keys: confidence by values, by counts, by name only; and the coverage that values need.
 TIER_CONFIDENCE = (0.95, 0.80, 0.70)
 COVERAGE = 0.80
@@ -28,14 +40,16 @@ def columns_of(tables: dict[str, DataFrame], schema: str) -> DataFrame:
 
 
 def profile(table: DataFrame, name: str) -> DataFrame:
-    """(table, column, n_rows, n_nulls, n_distinct) for every column, from one pass (AGG-01, AGG-02, AGG-05).
+    """(table, column, n_rows, n_nulls, n_distinct) for every column (AGG-01, AGG-02, AGG-05).
 
-    Exact distinct counts of all columns at once would multiply the rows, so each is a distinct count of its own over a 64-bit
-    hash of the value.
+    Exact distinct counts of all columns in one aggregate would multiply the rows by the columns. So each column is counted on its own: its scan
+    reads that column only, equal values are added up before the shuffle, and the values' counts give all three numbers.
     """
-    stats = [F.struct(F.lit(c).alias("column"), (F.count("*") - F.count(c)).alias("n_nulls"), F.countDistinct(F.when(F.col(c).isNotNull(), F.xxhash64(c))).alias("n_distinct")) for c in table.columns]
-    found = table.agg(F.count("*").alias("n_rows"), F.array(*stats).alias("s")).select("n_rows", F.explode("s").alias("s"))
-    return found.select(F.lit(name).alias("table"), "s.column", "n_rows", "s.n_nulls", "s.n_distinct")
+    found = []
+    for c in table.columns:
+        counted = table.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count("*").alias("n"))
+        found.append(counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"), F.count("v").alias("n_distinct")).withColumn("column", F.lit(c)))
+    return reduce(DataFrame.unionByName, found).select(F.lit(name).alias("table"), "column", "n_rows", "n_nulls", "n_distinct")
 
 
 def approx_profile(table: DataFrame, name: str, error: float = 0.02) -> DataFrame:
@@ -89,7 +103,7 @@ def key_tier(evidence: DataFrame) -> DataFrame:
 
 
 def domain_words(spark) -> DataFrame:
-    return spark.createDataFrame([(d, w) for d, ws in DOMAIN_WORDS.items() for w in ws.split()], "domain string, word string")
+    return spark.createDataFrame([(d, w) for d, ws in DOMAIN_WORDS.items() for w in ws], "domain string, word string")
 
 
 def domain_weights(columns: DataFrame) -> DataFrame:

@@ -104,3 +104,31 @@ def unscoped(edges: dict[str, DataFrame], scope: str = "source_schema") -> DataF
         one = table.agg(F.count_if(F.col(scope).isNull()).alias("n_nulls")).select(F.lit(name).alias("shape"), "n_nulls")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def no_map_accounting(staged: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: outcome, n_no_map, resolved_in_gold, unlabelled_in_gold: staged codes without a map against the gold labels (QA-03).
+
+    staged: code, resolution; gold: code, label. Codes that gold resolves and the stage does not are a failure; both lists are sorted.
+    """
+    none = staged.where("resolution = 'NO_MAP'").select("code").distinct().join(gold.select("code", "label"), "code", "left")
+    listed = lambda label: F.sort_array(F.collect_set(F.when(F.col("label") == label, F.col("code"))))
+    found = none.agg(F.countDistinct("code").alias("n_no_map"), listed("RESOLVED").alias("resolved_in_gold"), listed("UNLABELLED").alias("unlabelled_in_gold"))
+    return found.select(F.when(F.size("resolved_in_gold") == 0, "PASS").otherwise("FAIL").alias("outcome"), "*")
+
+
+def strict_gate(checks: DataFrame, violations: DataFrame, report: DataFrame) -> DataFrame:
+    """One row: passed, reasons: what keeps a run from passing strictly (QA-08).
+
+    checks: name, outcome; violations: decisions against the contract; report: contradicted (boolean). Missing gold labels alone are no reason.
+    """
+    failed = checks.where("outcome <> 'PASS'").agg(F.sort_array(F.collect_set("name")).alias("failed"))
+    broken = violations.agg(F.count("*").alias("n_violations"))
+    denied = report.agg(F.coalesce(F.max("contradicted"), F.lit(False)).alias("contradicted"))
+    reasons = F.array(
+        F.when(F.size("failed") > 0, F.concat(F.lit("checks: "), F.array_join("failed", ", "))),
+        F.when(F.col("n_violations") > 0, F.concat(F.lit("conformance: "), F.col("n_violations").cast("string"))),
+        F.when(F.col("contradicted"), F.lit("gold is contradicted")),
+    )
+    one = failed.crossJoin(broken).crossJoin(denied).withColumn("reasons", F.array_compact(reasons))  # one row each
+    return one.select((F.size("reasons") == 0).alias("passed"), "reasons")

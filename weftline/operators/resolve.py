@@ -49,9 +49,9 @@ def resolve(codes: DataFrame, concepts: DataFrame, relations: DataFrame, policy:
     rows = codes.select("code").where("code is not null").distinct().join(chosen, "code", "left").join(count(candidates, "c"), "code", "left").join(count(standard, "s"), "code", "left")
     reason = (
         F.when(F.col("n") > 0, None)
-        .when(F.col("c").isNull(), f"source code not found in vocabulary '{policy.vocabulary}'")
-        .when(F.col("s").isNull(), f"no standard, valid '{policy.relation}' target (no curated crosswalk)")
-        .otherwise(f"standardized target(s) fell outside target domain '{policy.domain}'")
+        .when(F.col("c").isNull(), f"'{policy.vocabulary}' has no such code")
+        .when(F.col("s").isNull(), f"the code has no valid standard target by '{policy.relation}'")
+        .otherwise(f"all standard targets are outside the domain '{policy.domain}'")
     )
     return rows.select(
         "code",

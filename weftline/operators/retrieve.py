@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import question_tokens
-from weftline.functions.values import cosine, final_score
+from weftline.functions.values import final_score
 from weftline.operators.ranked import number, pick
 
 
+#: Words of the questions of one request. More are an error, not a cut.
+MOST_WORDS = 2000
+
+
 def lexical_seeds(questions: DataFrame, nodes: DataFrame, k: int | None = None) -> DataFrame:
     """(question_id, label, name, n_tokens, score, match): nodes whose name holds a word of the question (VEC-05, FN-13, FN-15).
 
-    questions: question_id, question, those of one request: their words come to the driver and go with the plan, so every node is
+    questions: question_id, question, those of one request: their words, ``MOST_WORDS`` at most, come to the driver and go with the plan, so every node is
     looked at once and nothing is joined. nodes: label, name, confidence.
     """
-    words = questions.select("question_id", F.explode(F.array_distinct(question_tokens(F.col("question")))).alias("token")).collect()
+    words = questions.select("question_id", F.explode(F.array_distinct(question_tokens(F.col("question")))).alias("token")).limit(MOST_WORDS + 1).collect()
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"a request has {MOST_WORDS} words at most; split its questions")
     kind = questions.schema["question_id"].dataType
     asked = F.array(*(F.struct(F.lit(w["question_id"]).cast(kind).alias("question_id"), F.lit(w["token"]).alias("token")) for w in words))
     if not words:
@@ -27,14 +36,52 @@ def lexical_seeds(questions: DataFrame, nodes: DataFrame, k: int | None = None)
     return out if k is None else number(out, ["question_id"], [F.desc("n_tokens"), F.asc("label"), F.asc("name")], "_n", k).drop("_n")
 
 
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
+
+
+def _units(column: pa.ChunkedArray, at: np.ndarray) -> np.ndarray:
+    """Rows of one length as unit vectors in double precision; those without a length are NaN."""
+    x = np.array(column.take(pa.array(at)).to_pylist(), np.float64)
+    size = np.sqrt((x * x).sum(1))
+    return x / np.where(size > 0, size, np.nan)[:, None]
+
+
+def _nearest(k: int, digits: int):
+    def run(_, queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        """The k best vectors of this block for each query: one product of matrices for each length of vector."""
+        vectors = vectors.sort_by("id")
+        nq, nv = (np.asarray(pc.fill_null(pc.list_value_length(t.column(c)), -1)) for t, c in ((queries, "query"), (vectors, "vector")))
+        which, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for n in np.intersect1d(nq[nq > 0], nv):
+            q, v = np.flatnonzero(nq == n), np.flatnonzero(nv == n)
+            near = _units(queries.column("query"), q) @ _units(vectors.column("vector"), v).T
+            near = np.sign(near) * np.floor(np.abs(near) * 10**digits + 0.5) / 10**digits
+            for i, row in enumerate(near):
+                best = np.argsort(-row, kind="stable")[:k]  # by id among equals; NaN comes last
+                best = best[~np.isnan(row[best])]
+                which.append(np.full(len(best), q[i]))
+                found.append(v[best])
+                scores.append(row[best])
+        at = [pa.array(np.concatenate(x)) for x in (which, found)]
+        return pa.table({"query_id": queries.column("query_id").take(at[0]), "id": vectors.column("id").take(at[1]), "score": pa.array(np.concatenate(scores))})
+
+    return run
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 4) -> DataFrame:
-    """(query_id, id, score): the k nearest by cosine, rounded, ties to the smaller id (VEC-01, SRT-01).
+    """(query_id, id, score, rank): the k nearest by cosine, rounded, ties to the smaller id (VEC-01, SRT-01).
 
-    queries: query_id, query (vector), a few; vectors: id, vector. Vectors of other lengths are not compared (VEC-02).
+    queries: query_id, query (vector); vectors: id, vector. Vectors of other lengths are not compared (VEC-02), those that are null or
+    without length not at all. Both sides are dealt into blocks of bounded size; a task multiplies one block of each, and only the best k of a block go on.
     """
-    met = vectors.join(F.broadcast(queries), F.size("vector") == F.size("query"))
-    scored = met.select("query_id", "id", F.round(cosine(F.col("query"), F.col("vector")), digits).alias("score")).where("score is not null")
-    return number(scored, ["query_id"], [F.desc("score"), F.asc("id")], "rank", k)
+    n, m = vectors.count(), queries.count()
+    groups, parts = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-m // QUERY_BLOCK))
+    side = lambda df, key, count, name: df.withColumn(name, F.pmod(F.xxhash64(key, F.lit(count)), F.lit(count)).cast("int"))
+    every = lambda df, count, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    q = every(side(queries.select("query_id", "query"), "query_id", parts, "part"), groups, "block").groupBy("part", "block")
+    v = every(side(vectors.select("id", "vector"), "id", groups, "block"), parts, "part").groupBy("part", "block")
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    return number(q.cogroup(v).applyInArrow(_nearest(k, digits), kinds), ["query_id"], [F.desc("score"), F.asc("id")], "rank", k)
 
 
 def ranked(hits: DataFrame) -> DataFrame:

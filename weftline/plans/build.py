@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators import assertions, graph, profile
+from weftline.functions.refs import parse_ref
+from weftline.operators import assertions, graph, naming, profile
 from weftline.operators.ranked import pick
 
 
@@ -47,3 +48,52 @@ def orphans(g: Graph) -> DataFrame:
     """Tables without columns."""
     named = g.tables.select(F.concat_ws(".", "schema", "table").alias("id"))
     return graph.orphan_nodes(named, [g.has_column], "id")
+
+
+@dataclass
+class Semantics:
+    """What claims of one scope become, in the order of writing: physical nodes, semantic nodes, edges between them, provenance."""
+
+    tables: DataFrame
+    columns: DataFrame
+    entities: DataFrame
+    properties: DataFrame
+    aliases: DataFrame
+    join_paths: DataFrame
+    entity_on_table: DataFrame
+    property_on_column: DataFrame
+    refers_to: DataFrame
+    uses: DataFrame
+    provenance: DataFrame
+
+
+def unified(claims: DataFrame, source_schema: str | None = None) -> Semantics:
+    """All nodes and edges of a scope's claims (GRF-01, GRF-02). The scope is found before anything is made, so no edge is without one.
+
+    claims: id, subject, predicate, payload, object, source, confidence, status.
+    """
+    parsed = claims.withColumn("_p", parse_ref(F.col("subject"))).where("_p is not null")
+    if source_schema is None:
+        found = [r[0] for r in parsed.select("_p.schema").where("schema is not null").distinct().limit(2).collect()]
+        if len(found) != 1:
+            raise ValueError("the claims are of no schema or of several; say which one they belong to")
+        source_schema = found[0]
+    scope = F.lit(source_schema).alias("source_schema")
+    tables = parsed.select("_p.schema", "_p.table").where("`table` is not null").distinct()
+    columns = parsed.select("_p.schema", "_p.table", "_p.column").where("`column` is not null").distinct()
+    entities, properties = naming.entities(claims), naming.properties(claims)
+    aliases, paths = naming.aliases_by_label(claims), naming.join_paths(claims)
+    return Semantics(
+        tables, columns, entities, properties, aliases, paths,
+        entities.select(F.col("entity").alias("from"), F.col("subject").alias("to"), scope),
+        properties.select(F.col("name").alias("from"), F.col("subject").alias("to"), scope),
+        aliases.select(F.col("text").alias("from"), F.col("target").alias("to"), scope).distinct(),
+        naming.path_uses(paths).select(F.col("name").alias("from"), F.concat_ws(".", "table", "column").alias("to"), scope),
+        parsed.select(F.col("id").alias("from"), F.col("subject").alias("to"), scope),
+    )
+
+
+def resume(stored: DataFrame, events: DataFrame, source_schema: str | None = None) -> Semantics:
+    """The graph anew from stored claims and the log of their status, without asking any source again (GRF-13)."""
+    once = pick(stored, ["id"], [F.col("observed_at")])
+    return unified(assertions.effective_status(once, events), source_schema)

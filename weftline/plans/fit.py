@@ -43,3 +43,11 @@ def collapse(made: Shape, groups: DataFrame, namespace: str) -> Shape:
 def closed(made: Shape) -> bool:
     """QA-04: no child without a parent."""
     return quality.orphans(made.child, made.parent, "parent_id", "entity_id").limit(1).count() == 0
+
+
+def require_uniform(shapes: dict[str, tuple]) -> None:
+    """FKC-03: studies that are collapsed together have one parent, child, registry, decisions and default. ``shapes``: these for each study."""
+    first = next(iter(shapes.values()), None)
+    other = [name for name, shape in shapes.items() if shape != first]
+    if other:
+        raise ValueError(f"these studies have another shape than {next(iter(shapes))}: {', '.join(other)}")

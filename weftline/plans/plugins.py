@@ -92,10 +92,18 @@ def embed_nodes(nodes: DataFrame, embed: Embed, batch: int = 64) -> DataFrame:
 
 
 def break_ties(survivors: DataFrame, key: list[str], choose: Callable | None = None) -> DataFrame:
-    """One survivor of each key: the smallest id, or what ``choose`` (a pandas frame to a frame of one row or none) says (UDF-01)."""
+    """One survivor of each key: the smallest id, or what ``choose`` (a pandas frame to a frame of one row or none) says (UDF-01).
+
+    A tie that ``choose`` declines has no survivor; ``declined_ties`` has it for review.
+    """
     default = pick(survivors, key, [F.col("concept_id").cast("bigint"), F.col("concept_id")])
     if choose is None:
         return default
     ties = survivors.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     picked = survivors.join(ties, key, "left_semi").groupBy(*key).applyInPandas(choose, survivors.schema)
-    return picked.unionByName(default.join(picked, key, "left_anti"))
+    return picked.unionByName(default.join(ties, key, "left_anti"))
+
+
+def declined_ties(survivors: DataFrame, picked: DataFrame, key: list[str]) -> DataFrame:
+    """The keys with several survivors and none in ``picked``, which people decide on."""
+    return survivors.join(picked, key, "left_anti").groupBy(*key).agg(F.count("*").alias("n_survivors"))

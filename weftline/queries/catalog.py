@@ -86,7 +86,7 @@ def shared_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.shared_columns(catalog(spark))
 
 
-_WORDS = ", ".join(f"('{d}', '{w}')" for d, ws in profile.DOMAIN_WORDS.items() for w in ws.split())
+_WORDS = ", ".join(f"('{d}', '{w}')" for d, ws in profile.DOMAIN_WORDS.items() for w in ws)
 
 
 @query(f"""WITH {CATALOG_SQL}, words(domain, word) AS (VALUES {_WORDS}), names AS (SELECT DISTINCT "table" AS name FROM catalog UNION ALL SELECT "column" FROM catalog UNION ALL SELECT "table" FROM catalog),

@@ -45,9 +45,9 @@ alive AS (SELECT code, count(*) AS n, min(concept_id::BIGINT) AS target_id FROM
 decisions AS (
     SELECT c.code, a.target_id, CASE WHEN a.n > 0 THEN 'RESOLVED' ELSE 'NO_MAP' END AS resolution,
         CASE WHEN a.n > 1 THEN 'review_pending' ELSE 'auto_accepted' END AS status, CASE WHEN a.n > 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS confidence,
-        CASE WHEN a.n > 0 THEN NULL WHEN c.code NOT IN (SELECT code FROM cand) THEN 'source code not found in vocabulary ''PRIO'''
-            WHEN c.code NOT IN (SELECT code FROM std) THEN 'no standard, valid ''Maps to'' target (no curated crosswalk)'
-            ELSE 'standardized target(s) fell outside target domain ''Urgency''' END AS reason
+        CASE WHEN a.n > 0 THEN NULL WHEN c.code NOT IN (SELECT code FROM cand) THEN '''PRIO'' has no such code'
+            WHEN c.code NOT IN (SELECT code FROM std) THEN 'the code has no valid standard target by ''Maps to'''
+            ELSE 'all standard targets are outside the domain ''Urgency''' END AS reason
     FROM codes c LEFT JOIN alive a ON a.code = c.code
 )"""
 STAGED = """

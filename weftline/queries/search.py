@@ -139,13 +139,3 @@ def stale_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(i % 10 == 3, F.sha2(text, 256)).otherwise(F.sha2(F.lit("older"), 256))
     nodes = table(spark, sf_dir, "embeddings").select(i, F.when(i % 10 > 0, F.col("embedding")).alias("embedding"), text.alias("description"), digest.alias("description_hash"))
     return retrieve.stale_embeddings(nodes).select("vec_id")
-
-
-@query(f"""WITH {CATALOG_SQL}, {_SEEDS}, e AS (SELECT question_id, name AS entity, confidence, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, name) AS r FROM seeds WHERE label = 'table')
-    SELECT question_id, string_agg(entity, ',' ORDER BY r) AS entities FROM e WHERE r <= 10 GROUP BY question_id""")
-def context_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VEC-11, AGG-28, SRT-03, RSH-06."""
-    seeds = retrieve.lexical_seeds(_questions(spark), _nodes(spark)).where("label = 'table'").select("question_id", F.col("name").alias("entity"), "confidence")
-    none = seeds.where("false")
-    found = retrieve.context(seeds, none.select("question_id", F.col("entity").alias("path"), "confidence"), none.select("question_id", F.col("entity").alias("property"), F.col("entity").alias("code")))
-    return found.select("question_id", F.array_join(F.transform("entities", lambda e: e["entity"]), ",").alias("entities"))

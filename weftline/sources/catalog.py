@@ -43,3 +43,19 @@ def profiled_columns(table: DataFrame, *, skip_times: bool = True, skip_numbers:
     """FLT-02: the columns worth a profile, by type."""
     times, numbers = ("date", "timestamp", "timestamp_ntz"), ("tinyint", "smallint", "int", "bigint", "float", "double")
     return [c for c, t in table.dtypes if not (skip_times and t in times) and not (skip_numbers and (t in numbers or t.startswith("decimal")))]
+
+
+def described(table: DataFrame) -> DataFrame:
+    """(column, type, comment, tags): SNK-02 and SRC-06, from the schema and its metadata; tags are a sorted list."""
+    rows = [(f.name, f.dataType.simpleString(), f.metadata.get("comment"), sorted(f.metadata.get("tags", []))) for f in table.schema.fields]
+    return table.sparkSession.createDataFrame(rows, "column string, type string, comment string, tags array<string>")
+
+
+def of_label(nodes: DataFrame, label: str) -> DataFrame:
+    """SRC-29: stored nodes of one label."""
+    return nodes.where(F.col("label") == label)
+
+
+def of_schema(columns_: DataFrame, schema: str) -> DataFrame:
+    """SRC-29: the columns of one schema, in order."""
+    return columns_.where(F.col("schema") == schema).orderBy("table", "position")

@@ -44,10 +44,9 @@ class Header:
 
 def wanted(name: str) -> bool:
     """SRC-21."""
-    low = name.lower()
-    if low.startswith(SKIP_STARTS):
-        return False
-    return low in TAKE_NAMES or low.endswith(TAKE_ENDS) or low.startswith(TAKE_STARTS)
+    if name in TAKE_NAMES or name.endswith(TAKE_ENDS):
+        return True
+    return not name.startswith(SKIP_STARTS) and name.startswith(TAKE_STARTS)
 
 
 def unique_names(names: list[str]) -> list[str]:
@@ -64,20 +63,23 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_header(spark: SparkSession, path: str, most: int = 64) -> Header:
-    """From the first lines. Files that are pointers are refused (SRC-22)."""
-    comments: list[list[str]] = []
-    for row in lines(spark, path).limit(most).collect():
-        line = row["value"].rstrip("\r")
-        if line.startswith(POINTER):
-            raise ValueError(f"{path} is a pointer to a file that was not fetched")
-        if line.startswith("#"):
-            comments.append(line.lstrip("#").split("\t"))
-        elif line:
-            names = line.split("\t")
-            told = [c if len(c) == len(names) else [] for c in [*comments, [], [], []][:3]]
-            return Header(names, *told)
-    return Header([])
+def read_header(spark: SparkSession, path: str) -> Header:
+    """The names are in the first line that is no comment and not blank, however many come before it; the first three comments may describe them.
+
+    Files that are pointers are refused (SRC-22), and so are files with lines but without names.
+    """
+    text = lines(spark, path).select(F.regexp_replace("value", "\r$", "").alias("value"))
+    comment = F.col("value").startswith("#")
+    first = text.where(~comment & (F.col("value") != "")).limit(1).collect()
+    if not first:
+        if not text.where("value <> ''").isEmpty():
+            raise ValueError(f"{path} has comments but no line of names")
+        return Header([])
+    if first[0]["value"].startswith(POINTER):
+        raise ValueError(f"{path} is a pointer to a file that was not fetched")
+    names = first[0]["value"].split("\t")
+    comments = [r["value"].lstrip("#").split("\t") for r in text.where(comment).limit(3).collect()]
+    return Header(names, *(c if len(c) == len(names) else [] for c in [*comments, [], [], []][:3]))
 
 
 def _rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -208,3 +210,19 @@ def declared_tables(ddl: str) -> dict[str, T.StructType]:
 
 def empty_tables(spark: SparkSession, ddl: str) -> dict[str, DataFrame]:
     return {n: spark.createDataFrame([], s) for n, s in declared_tables(ddl).items()}
+
+
+def field_comments(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-20: (table, column, comment) from a CSV file with these names, tables and columns in lower case; blank comments and repeats of a column are left out."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    named = rows.select(F.lower(F.trim(rows[0])).alias("table"), F.lower(F.trim(rows[1])).alias("column"), F.trim(rows[2]).alias("comment"))
+    return named.where("comment <> ''").groupBy("table", "column").agg(F.min("comment").alias("comment"))
+
+
+def study_comments(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """SRC-31: (table, column, comment) from the headers of a study's clinical files; no rows are read."""
+    found = []
+    for table, path in paths.items():
+        header = read_header(spark, path)
+        found += [(table, n, d) for n, d in zip(header.names, header.descriptions) if d.strip()]
+    return spark.createDataFrame(found, "table string, column string, comment string")

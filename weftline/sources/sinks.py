@@ -13,7 +13,17 @@ from pyspark.sql import functions as F
 from weftline.operators import ranked
 
 
+def recover(spark: SparkSession, name: str) -> None:
+    """End a ``swap`` that broke off between its steps: the table has its name again, with the new rows if they were whole, else with the old ones."""
+    beside, before = f"{name}__next", f"{name}__before"
+    if not spark.catalog.tableExists(name) and spark.catalog.tableExists(before):  # the old one only gives way to a whole new one
+        spark.sql(f"ALTER TABLE {beside if spark.catalog.tableExists(beside) else before} RENAME TO {name}")
+    for left in (beside, before):
+        spark.sql(f"DROP TABLE IF EXISTS {left}")
+
+
 def stored(spark: SparkSession, name: str, like: DataFrame) -> DataFrame:
+    recover(spark, name)
     if not spark.catalog.tableExists(name):
         return spark.createDataFrame([], like.schema)
     spark.catalog.refreshTable(name)
@@ -21,12 +31,14 @@ def stored(spark: SparkSession, name: str, like: DataFrame) -> DataFrame:
 
 
 def swap(spark: SparkSession, name: str, rows: DataFrame) -> None:
-    """Write beside the table, then take its place."""
-    beside = f"{name}__next"
-    spark.sql(f"DROP TABLE IF EXISTS {beside}")
+    """Write beside the table, then take its place. The old table is dropped last, so a break at any step loses nothing; the next call mends it."""
+    recover(spark, name)
+    beside, before = f"{name}__next", f"{name}__before"
     rows.write.mode("overwrite").saveAsTable(beside)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {before}")
     spark.sql(f"ALTER TABLE {beside} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {before}")
     spark.catalog.refreshTable(name)
 
 
@@ -61,12 +73,21 @@ def write_upsert(spark: SparkSession, name: str, rows: DataFrame, key: list[str]
 
 
 def write_once(spark: SparkSession, name: str, rows: DataFrame, key: list[str], order: list[Column]) -> None:
-    """SNK-03, SNK-19: keys that are stored stay as they are; the others are appended."""
+    """SNK-03, SNK-19: keys that are stored stay as they are; the others are appended.
+
+    Writers at the same time may both append a key: ``once`` reads one row of each.
+    """
     best = ranked.pick(rows, key, order)
     old = stored(spark, name, rows)
     best.join(old, ranked.same_key(best, old, key), "left_anti").write.mode("append").saveAsTable(name)
 
 
+def once(spark: SparkSession, name: str, key: list[str], order: list[Column]) -> DataFrame:
+    """The table of ``write_once`` with one row of each key, the best by ``order``, also if an append was done twice."""
+    spark.catalog.refreshTable(name)
+    return ranked.pick(spark.read.table(name), key, order)
+
+
 def reconcile(pushed: DataFrame, target: DataFrame) -> DataFrame:
     """One row: n_pushed, n_target, matches (SNK-07)."""
     sides = pushed.select(F.lit(True).alias("p")).unionByName(target.select(F.lit(False).alias("p")))
