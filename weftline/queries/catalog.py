@@ -12,22 +12,29 @@ from weftline.queries.base import query, table
 from weftline.sources import sinks
 from weftline.sources.catalog import first_schema_with, profiled_columns
 
-#: The catalog as rows: (table, column, type, position).
-CATALOG = [
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+#: Tables beside the real ones, for names and types that these lack: (table, column, type, position).
+MORE = [
     (t, c, k, i)
-    for t, cs in {
-        "region": "regionkey:int name:string", "nation": "nationkey:int name:string region_id:int", "customer": "customer_id:bigint name:varchar(25) nation_id:int account_balance:double market-segment:string",
-        "orders": "id:bigint customer_id:bigint status:string total:double order_date:timestamp", "order": "id:bigint code:string", "lineitem": "order_id:int part_id:bigint supplier_id:bigint quantity:double shipment-date:timestamp",
-        "supplier": "id:bigint nation_id:string balance:double", "part": "id:bigint name:string brand:string", "shipment": "order_id:bigint carrier:string tracking_code:string warehouse_id:int",
-    }.items()
+    for t, cs in {"client": "customer_id:bigint name:varchar(25) nation_id:int market-segment:string", "order": "id:bigint code:string", "shipment": "order_id:bigint carrier:string tracking_code:string warehouse_id:int"}.items()
     for i, (c, k) in enumerate(x.split(":") for x in cs.split(" "))
 ]
-CATALOG_SQL = "catalog(\"table\", \"column\", type, position) AS (VALUES " + ", ".join(f"('{t}', '{c}', '{k}', {i})" for t, c, k, i in CATALOG) + ")"
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "FLOAT[]": "array<float>", "TIMESTAMP": "timestamp_ntz"}
+_NAMED = "regexp_replace(regexp_replace(column_name, '^(r|n|c|s|p|o|l)_', ''), '^(.+)key$', '\\1_key')"
+CATALOG_SQL = (
+    "described AS (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", column_name, column_type, row_number() OVER () - 1 AS position FROM (DESCRIBE SELECT * FROM {t})" for t in TABLES) + "), "
+    f"catalog(\"table\", \"column\", type, position) AS (SELECT \"table\", {_NAMED}, CASE column_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items()) + " END, position::INT FROM described "
+    "UNION ALL VALUES " + ", ".join(f"('{t}', '{c}', '{k}', {i})" for t, c, k, i in MORE) + ")"
+)
 _BASE = "lower(trim(split_part(type, '(', 1)))"
 
 
-def catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATALOG, "table string, column string, type string, position int").withColumn("schema", F.lit("sf"))
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of all tables, without the letter in front and with ``_key`` parted, and those of ``MORE`` (SRC-04)."""
+    real = profile.columns_of({t: table(spark, sf_dir, t) for t in TABLES}, "sf").select("table", "column", "type", "position")
+    named = real.withColumn("column", F.regexp_replace(F.regexp_replace("column", "^(r|n|c|s|p|o|l)_", ""), "^(.+)key$", "$1_key"))
+    return named.unionByName(spark.createDataFrame(MORE, "table string, column string, type string, position int")).withColumn("schema", F.lit("sf"))
 
 
 _PROFILED = {"customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderpriority", "part": "p_partkey p_name p_brand p_type p_size p_retailprice"}
@@ -76,14 +83,14 @@ def fk_coverage_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM f c JOIN f p ON c.root <> '' AND lower(p."table") = c.root AND c."table" <> p."table" AND lower(c."table") <> c.root AND c.family = p.family""")
 def fk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-19, FN-10, FN-11."""
-    return profile.key_candidates(catalog(spark))
+    return profile.key_candidates(catalog(spark, sf_dir))
 
 
 @query(f"""WITH {CATALOG_SQL} SELECT a."table" AS from_table, b."table" AS to_table, a."column", CASE WHEN lower(a."column") IN ('id', 'name', 'type', 'status', 'value', 'code', 'description', 'created_at', 'updated_at') THEN 0.4
     WHEN lower(a."column") LIKE '%\\_id' ESCAPE '\\' THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM catalog a JOIN catalog b ON a."column" = b."column" AND a."table" < b."table" """)
 def shared_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-20, SET-03."""
-    return profile.shared_columns(catalog(spark))
+    return profile.shared_columns(catalog(spark, sf_dir))
 
 
 _WORDS = ", ".join(f"('{d}', '{w}')" for d, ws in profile.DOMAIN_WORDS.items() for w in ws)
@@ -94,7 +101,7 @@ _WORDS = ", ".join(f"('{d}', '{w}')" for d, ws in profile.DOMAIN_WORDS.items() f
     SELECT domain, n, round(n / (SELECT sum(n) FROM c), 2) AS weight FROM c""")
 def domain_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-33, FN-14."""
-    return profile.domain_weights(catalog(spark))
+    return profile.domain_weights(catalog(spark, sf_dir))
 
 
 @query(f"""WITH {CATALOG_SQL}, c AS (SELECT "table", CASE WHEN position % 2 = 0 AND "table" < 'p' THEN 'told' WHEN "table" = 'part' THEN '  ' END AS comment, "table" >= 's' AND position > 0 AS has_values FROM catalog),
@@ -102,7 +109,7 @@ def domain_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT "table", round(coverage, 4) AS coverage, CASE WHEN coverage >= 0.6 AND (told OR valued >= 0.5 OR has_samples) THEN 'rich' WHEN coverage > 0 OR told OR valued > 0 OR has_samples THEN 'sparse' ELSE 'name_only' END AS tier FROM t""")
 def metadata_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-34, on made-up comments."""
-    rows = catalog(spark)
+    rows = catalog(spark, sf_dir)
     comment = F.when((F.col("position") % 2 == 0) & (F.col("table") < "p"), "told").when(F.col("table") == "part", "  ")
     columns = rows.select("table", comment.alias("comment"), ((F.col("table") >= "s") & (F.col("position") > 0)).alias("has_values"))
     tables = rows.select("table").distinct().select("table", F.when(F.col("table") == "customer", "a table").alias("comment"), (F.col("table") == "region").alias("has_samples"))
@@ -118,8 +125,8 @@ def source_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'sf' AS \"schema\"")
 def schema_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-28."""
-    other = catalog(spark).withColumn("schema", F.lit("zz"))
-    return first_schema_with(catalog(spark).unionByName(other), "orders", "customer_id")
+    own = catalog(spark, sf_dir)
+    return first_schema_with(own.unionByName(own.withColumn("schema", F.lit("zz"))), "orders", "cust_key")
 
 
 @query("""SELECT n_pushed, n_target, n_pushed = n_target AS matches FROM (SELECT count(*) AS n_pushed FROM orders), (SELECT count(*) AS n_target FROM orders WHERE o_orderkey % 10 > 0)""")
@@ -135,7 +142,7 @@ def push_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM parsed p LEFT JOIN live l ON l."table" = p."table" AND l."column" = p."column" """)
 def comment_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-24, SNK-20."""
-    c = catalog(spark)
+    c = catalog(spark, sf_dir)
     more = spark.createDataFrame([("gone", "x", "c"), ("part", "gone", "c")], "table string, column string, comment string")
     parsed = c.select("table", "column", F.concat(F.lit("about "), "column").alias("comment")).unionByName(more)
     return sinks.comment_plan(parsed, c.select("table", "column", F.when(F.col("position") == 0, "has").otherwise(" ").alias("comment")))

@@ -108,7 +108,7 @@ def visibility_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalise_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-08, D2, D6, FN-03."""
     comment = F.when(F.col("position") == 0, F.concat(F.lit("first of "), "table")).when(F.col("position") == 1, " ")
-    return build.claims_of_catalog(catalog(spark).withColumn("comment", comment), "r1", "w", "cat").select("subject", "predicate", "payload", "family")
+    return build.claims_of_catalog(catalog(spark, sf_dir).withColumn("comment", comment), "r1", "w", "cat").select("subject", "predicate", "payload", "family")
 
 
 _REFS = [

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import graph
+from weftline.operators.profile import columns_of
 from weftline.queries.base import query, table
-from weftline.queries.catalog import CATALOG_SQL, catalog
+from weftline.queries.catalog import CATALOG_SQL, TABLES, catalog
 
 _ENTITIES = [("Buyer", "customer"), ("Order", "orders"), ("Order", "order"), ("Ghost", "missing")]
 _ENTITY_SQL = "entity_table(entity, \"table\") AS (VALUES " + ", ".join(f"('{e}', '{t}')" for e, t in _ENTITIES) + ")"
@@ -21,34 +22,37 @@ def _entity_table(spark: SparkSession) -> DataFrame:
 def graph_entity_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-09, RSH-06."""
     et = _entity_table(spark)
-    found = graph.entity_columns(et.select("entity").distinct(), et, catalog(spark))
+    found = graph.entity_columns(et.select("entity").distinct(), et, catalog(spark, sf_dir))
     return found.select("entity", "table", F.array_join(F.transform("columns", lambda c: c["column"]), ",").alias("columns"))
 
 
-_PATHS = [("p1", "orders", "customer"), ("p2", "lineitem", "part"), ("p3", "shipment", "order"), ("p4", "orders", "lineitem")]
-_PATH_SQL = "paths(path, from_table, to_table) AS (VALUES " + ", ".join(f"('{p}', '{a}', '{b}')" for p, a, b in _PATHS) + ")"
+_KEYS = {"c_nationkey": "nation", "s_nationkey": "nation", "n_regionkey": "region", "o_custkey": "customer", "l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}
+_PATH_SQL = "key_of(column_name, to_table) AS (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in _KEYS.items()) + "), paths AS (SELECT \"table\" || '.' || column_name AS path, \"table\" AS from_table, to_table FROM described JOIN key_of USING (column_name))"
 
 
-def _paths(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_PATHS, "path string, from_table string, to_table string")
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for each column of the tables that is a key of another table."""
+    real = columns_of({t: table(spark, sf_dir, t) for t in TABLES}, "sf")
+    key_of = spark.createDataFrame([*_KEYS.items()], "column string, to_table string")
+    return real.join(key_of, "column").select(F.concat_ws(".", "table", "column").alias("path"), F.col("table").alias("from_table"), "to_table")
 
 
-@query(f"WITH {_PATH_SQL} SELECT path FROM paths WHERE from_table IN ('orders', 'part') OR to_table IN ('orders', 'part')")
+@query(f"WITH {CATALOG_SQL}, {_PATH_SQL} SELECT path FROM paths WHERE from_table IN ('orders', 'part') OR to_table IN ('orders', 'part')")
 def join_paths_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-10."""
-    p = _paths(spark)
+    p = _paths(spark, sf_dir)
     uses = p.select("path", F.col("from_table").alias("table")).unionByName(p.select("path", F.col("to_table").alias("table")))
     return graph.paths_touching(uses, spark.createDataFrame([("orders",), ("part",)], "table string"))
 
 
-@query(f"""WITH {_PATH_SQL}, {_ENTITY_SQL} SELECT path, a.entity AS from_entity, b.entity AS to_entity FROM paths p LEFT JOIN entity_table a ON a."table" = p.from_table LEFT JOIN entity_table b ON b."table" = p.to_table""")
+@query(f"""WITH {CATALOG_SQL}, {_PATH_SQL}, {_ENTITY_SQL} SELECT path, a.entity AS from_entity, b.entity AS to_entity FROM paths p LEFT JOIN entity_table a ON a."table" = p.from_table LEFT JOIN entity_table b ON b."table" = p.to_table""")
 def join_path_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-28, GRF-06."""
-    return graph.join_path_entities(_paths(spark), _entity_table(spark))
+    return graph.join_path_entities(_paths(spark, sf_dir), _entity_table(spark))
 
 
-@query("""WITH dims AS (SELECT DISTINCT o_orderstatus AS metric, o_orderpriority AS name FROM orders), flt AS (SELECT DISTINCT o_orderstatus AS metric, 'f' || (o_custkey % 3) AS name FROM orders WHERE o_custkey % 5 = 0 AND o_orderstatus <> 'P')
-    SELECT m.metric, 'Order' AS entity, (SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM dims d WHERE d.metric = m.metric) AS dimensions, (SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM flt f WHERE f.metric = m.metric) AS filters, '' AS grains
+@query("""WITH grain AS (SELECT DISTINCT o_orderstatus AS metric, 'd' || o_orderkey % 3 AS name FROM orders WHERE o_orderstatus <> 'O'), dims AS (SELECT DISTINCT o_orderstatus AS metric, o_orderpriority AS name FROM orders), flt AS (SELECT DISTINCT o_orderstatus AS metric, 'f' || (o_custkey % 3) AS name FROM orders WHERE o_custkey % 5 = 0 AND o_orderstatus <> 'P')
+    SELECT m.metric, 'Order' AS entity, (SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM dims d WHERE d.metric = m.metric) AS dimensions, (SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM flt f WHERE f.metric = m.metric) AS filters, (SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM grain g WHERE g.metric = m.metric) AS grains
     FROM (SELECT DISTINCT o_orderstatus AS metric FROM orders) m""")
 def metric_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-11."""
@@ -56,7 +60,8 @@ def metric_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = o.select("metric").distinct()
     dims = o.select("metric", F.col("o_orderpriority").alias("name"))
     flt = o.where("o_custkey % 5 = 0 and metric <> 'P'").select("metric", F.concat(F.lit("f"), (F.col("o_custkey") % 3).cast("string")).alias("name"))
-    found = graph.metric_expansion(metrics, metrics.withColumn("entity", F.lit("Order")), dims, flt, dims.where("false"))
+    grains = o.where("metric <> 'O'").select("metric", F.concat(F.lit("d"), (F.col("o_orderkey") % 3).cast("string")).alias("name"))
+    found = graph.metric_expansion(metrics, metrics.withColumn("entity", F.lit("Order")), dims, flt, grains)
     return found.select("metric", "entity", *(F.array_join(c, ",").alias(c) for c in ("dimensions", "filters", "grains")))
 
 
@@ -143,24 +148,35 @@ def stale_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.stale_vocabularies(used.select("vocabulary").distinct(), used, schemas, schemas.where("source_schema = 's4'"))
 
 
-@query(f"""WITH {_EDGES} SELECT 'order' AS shape, count_if(source_schema IS NULL)::BIGINT AS n_nulls FROM edges UNION ALL SELECT 'none', 0""")
+#: The kinds of edges that belong to a study, by the labels that they join.
+SHAPES = [
+    "Entity HAS_PROPERTY Property", "Entity ENTITY_ON_TABLE Table", "Property PROPERTY_ON_COLUMN Column", "Property CLASSIFIED_AS Vocabulary", "Column HAS_VALUE_SET ValueSet", "Term MEMBER_OF ValueSet",
+    "Alias REFERS_TO Entity", "Alias REFERS_TO Property", "JoinPath USES Table", "JoinPath FROM_ENTITY Entity", "JoinPath TO_ENTITY Entity",
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS shape, count_if(l_linenumber > {1 + i % 5})::BIGINT AS n_nulls FROM lineitem WHERE l_partkey % {len(SHAPES)} = {i}" for i, name in enumerate(SHAPES)))
 def unscoped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QA-07."""
+    """QA-07: all kinds of edges; some have lost their scope."""
     from weftline.operators.quality import unscoped
 
-    e = _edges(spark, sf_dir)
-    return unscoped({"order": e, "none": e.where("false")})
+    rows = table(spark, sf_dir, "lineitem")
+    edges = {name: rows.where(F.col("l_partkey") % len(SHAPES) == i).select(F.col("l_orderkey").alias("from"), F.col("l_partkey").alias("to"), F.when(F.col("l_linenumber") <= 1 + i % 5, F.lit("s")).alias("source_schema")) for i, name in enumerate(SHAPES)}
+    return unscoped(edges)
 
 
-_CODES = ["C", "C1", "C12", "C12.1", "C12.12", "C1234567", "D", "D.1", "DX.1", "D.1A", "é1", "éé"]
+_VALUES = """v AS (SELECT DISTINCT value FROM (SELECT unnest([left(p_type, 1), left(p_type, 3), p_type, replace(p_brand, 'Brand#', 'B'), replace(p_brand, 'Brand#', 'B') || '.' || p_size % 7, replace(p_brand, 'Brand#', 'B') || '.' || p_size % 7 || (p_size % 3)]) AS value FROM part))"""
 
 
-@query(f"""WITH v(value) AS (VALUES {', '.join(f"('{c}')" for c in _CODES)}), p AS (SELECT a.value AS parent, b.value AS child FROM v a JOIN v b ON starts_with(b.value, a.value) AND length(b.value) > length(a.value)
+@query(f"""WITH {_VALUES}, p AS (SELECT a.value AS parent, b.value AS child FROM v a JOIN v b ON starts_with(b.value, a.value) AND length(b.value) > length(a.value)
     WHERE regexp_matches(substr(b.value, length(a.value) + 1), '^[.A-Za-z0-9]{{1,3}}$'))
     SELECT parent, child FROM p WHERE NOT EXISTS (SELECT 1 FROM v WHERE starts_with(p.child, v.value) AND starts_with(v.value, p.parent) AND length(v.value) > length(p.parent) AND length(v.value) < length(p.child))""")
 def value_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-21, WIN-06."""
-    return graph.prefix_hierarchy(spark.createDataFrame([(c,) for c in _CODES], "value string"))
+    """FN-21, WIN-06: types and brands with codes under them."""
+    b = F.regexp_replace("p_brand", "Brand#", "B")
+    two = F.concat(b, F.lit("."), (F.col("p_size") % 7).cast("string"))
+    all_ = F.array(F.left("p_type", F.lit(1)), F.left("p_type", F.lit(3)), F.col("p_type"), b, two, F.concat(two, (F.col("p_size") % 3).cast("string")))
+    return graph.prefix_hierarchy(table(spark, sf_dir, "part").select(F.explode(all_).alias("value")).distinct())
 
 
 @query("""WITH old AS (SELECT p_partkey AS key, p_brand AS v, true AS is_current FROM part WHERE p_partkey % 3 < 2), new AS (SELECT p_partkey AS key, 'new' AS v FROM part WHERE p_partkey % 3 > 0)

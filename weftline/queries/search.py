@@ -49,8 +49,8 @@ def _questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_QUESTIONS, "question_id int, question string")
 
 
-def _nodes(spark: SparkSession) -> DataFrame:
-    c = catalog(spark)
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog(spark, sf_dir)
     node = lambda label, column, confidence: c.select(F.lit(label).alias("label"), F.col(column).alias("name")).distinct().withColumn("confidence", F.lit(confidence))
     return node("column", "column", 0.6).unionByName(node("table", "table", 0.9))
 
@@ -58,13 +58,13 @@ def _nodes(spark: SparkSession) -> DataFrame:
 @query(f"WITH {CATALOG_SQL}, {_SEEDS} SELECT question_id, label, name, n_tokens, confidence, 1.0::DOUBLE AS score, 'lexical_exact' AS match FROM seeds")
 def lexical_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC-05, FN-13, FN-15."""
-    return retrieve.lexical_seeds(_questions(spark), _nodes(spark))
+    return retrieve.lexical_seeds(_questions(spark), _nodes(spark, sf_dir))
 
 
 @query(f"WITH {CATALOG_SQL}, {_SEEDS} SELECT question_id, label, name, round(0.4 + confidence * 0.3 + 0.3 + 0.3, 6) AS final_score FROM seeds")
 def lexical_seed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-23, AGG-23, SRT-02, VEC-06."""
-    return answer.hits(_questions(spark), _nodes(spark)).select("question_id", "label", "name", F.round("final_score", 6).alias("final_score"))
+    return answer.hits(_questions(spark), _nodes(spark, sf_dir)).select("question_id", "label", "name", F.round("final_score", 6).alias("final_score"))
 
 
 _NEAR = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0),
@@ -122,13 +122,14 @@ def edit_distance_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.suggestions(_WRONG, table(spark, sf_dir, "nation").select(F.col("n_name").alias("known")))
 
 
-_ASKED = [("orders", "customer_id"), ("orders", "gone"), ("nowhere", "id"), ("nowhere", None), ("part", None)]
-
-
-@query("SELECT * FROM (VALUES ('orders', 'gone'), ('nowhere', 'id'), ('nowhere', NULL)) t(\"table\", \"column\")")
+@query(f"""WITH {CATALOG_SQL}, asked AS (SELECT "table", CASE WHEN position % 3 = 1 THEN 'gone' ELSE "column" END AS "column" FROM catalog UNION ALL SELECT "table" || 's', "column" FROM catalog WHERE position < 2 UNION ALL SELECT DISTINCT "table", NULL FROM catalog UNION ALL SELECT 'nowhere', NULL)
+    SELECT DISTINCT "table", "column" FROM asked a WHERE "table" NOT IN (SELECT "table" FROM catalog) OR ("column" IS NOT NULL AND NOT EXISTS (SELECT 1 FROM catalog c WHERE c."table" = a."table" AND c."column" = a."column"))""")
 def closed_world(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-17: the expected rows are written out."""
-    return retrieve.unknown_references(spark.createDataFrame(_ASKED, "table string, column string"), catalog(spark))
+    """FLT-17: references to the catalog's columns, some of them to columns or tables that it lacks."""
+    c = catalog(spark, sf_dir)
+    asked = c.select("table", F.when(F.col("position") % 3 == 1, "gone").otherwise(F.col("column")).alias("column")).unionByName(c.where("position < 2").select(F.concat("table", F.lit("s")).alias("table"), "column"))
+    asked = asked.unionByName(c.select("table", F.lit(None).cast("string").alias("column")).distinct()).unionByName(spark.createDataFrame([("nowhere", None)], "table string, column string"))
+    return retrieve.unknown_references(asked, c)
 
 
 @query("""SELECT vec_id FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 10 <> 3""")
