@@ -35,6 +35,29 @@ def test_blocks_skip_nulls_and_link_equal_texts_once(spark):
     assert rows(match.by_score(t, "id", F.col("k"), "name", 0.7)) == [(1, 2, 1.0), (1, 3, 0.75)]
 
 
+def test_fuzzy_pairs_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["", "a", "b", "ab", "abc", "aaaa", "aaaaa", "ünï", *("".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(120))]
+    t = spark.createDataFrame([(i, i % 2, x) for i, x in enumerate(texts)], "id int, k int, name string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for least in (0.5, 0.7, 0.85):
+        first = {}
+        for i, x in enumerate(texts):
+            first.setdefault((i % 2, x), i)
+        want = {(first[i % 2, x], i) for i, x in enumerate(texts) if first[i % 2, x] != i}
+        heads = [(k, x, i) for (k, x), i in first.items()]
+        want |= {(min(i, j), max(i, j)) for k, x, i in heads for m, y, j in heads if k == m and i < j and 1 - edits(x, y) / max(len(x), len(y), 1) >= least - 1e-12 and max(len(x), len(y))}
+        assert {(r["a"], r["b"]) for r in match.by_score(t, "id", F.col("k"), "name", least).collect()} == want
+
+
 def test_digests_ignore_order(spark):
     a = spark.createDataFrame([("k", 1, None), ("k", 2, "x")], "k string, n int, v string")
     one = lifecycle.snapshot_digest(a, ["k"], ["n", "v"]).first()["digest"]
