@@ -274,6 +274,24 @@ def test_classifier_edge_cases(spark):
     assert {r["score"] for r in quality.quality_scores(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls in any column, repeated rows, empty texts and tables, columns with the operators' own names."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "en", "s1", 5), (2, words, "en", "s1", 5), (2, words, "en", "s1", 5), (None, words, None, None, None), (3, None, "de", "s2", 0), (4, "", None, "s2", 0), (5, words + " password=abcdefgh", "en", "s1", None), (6, "x" * 50_000, "en", "s3", 1)]
+    docs = spark.createDataFrame(rows, schema).withColumns({"score": F.lit(1), "_key": F.lit(2), "node": F.lit(3), "spans": F.lit(4)})
+    own = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns and stage(spark, docs.where("false"), sf).count() == 0, name
+    single = own["n-gram Jaccard join"](spark, docs, sf)
+    assert sorted((r["doc_id"] or 0, r["lang"] or "") for r in single.collect()) == [(1, "en"), (3, "de"), (4, ""), (6, "en")]
+    clean = {(r["doc_id"], r["text"], r["n_chars"]) for r in own["secret scans"](spark, docs, sf).collect()}
+    assert (3, None, 0) in clean and (5, words + " [REDACTED]", len(words) + 11) in clean and len(clean) == 7
+    packed = own["best-fit packing"](spark, docs, sf).toPandas()
+    assert len(packed) >= len(rows) and packed[packed.doc_id == 3]["length"].tolist() == [1] and own["best-fit packing"](spark, docs.where("false"), sf).count() == 0
+
+
 def test_pipeline(spark, sf):
     """Each stage against its own input."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

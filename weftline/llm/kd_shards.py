@@ -9,7 +9,10 @@ A dimension is an expression with values in [0, 2**20); ties are parted by a has
 that any number of equal values can be cut. Widest: the largest weighted spread (standard deviation) in the node,
 relative to the spread in the whole table; a node without any spread is cut by the hash alone.
 
-Defined cases: a null or empty text has 8 bytes of size; null metadata counts as 0; rows that are equal in all columns
+Groups of equal texts are not kept together: ``tie`` hashes key and text, so documents with one text are parted wherever a cut
+falls among them, and a group of any size is dealt to as many shards as its bytes need.
+
+Defined cases: a null or empty text has 8 bytes of size; rows without a key are dealt by their text; null metadata counts as 0; rows that are equal in all columns
 stay apart only by slot and may be cut together, so a shard misses its size by at most the largest group of equal rows;
 an empty table gives an empty result; extra columns are ignored.
 """
