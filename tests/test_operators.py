@@ -2,12 +2,16 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.functions import keys, refs, values
-from weftline.operators import assertions, graph, identity, profile, quality, ranked, reshape, resolve, retrieve
+from weftline.functions import keys, refs, text, values
+from weftline.operators import assertions, filters, graph, identity, profile, quality, ranked, reshape, resolve, retrieve
 from weftline.operators.reshape import Field
+from weftline.plans import build, fit, plugins
+from weftline.sources import catalog, files
 
 
 def rows(df):
@@ -101,7 +105,7 @@ def test_resolve_reports_why(spark):
     rel = spark.createDataFrame([("2", "Maps to", "3")], "from_id string, relation string, to_id string")
     codes = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "code string")
     got = {r["code"]: (r["resolution"], r["target_id"], r["reason"]) for r in resolve.resolve(codes, concepts, rel, resolve.Policy("V", domain="D")).collect()}
-    assert got["a"] == ("RESOLVED", 1, None) and got["b"][2].startswith("standardized") and "not found" in got["c"][2] and len(got) == 3
+    assert got["a"] == ("RESOLVED", 1, None) and got["b"][2].startswith("all standard targets") and "no such code" in got["c"][2] and len(got) == 3
 
 
 def test_winners_prefer_status(spark):
@@ -135,3 +139,71 @@ def test_nearest_skips_other_lengths(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0])], "id int, vector array<float>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id int, query array<float>")
     assert rows(retrieve.nearest(q, v, 5)) == [(9, 1, 1.0, 1)]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Small blocks, ties by id, nulls; held against plain arithmetic."""
+    monkeypatch.setattr(retrieve, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(1)
+    x = [*rng.normal(size=(30, 3)).round(1).tolist(), [1.0, 2.0, 2.0], [2.0, 4.0, 4.0], None, [1.0]]
+    v = spark.createDataFrame(list(enumerate(x)), "id int, vector array<double>")
+    q = spark.createDataFrame([(f"q{i}", x[i]) for i in (0, 5, 30, 31, 32)], "query_id string, query array<double>")
+    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    want = []
+    for i in (0, 5, 30, 31):
+        best = sorted((-np.sign(c) * np.floor(abs(c) * 1e4 + 0.5) / 1e4, j) for j, w in enumerate(x) if w and len(w) == 3 for c in [cos(x[i], w)])[:4]
+        want += [(f"q{i}", j, n + 1) for n, (_, j) in enumerate(best)]
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in retrieve.nearest(q, v, 4).collect()) == sorted(want)
+
+
+def test_profile_of_nothing_and_nulls(spark):
+    t = spark.createDataFrame([(1, None), (1, "x"), (None, "x")], "`a b` int, s string")
+    assert rows(profile.profile(t, "t")) == [("t", "a b", 3, 1, 1), ("t", "s", 3, 1, 1)]
+    assert rows(profile.profile(t.where("false"), "t")) == [("t", "a b", 0, 0, 0), ("t", "s", 0, 0, 0)]
+    assert "Expand" not in profile.profile(t, "t")._jdf.queryExecution().toString()
+
+
+def test_declined_ties_go_to_review(spark):
+    t = spark.createDataFrame([("a", "10"), ("a", "9"), ("b", "1"), ("c", "2"), ("c", "3")], "code string, concept_id string")
+    choose = lambda pdf: pdf[pdf["concept_id"] == "10"]  # noqa: E731  declines c
+    picked = plugins.break_ties(t, ["code"], choose)
+    assert rows(picked) == [("a", "10"), ("b", "1")]
+    assert rows(plugins.declined_ties(t, picked, ["code"])) == [("c", 2)]
+
+
+def test_studies_of_one_shape():
+    fit.require_uniform({})
+    fit.require_uniform({"a": ("p", 1), "b": ("p", 1)})
+    with pytest.raises(ValueError, match="than a: c"):
+        fit.require_uniform({"a": ("p", 1), "b": ("p", 1), "c": ("p", 2)})
+
+
+def test_described_and_stored_nodes(spark, tmp_path):
+    t = spark.createDataFrame([], T.StructType([T.StructField("x", T.IntegerType(), True, {"comment": "an x", "tags": ["pii", "a"]}), T.StructField("y", T.StringType())]))
+    assert rows(catalog.described(t)) == [("x", "int", "an x", ["a", "pii"]), ("y", "string", None, [])]
+    nodes = spark.createDataFrame([("Term", "t"), ("Alias", "a")], "label string, name string")
+    assert rows(catalog.of_label(nodes, "Term")) == [("Term", "t")]
+    columns = spark.createDataFrame([("s", "b", "c", 1), ("s", "b", "d", 0), ("z", "b", "c", 0)], "schema string, table string, column string, position int")
+    assert [r["column"] for r in catalog.of_schema(columns, "s").collect()] == ["d", "c"]
+    p = tmp_path / "data_clinical_p.txt"
+    p.write_text("#Id\tAge\n#the id\t \n#STRING\tNUMBER\nID\tAGE\n1\t2\n")
+    assert rows(files.study_comments(spark, {"patient": str(p)})) == [("patient", "ID", "the id")]
+
+
+def test_claims_without_a_scope_make_no_graph(spark):
+    schema = "id int, subject string, predicate string, payload string, object string, source string, confidence double, status string"
+    c = lambda *refs_: spark.createDataFrame([(i, r, "has_entity_name", '{"value": "E"}', None, "human", 1.0, "auto") for i, r in enumerate(refs_)], schema)
+    with pytest.raises(ValueError, match="of several"):
+        build.unified(c("databricks://w/c/s/t", "databricks://w/c/z/t"))
+    with pytest.raises(ValueError, match="no schema"):
+        build.unified(c("nothing"))
+    made = build.unified(c("databricks://w/c/s/t", "nothing"))
+    assert rows(made.entity_on_table) == [("E", "databricks://w/c/s/t", "s")] and made.aliases.count() == 0 and made.join_paths.count() == 0
+    with pytest.raises(ValueError, match="one clause"):
+        filters.row_predicate("AND", [])
+
+
+def test_composed_names(spark):
+    t = spark.createDataFrame([("  Café  bar ",), (None,), ("plain",)], "s string")
+    assert [r[0] for r in t.select(text.canonical_name(F.col("s"))).collect()] == ["Café bar", None, "plain"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import keys
 from weftline.functions import values as V
 from weftline.functions.refs import table_key
+from weftline.functions.text import canonical_name
 from weftline.operators import graph, identity, interpret, lifecycle, retrieve
 from weftline.plans import build, fit, plugins
 from weftline.queries import mapping
@@ -247,3 +248,10 @@ def table_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("o_orderkey")
     ref = F.when(i % 3 == 0, "databricks://w/c/s/orders/x").when(i % 3 == 1, "unity://c.s.part").otherwise("postgres://h/c/s/nation/y")
     return table(spark, sf_dir, "orders").select(i, table_key(ref).alias("key"))
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(nfc_normalize('  Cafe' || chr(769) || '  ' || p_name || ' u' || chr(776)), '\s+', ' ', 'g')) AS name FROM part WHERE p_size % 2 = 0""")
+def composed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-07: composed Unicode, then one space between words."""
+    p = table(spark, sf_dir, "part").where("p_size % 2 = 0")
+    return p.select("p_partkey", canonical_name(F.concat(F.lit("  Cafe\u0301  "), "p_name", F.lit(" u\u0308"))).alias("name"))
