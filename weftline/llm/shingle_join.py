@@ -13,8 +13,10 @@ occur T - L times in the short lists, and only such candidates are looked up in
    group of many near copies gets connected at the cost of a few pairs a document). All other pairs of a list are made
    only between documents that are not yet connected, and only where a pair meets first: a posting knows the shingle that is
    before it in its document, and a pair with the same one has met there. A pair goes on if the positions leave room for the overlap;
-4. merging: the sorted short parts of a pair are merged and its occurrences there are counted. Pairs with fewer than the need less L are dropped;
-5. probing: for the others, the long parts are looked up by binary search, and the pair is a link if the overlap reaches the need.
+4. marks: each set has a bit for about every shingle, set where an odd number of its shingles fall. Two sets differ in as many shingles as bits at
+   least, so most candidates that only share a passage are dropped by an exact bound, before any set is read;
+5. merging: the sorted short parts of a pair are merged and its occurrences there are counted. Pairs with fewer than the need less L are dropped;
+6. probing: for the others, the long parts are looked up by binary search, and the pair is a link if the overlap reaches the need.
 
 A list that is known to be long is dealt out in parts of about ``PART`` postings by its measured size; the heads of its parts are
 paired with one of themselves. Links between equal or connected documents need not be found to get the components, so
@@ -55,12 +57,12 @@ LONG_LISTS = 100_000
 HEAD_ROUNDS = (1, 6, 6)
 
 #: Postings of a long list that are kept together.
-PART = 2_048
+PART = 128
 
 #: What a step of a binary search costs against writing, sending and sorting one posting: about 4 ns and 1.5 microseconds.
 SEARCH_COST = 0.003
 
-#: Keys or pairs (8 or 16 bytes) that are sent to all tasks at once; beyond it texts and sets are shuffled to them.
+#: Keys or pairs (8 or 16 bytes) that are sent to all tasks at once; beyond it both sides of a join are shuffled.
 SENT_KEYS = 2_000_000
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -134,9 +136,37 @@ def _names(token: np.ndarray, at: np.ndarray, bits: int, twice: np.ndarray | Non
     return name, other
 
 
+def _marks(row: np.ndarray, token: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each row one bit or two for each shingle (a power of two, 64 at least): whether an odd number of its shingles fall there."""
+    n = np.diff(at)
+    bits = 1 << np.ceil(np.log2(np.maximum(64, n))).astype(np.int64)
+    begin = np.concatenate(([0], np.cumsum(bits)))
+    fell = np.bincount(begin[row] + (token & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(begin[-1]))
+    packed = np.packbits((fell & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
+def _near(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keep the pairs (a, b) of (a, b, n of a, mark of a, n of b, mark of b) that can overlap enough: they differ in as many shingles as bits at least."""
+        for batch in batches:
+            n1, n2 = np.asarray(batch.column(2)), np.asarray(batch.column(4))
+            bits = np.zeros(batch.num_rows, np.int64)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (3, 5))
+                if len(x) != len(y):  # the wider one is folded
+                    x, y = sorted((x, y), key=len)
+                    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+                bits[i] = np.bitwise_count(x ^ y).sum()
+            keep = (num + den) * (n1 + n2 - bits) >= 2 * num * (n1 + n2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _survey(key: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row (key, n, node, other) for each document, and (token, seen) for shingles of several different sets in a stretch of 8 MB of text."""
+        """A row (key, n, node, other, mark) for each document, and (token, seen) for shingles of several different sets in a stretch of 8 MB of text."""
         held: list[np.ndarray] = []
         seen: set[int] = set()
         size = 0
@@ -146,15 +176,15 @@ def _survey(key: str, bits: int):
             value, count = np.unique(tokens, return_counts=True)
             value, count = value[count > 1], count[count > 1]
             none = pa.nulls(len(value), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(value), pa.array(count)], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(value), pa.binary()), pa.array(value), pa.array(count)], names)
 
-        names = [key, "n", "node", "other", "token", "seen"]
+        names = [key, "n", "node", "other", "mark", "token", "seen"]
         for batch in batches:
             for part, data, offsets in text_chunks(batch, 1):
                 row, token, at = shingle_sets(data, offsets)
                 node, other = _names(token, at, bits, None)
                 none = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(node), pa.array(other), none, none], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(node), pa.array(other), pa.array(_marks(row, token, at), pa.binary()), none, none], names)
                 new = np.array([not (x in seen or seen.add(x)) for x in other.tolist()], bool)
                 held.append((token[new[row]] >> _DROP).astype(np.int64))
                 size += len(data)
@@ -309,11 +339,17 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("slot") < _DEALT) & (F.col("c0") != F.col("c1"))).drop("c0", "c1").unionByName(dealt.drop("c0", "c1").join(parts, "slot", "left_semi"))
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A stored table of keys or pairs for a join: sent to all tasks if it is small enough, else left to a shuffle."""
+    return F.broadcast(table) if table.count() <= SENT_KEYS else table
+
+
 class _Verifier:
-    """Reads the sets of the nodes in pairs, each once, and keeps the pairs that overlap enough."""
+    """Drops the pairs that cannot overlap enough, reads the sets of the nodes in the others, each once, and keeps the pairs that do."""
 
     def __init__(self, steps: Steps, keyed: DataFrame, holders: DataFrame, make, similarity: tuple[int, int]) -> None:
-        self.steps, self.keyed, self.holders, self.make, self.similarity = steps, keyed, holders, make, similarity
+        self.steps, self.keyed, self.make, self.similarity = steps, keyed, make, similarity
+        self.holders, self.marks = holders.select("node", "key"), holders.select("node", "n", "mark")
         self.sets: DataFrame | None = None
 
     def _read(self, pairs: DataFrame) -> None:
@@ -322,20 +358,20 @@ class _Verifier:
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
         wanted = self.steps.cut(self.holders.join(wanted, "node", "left_semi"), "wanted")
-        some = wanted.count() <= SENT_KEYS
-        sent = F.broadcast if some else (lambda df: df)
-        texts = self.keyed.join(sent(wanted.select("key")), "key", "left_semi").select("text")
+        texts = self.keyed.join(_sent(wanted.select("key")), "key", "left_semi").select("text")
         if not wanted.where("key is null").isEmpty():  # sets that only rows without a key have
             texts = texts.union(self.keyed.where("key is null").select("text"))
-        found = texts.mapInArrow(self.make, "node long, short binary, long binary").join(sent(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
+        found = texts.mapInArrow(self.make, "node long, short binary, long binary").join(_sent(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
         found = self.steps.cut(found, "sets")
         self.sets = found if self.sets is None else self.sets.union(found)
 
     def links(self, pairs: DataFrame) -> DataFrame:
+        a, b = (self.marks.select(F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("mark").alias(f"m{v}")) for v in "ab")
+        met = a.join(_sent(pairs), "a").join(b.join(_sent(pairs.select("b")), "b", "left_semi"), "b").select("a", "b", "na", "ma", "nb", "mb")
+        pairs = self.steps.cut(met.mapInArrow(_near(*self.similarity), "a long, b long"), "near_pairs")
         self._read(pairs)
-        sent = F.broadcast if pairs.count() <= SENT_KEYS else (lambda df: df)
         a, b = (self.sets.select(F.col("node").alias(v), F.col("short").alias(f"s{v}"), F.col("long").alias(f"l{v}")) for v in "ab")
-        met = a.join(sent(pairs), "a").join(b.join(sent(pairs.select("b").distinct()), "b", "left_semi"), "b").select("a", "b", "sa", "la", "sb", "lb")
+        met = a.join(_sent(pairs), "a").join(b.join(_sent(pairs.select("b")), "b", "left_semi"), "b").select("a", "b", "sa", "la", "sb", "lb")
         return self.steps.cut(met.mapInArrow(_probe(*self.similarity), "a long, b long"), "links")
 
 
@@ -343,25 +379,26 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     """(key, n_shingles, component_id) for every row of ``docs``: the least key that links reach. ``name_bits``: fewer are for tests."""
     steps = Steps(docs.sparkSession)
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    survey = steps.cut(keyed.mapInArrow(_survey("key", name_bits), "key long, n long, node long, other long, token long, seen long"), "survey")
+    survey = steps.cut(keyed.mapInArrow(_survey("key", name_bits), "key long, n long, node long, other long, mark binary, token long, seen long"), "survey")
 
     common = survey.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen >= 4")
     common = common.orderBy(F.desc("seen"), "token").limit(LONG_LISTS).toPandas()  # at most LONG_LISTS rows
     order = _Order(common["token"].to_numpy(np.int64), common["seen"].to_numpy(np.int64))
 
     named = survey.where("token is null")
-    twice = named.groupBy("node").agg(F.min("other").alias("o0"), F.max("other").alias("o1"), F.min("key").alias("key"), F.max("n").alias("n"))
-    twice = steps.cut(twice, "names")
+    by_name = lambda rows: rows.groupBy("node").agg(F.min("other").alias("o0"), F.max("other").alias("o1"), F.min("key").alias("key"), F.max("n").alias("n"), F.min("mark").alias("mark"))
+    names = steps.cut(by_name(named), "names")
     # names that stand for several sets: some dozens among 10^10 sets
-    again = np.sort(np.array([r[0] for r in twice.where("o0 != o1").select("node").limit(1_000_001).collect()], np.int64))
+    again = np.sort(np.array([r[0] for r in names.where("o0 != o1").select("node").limit(1_000_001).collect()], np.int64))
     if len(again) > 1_000_000:
         raise RuntimeError("the names of sets are too short for this table")
-    documents, holders = named.select("key", "n", "node"), twice.where("n > 0").select("node", "key")
+    documents = named.select("key", "n", "node")
     if len(again):
         longer = F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in again], "node long").withColumn("more", F.lit(True)))
         node = F.when(F.col("more"), F.col("node").bitwiseXOR(F.col("other"))).otherwise(F.col("node"))
-        documents = named.join(longer, "node", "left").select("key", "n", node.alias("node"))
-        holders = documents.where("n > 0").groupBy("node").agg(F.min("key").alias("key"))
+        renamed = named.join(longer, "node", "left").select("key", "n", node.alias("node"), "other", "mark")
+        documents, names = renamed.select("key", "n", "node"), steps.cut(by_name(renamed), "names")
+    holders = names.where("n > 0").select("node", "key", "n", "mark")
     verifier = _Verifier(steps, keyed, holders, _sets(order, similarity, name_bits, again), similarity)
 
     postings = keyed.select("text").mapInArrow(_postings(order, similarity, name_bits, again), "slot long, node long, meta long")
@@ -378,7 +415,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         groups = steps.cut(components(links, steps=steps), "groups")
         steps.drop(last)
         last, c = lists, F.coalesce("component", "node").alias("c")
-        rows = lists.select("slot", "node", "meta").join(groups.withColumnRenamed("id", "node"), "node", "left").select("slot", "node", "meta", c)
+        rows = lists.select("slot", "node", "meta").join(_sent(groups.withColumnRenamed("id", "node")), "node", "left").select("slot", "node", "meta", c)
         lists = _open(rows)
 
     rows = steps.cut(lists, "open_lists")
@@ -397,10 +434,10 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     repeated = same.join(several_sets, "key").where("a != node").select("a", F.col("node").alias("b"))
     final = components(links.union(more).union(repeated), steps=steps)
     # the least key of each component, then of each node in one, so that documents are joined by node
-    linked = steps.cut(final.withColumnRenamed("id", "node").join(holders, "node"), "linked")
+    linked = steps.cut(final.withColumnRenamed("id", "node").join(holders.select("node", "key"), "node"), "linked")
     least = steps.cut(linked.groupBy("component").agg(F.min("key").alias("least")), "least")
     reached = linked.select("node", "component").join(least, "component").select("node", "least")
-    own = steps.cut(holders.join(reached, "node", "left").select("node", F.coalesce("least", "key").alias("component_id")), "own")
+    own = steps.cut(holders.select("node", "key").join(reached, "node", "left").select("node", F.coalesce("least", "key").alias("component_id")), "own")
     documents = steps.cut(documents, "documents")
     out = documents.where("n > 0").join(own, "node", "left").select("key", "n", "component_id").unionByName(documents.where("n = 0").select("key", "n", F.col("key").alias("component_id")))
     steps.finish(own, documents)
