@@ -37,6 +37,15 @@ PRECEDENCE = {"human": 100, "atlan": 80, "dbt": 60, "unity_catalog": 40, "llm_in
 MATCH_BOOST = {"lexical_exact": 0.3, "vector": 0.0, "graph": -0.1}
 
 
+def text_cast(c: Column, kind: str) -> Column:
+    """A text as ``kind``, null if it doesn't fit. Texts that cannot be numbers are told by a pattern: a cast that fails costs far more."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.when(c.rlike(r"^[\x00-\x20]*[+-]?[0-9]+[\x00-\x20]*$"), c.try_cast(kind))
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        return F.when(c.rlike(r"(?i)[0-9]|nan|inf"), c.try_cast(kind))
+    return c.try_cast(kind)
+
+
 def typed(c: Column, kind: str) -> Column:
     """A text cell as ``kind``; cells that do not fit are null (SRC-17)."""
     if kind == "string":
@@ -45,8 +54,8 @@ def typed(c: Column, kind: str) -> Column:
     if kind == "boolean":
         return F.lower(cell).isin(TRUE_WORDS)
     if kind in ("bigint", "int", "smallint"):
-        return F.coalesce(cell.try_cast(kind), cell.try_cast("double").try_cast(kind))
-    return cell.try_cast(kind)
+        return F.coalesce(text_cast(cell, kind), text_cast(cell, "double").try_cast(kind))
+    return text_cast(cell, kind)
 
 
 def vocabulary_pattern(i: int) -> str:

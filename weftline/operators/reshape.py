@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.values import text_cast
+
 
 @dataclass(frozen=True)
 class Field:
@@ -18,21 +20,25 @@ class Field:
     is_constant: bool = False
     cast: str | None = None
 
-    def column(self) -> Column:
+    def column(self, is_text: bool = False) -> Column:
+        """``is_text``: the source is a text, whose cast to a number is guarded."""
         name = self.target.rpartition(".")[2]
         if self.is_constant:
             return F.lit(self.constant).alias(name)
         if self.source is None:
             raise ValueError(f"field {self.target} has neither a source nor a constant")
         column = F.col(self.source.rpartition(".")[2])
-        return (column.try_cast(self.cast) if self.cast else column).alias(name)
+        if self.cast:
+            column = text_cast(column, self.cast) if is_text else column.try_cast(self.cast)
+        return column.alias(name)
 
 
 def project(source: DataFrame, fields: list[Field]) -> DataFrame:
     """PRJ-04. A field list must not be empty; casts that fail give null."""
     if not fields:
         raise ValueError("a projection needs fields")
-    return source.select(*(f.column() for f in fields))
+    texts = {n for n, kind in source.dtypes if kind == "string"}
+    return source.select(*(f.column((f.source or "").rpartition(".")[2] in texts) for f in fields))
 
 
 def pivot(rows: DataFrame, key: list[str], name: str, value: str, names: list[str]) -> DataFrame:
