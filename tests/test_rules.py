@@ -15,14 +15,19 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_closure(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_closure(spark, monkeypatch, small):
+    """In rounds, and by one task."""
+    monkeypatch.setattr(connect, "SMALL", small)
     links = spark.createDataFrame([(3, 2), (2, 1), (1, 2), (7, 8), (9, 9), (20, 10), *((i, i + 1) for i in range(20, 60))], "a int, b int")
     got = dict(rows(match.closure(links)))
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, **{i: 10 for i in [10, *range(20, 61)]}}
     assert match.closure(links.where("false")).count() == 0
 
 
-def test_closure_of_a_shuffled_chain(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_closure_of_a_shuffled_chain(spark, monkeypatch, small):
+    monkeypatch.setattr(connect, "SMALL", small)
     ids = random.Random(3).sample(range(10_000), 400)
     links = spark.createDataFrame([*zip(ids, ids[1:]), (20_000, 20_001), (20_001, 20_002), (20_002, 20_000)], "a int, b int")
     assert dict(rows(match.closure(links))) == {**dict.fromkeys(ids, min(ids)), **dict.fromkeys(range(20_000, 20_003), 20_000)}
@@ -127,6 +132,7 @@ def test_build_a_graph(spark):
 def test_closure_of_a_large_star(spark, monkeypatch):
     """Dealt out in parts, a star's centre is many keys; the result is the same."""
     monkeypatch.setattr(connect, "ARCS", 40)
+    monkeypatch.setattr(connect, "SMALL", 0)
     links = spark.createDataFrame([*((0, i) for i in range(1, 300)), *((i, i + 1) for i in range(1000, 1040)), (299, 1040), (5000, 5001)], "a int, b int")
     want = dict.fromkeys([*range(300), *range(1000, 1041)], 0) | {5000: 5000, 5001: 5000}
     assert dict(rows(match.closure(links))) == want
@@ -134,6 +140,7 @@ def test_closure_of_a_large_star(spark, monkeypatch):
 
 def test_closure_that_does_not_settle_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(connect, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(connect, "SMALL", 0)
     with pytest.raises(RuntimeError, match="not settled"):
         match.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5)], "a int, b int"))
 
