@@ -321,8 +321,9 @@ def _head_pairs(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): each node with the heads of its slot, and the heads of the parts of a list with one of themselves."""
     x, y = F.col("x"), F.col("y")
     own = rows.select(F.struct("node", "meta", "c").alias("x"), F.explode("heads").alias("y"))
-    tops = rows.where(F.col("slot") >= _DEALT).select("slot", "node", F.posexplode("heads").alias("j", "x")).where("x.node = node")
-    tops = tops.select("x", F.min("x").over(Window.partitionBy(F.col("slot").bitwiseAND(_LOW), "j")).alias("y"))
+    draws = F.transform("heads", lambda h, j: F.struct(j.alias("j"), h.alias("h")))
+    tops = rows.where(F.col("slot") >= _DEALT).select("slot", F.explode(F.filter(draws, lambda d: d["h"]["node"] == F.col("node"))).alias("d"))
+    tops = tops.select(F.col("d.h").alias("x"), F.min("d.h").over(Window.partitionBy(F.col("slot").bitwiseAND(_LOW), "d.j")).alias("y"))
     met = own.select("x", F.struct("y.node", "y.meta", "y.c").alias("y")).unionByName(tops.select(*(F.struct(f"{v}.node", f"{v}.meta", f"{v}.c").alias(v) for v in "xy")))
     met = met.where((x["c"] != y["c"]) & _room(similarity, x["meta"], y["meta"]))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
