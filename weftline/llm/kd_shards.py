@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Steps, cut
 
 LEAF_ROWS = 100_000  # rows that one task numbers together
 _STEP = 10  # bits of the ordering that one pass looks at
@@ -64,7 +64,9 @@ def kd_shards(docs: DataFrame, dimensions: list[Column], *, shards: int, key: st
         *(F.coalesce(d.cast("long"), F.lit(0)).alias(n) for d, n in zip(dimensions, names)),
     )
     # node: its number among those of the level that are not leaves yet; leaves have -1 - shard
-    rows = cut(table, "metadata").withColumn("node", F.lit(0 if shards > 1 else -1))
+    steps = Steps(docs.sparkSession)
+    stored = steps.cut(table, "metadata")
+    rows = stored.withColumn("node", F.lit(0 if shards > 1 else -1))
     leaves, done = ([shards], 0) if shards > 1 else ([], 1)
     spread: list[float] | None = None
     while leaves:
@@ -93,9 +95,13 @@ def kd_shards(docs: DataFrame, dimensions: list[Column], *, shards: int, key: st
                     sides[side].append(len(following))
                     following.append(part)
         split = F.when(F.col("code") < _of(at, F.col("node")).cast("long"), _of(sides[0], F.col("node"))).otherwise(_of(sides[1], F.col("node")))
-        rows = cut(coded.withColumn("node", F.when(F.col("node") >= 0, split).otherwise(F.col("node"))).drop("code"), "kd_level")
+        rows = steps.cut(coded.withColumn("node", F.when(F.col("node") >= 0, split).otherwise(F.col("node"))).drop("code"), "kd_level")
+        steps.drop(stored)
+        stored = rows
         leaves = following
-    return numbered(rows.select("key", "size", "text_crc32", "tie", (-1 - F.col("node")).cast("int").alias("shard"))).withColumnRenamed("key", key)
+    out = numbered(rows.select("key", "size", "text_crc32", "tie", (-1 - F.col("node")).cast("int").alias("shard"))).withColumnRenamed("key", key)
+    steps.finish()
+    return out
 
 
 def numbered(rows: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Steps
 
 RANGES = 4096  # of the digest, for each leaf
 
@@ -102,14 +102,15 @@ def mix_sources(
     tokens = count_words() if tokens is None else tokens
     levels = [f"l{i}" for i in range(len(path))]
     own = [F.col(f"`{key}`").alias("key"), *(e.alias(n) for n, e in zip(levels, path.values())), tokens.alias("tokens")]
-    sized = cut(docs.select(*own), "sizes")
-    leaves = cut(sized.groupBy(*levels).agg(F.sum("tokens").alias("tokens")), "leaves")
+    steps = Steps(docs.sparkSession)
+    sized = steps.cut(docs.select(*own), "sizes")
+    leaves = steps.cut(sized.groupBy(*levels).agg(F.sum("tokens").alias("tokens")), "leaves")
     if budget is None:
         budget = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
     plan = leaf_budgets(leaves.toDF(*path, "tokens"), [*path], weights, budget, epochs).toDF(*levels, "budget")
     plan = plan.join(leaves, [plan[n].eqNullSafe(leaves[n]) for n in levels]).select(*(plan[n] for n in levels), "budget", "tokens")
     plan = plan.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.expr("budget div tokens"))).otherwise(0).cast("int"))
-    plan = cut(plan.select(*levels, "full", (F.col("budget") - F.col("full") * F.col("tokens")).alias("rest")), "leaf_plan")
+    plan = steps.cut(plan.select(*levels, "full", (F.col("budget") - F.col("full") * F.col("tokens")).alias("rest")), "leaf_plan")
 
     def beside(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
         """``rows`` with the columns of ``table`` for their leaf."""
@@ -122,7 +123,8 @@ def mix_sources(
     sums = placed(sized).groupBy(*levels, "rest", "range").agg(F.sum("tokens").alias("sum"))
     upto = F.sum("sum").over(Window.partitionBy(*levels).orderBy("range"))  # at most ``RANGES`` rows a leaf
     ends = sums.withColumn("upto", upto).where("upto > rest").groupBy(*levels).agg(F.min(F.struct("range", (F.col("upto") - F.col("sum")).alias("before"))).alias("end"))
-    ends = cut(ends.select(*levels, F.col("end.range").alias("end"), F.col("end.before").alias("before")), "prefix_ends")
+    ends = steps.cut(ends.select(*levels, F.col("end.range").alias("end"), F.col("end.before").alias("before")), "prefix_ends")
+    steps.finish(plan, ends)
 
     rows = beside(placed(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *own)), ends, "left")
     more = F.when(F.col("end").isNull() | (F.col("range") < F.col("end")), 1).otherwise(0)
