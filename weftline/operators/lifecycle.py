@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.ranked import number
+
 #: Which status may follow which.
 TRANSITIONS = {
     "candidate": ["auto_accepted", "review_pending", "rejected", "human_pinned"],
@@ -114,3 +116,14 @@ def backfilled(edges: DataFrame, scope_of: DataFrame, end: str = "from") -> Data
 def flipped(edges: DataFrame) -> DataFrame:
     """Edges the other way round (GRF-12)."""
     return edges.withColumns({"from": F.col("to"), "to": F.col("from")})
+
+
+#: The parts of a target model, in the order in which they are written.
+MODEL_PARTS = ["entity", "obligation", "binding", "term", "card"]
+
+
+def model_order(parts: DataFrame) -> DataFrame:
+    """SRT-08: ``parts`` (kind, name) with ``section``, the kind's place, and ``place``, the name's in it: one order for any run. Unknown kinds are left out."""
+    section = F.array_position(F.array(*map(F.lit, MODEL_PARTS)), F.col("kind")).cast("int")
+    known = parts.select("kind", "name").distinct().withColumn("section", section).where("section > 0")
+    return number(known, ["kind"], [F.asc("name")], "place")

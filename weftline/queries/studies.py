@@ -255,3 +255,10 @@ def composed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-07: composed Unicode, then one space between words."""
     p = table(spark, sf_dir, "part").where("p_size % 2 = 0")
     return p.select("p_partkey", canonical_name(F.concat(F.lit("  Cafe\u0301  "), "p_name", F.lit(" u\u0308"))).alias("name"))
+
+
+@query("""SELECT kind, name, section, row_number() OVER (PARTITION BY kind ORDER BY name)::INT AS place FROM (SELECT DISTINCT k AS kind, p_name AS name, s AS section FROM part JOIN (VALUES ('entity', 1), ('obligation', 2), ('binding', 3), ('term', 4), ('card', 5)) t(k, s) ON s = p_size % 7 + 1)""")
+def model_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT-08."""
+    kind = F.element_at(F.array(*(F.lit(k) for k in [*lifecycle.MODEL_PARTS, "x", "y"])), (F.col("p_size") % 7 + 1).cast("int"))
+    return lifecycle.model_order(table(spark, sf_dir, "part").select(kind.alias("kind"), F.col("p_name").alias("name")))
