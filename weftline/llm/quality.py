@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_CODES, Steps, span_hashes, text_chunks
 
-VOCABULARY = 1 << 16  # words with a vector of their own: what is held and sent to tasks, 200 bytes each
+VOCABULARY = 1 << 15  # words with a vector of their own: what is held and sent to tasks, 200 bytes each
 LEAST = 3  # occurrences of such a word
 INDEXES = 1 << 16  # index vectors that are told apart
 WIDTH = 48  # of a word vector
@@ -90,7 +90,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.concatenate((value, some))
             value, inverse = np.unique(both, return_inverse=True)
             count = np.bincount(inverse, np.concatenate((count, n)), len(value)).astype(np.int64)
-            if len(value) > 1 << 20:
+            if len(value) > 1 << 19:
                 yield rows()
                 value, count = value[:0], count[:0]
     yield rows()
@@ -120,7 +120,7 @@ def _count(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(slot, sums): for each slot that a task met, the sum of the index vectors around it, and how often it occurred."""
         index = index_vectors()
-        sums = np.zeros((len(known) + SHAPES, WIDTH + 1), np.int64)
+        sums = np.zeros((len(known) + SHAPES, WIDTH + 1), np.int32)  # of one task
         for batch in batches:
             for _, data, offsets in text_chunks(batch, 0):
                 hashes, shape, row = words(data, offsets)
@@ -139,7 +139,9 @@ def _count(known: np.ndarray):
                 sums[met, :WIDTH] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
                 sums[met, WIDTH] += np.diff(np.append(first, n))
         met = np.flatnonzero(sums[:, WIDTH])
-        yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(np.ascontiguousarray(sums[met, i])) for i in range(WIDTH + 1))], ["slot", *_SUMS])
+        for lo in range(0, max(1, len(met)), 4096):
+            some = met[lo : lo + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(sums[some, i].astype(np.int64)) for i in range(WIDTH + 1))], ["slot", *_SUMS])
 
     return run
 
