@@ -250,7 +250,7 @@ def table_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(i, table_key(ref).alias("key"))
 
 
-@query("""SELECT p_partkey, trim(regexp_replace(nfc_normalize('  Cafe' || chr(769) || '  ' || p_name || ' u' || chr(776)), '\s+', ' ', 'g')) AS name FROM part WHERE p_size % 2 = 0""")
+@query(r"""SELECT p_partkey, trim(regexp_replace(nfc_normalize('  Cafe' || chr(769) || '  ' || p_name || ' u' || chr(776)), '\s+', ' ', 'g')) AS name FROM part WHERE p_size % 2 = 0""")
 def composed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-07: composed Unicode, then one space between words."""
     p = table(spark, sf_dir, "part").where("p_size % 2 = 0")
