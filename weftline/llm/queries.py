@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cosine_dedup, fixity, kd_shards, mixing, packing, quality, secret_scan, shingle_join, token_counts, topk_search
+from . import cosine_dedup, exact_dedup, fixity, kd_shards, mixing, packing, quality, resampling, secret_scan, shingle_join, spelling, token_counts, topk_search
 from .common import cut
 from .sql import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,10 +90,35 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def noisy_words(docs: DataFrame) -> DataFrame:
+    """(word): the runs of letters of all texts that may have seven characters or more; a CRC-32 of id and run decides whether and where a letter is deleted."""
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\\u00C0-\\u00FF]{7,}"), F.lit(0))).alias("run"))
+    run, n = F.col("run"), F.length("run")
+    runs = runs.select("doc_id", F.translate("run", UPPER, UPPER.lower()).alias("run"))
+    runs = runs.withColumn("h", F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), run).cast("binary")))
+    at = (F.col("h") % n).cast("int")
+    return runs.select(F.when(F.col("h") % 31 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, n))).otherwise(run).alias("word"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(noisy_words(table(spark, sf_dir, "documents")), 7, 2)
+    return spelling.spelling_forms(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, share=(10, 100), least_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_merkle_fixity, op3_mixing_sources, op4_exact_topk, op5_best_fit_packing,
         op6_token_counts, op7_quality_classifier, op8_kd_shards, op9_embedding_dedup, op10_secret_scans,
+        op11_spelling_variants, op12_target_resampling, op13_exact_dedup,
     )
 }

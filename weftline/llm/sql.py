@@ -99,10 +99,82 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(least.b,
 FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.vec_id
 """
 
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte, by its polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _crc32(digits: str) -> str:
+    """The unsigned CRC-32 of the bytes whose hexadecimal digits are in the column ``digits``."""
+    steps = f"list_transform(range(1, length({digits}), 2), lambda i: ('0x' || substr({digits}, i, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, b: xor(c >> 8, list_extract({_crc_table()}::BIGINT[], (xor(c, b) & 255) + 1))), 4294967295::BIGINT)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[a-z\x{{00C0}}-\x{{00FF}}]{{7,}}')) AS run FROM documents
+), marked AS (
+    SELECT run, times, {_crc32('digits')} AS h FROM (SELECT run, count(*) AS times, hex(encode(doc_id || ':' || run)) AS digits FROM runs GROUP BY doc_id, run)
+), noisy AS (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM marked
+), words AS (SELECT word, sum(times)::BIGINT AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+less AS (SELECT DISTINCT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS gap, left(word, i - 1) || substr(word, i + 1) AS cut FROM words, unnest(range(1, length(word) + 1)) AS _(i)),
+near AS (
+    SELECT x.word, y.word AS other, y.n FROM less x JOIN less y ON x.gap = y.gap AND x.word <> y.word
+    UNION SELECT x.word, y.word, y.n FROM less x JOIN words y ON x.cut = y.word
+    UNION SELECT y.word, x.word, x.n FROM less x JOIN words y ON x.cut = y.word
+), best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+forms AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word
+), follow(word, root, form) AS (
+    SELECT word, word, form FROM forms UNION ALL SELECT f.word, f.form, g.form FROM follow f JOIN forms g ON g.word = f.form
+)
+SELECT f.word, f.form, follow.root, f.n, f.n_near, f.form_n FROM forms f JOIN follow ON follow.word = f.word AND follow.form IS NULL
+"""
+
+_WORDS = r"regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH words AS (
+    SELECT doc_id, 's' AS side, unnest({_WORDS}) AS word FROM documents UNION ALL SELECT item_id, 't', unnest({_WORDS}) FROM benchmark
+), named AS (
+    SELECT word, {_crc32('digits')} % 10000 AS bucket FROM (SELECT DISTINCT word, hex(encode(word)) AS digits FROM words)
+), met AS (SELECT doc_id, side, bucket FROM words JOIN named USING (word)),
+sums AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM met GROUP BY bucket),
+gains AS (
+    SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM sums
+), weights AS (
+    SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS total FROM met JOIN gains USING (bucket) WHERE side = 's' GROUP BY doc_id
+), weighed AS (
+    SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce((total - (total % n_features + n_features) % n_features) // n_features, 0) AS weight,
+        ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h
+    FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id
+), scored AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM weighed),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank FROM scored s LEFT JOIN ranked r ON r.doc_id = s.doc_id
+"""
+
+OP13 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size, row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY body ORDER BY length(text) DESC, doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1,
     "op2_merkle_fixity": _op2(),
     "op3_mixing_sources": _op3(),
     "op4_exact_topk": OP4,
     "op9_embedding_dedup": OP9,
+    "op11_spelling_variants": OP11,
+    "op12_target_resampling": OP12,
+    "op13_exact_dedup": OP13,
 }
