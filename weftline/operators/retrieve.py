@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,28 +13,65 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import question_tokens
 from weftline.functions.values import final_score
+from weftline.operators import automaton
 from weftline.operators.ranked import number, pick
-
-
-#: Words of the questions of one request. More are an error, not a cut.
-MOST_WORDS = 2000
+from weftline.sources.staging import Steps, cut, utf8_blocks
+
+
+#: Words, each with its question, that go into one automaton: a few hundred bytes a word in every task.
+BLOCK_WORDS = 100_000
+
+#: Pairs of a name and a question that a task holds at once.
+BLOCK_PAIRS = 1 << 20
+
+
+class _Asked:
+    """Words of questions as an automaton, with the questions of each word: those of word w are ``asked_by[begin[w]:begin[w + 1]]``, as places in ``ids``."""
+
+    def __init__(self, asked: pa.Table) -> None:
+        words, of = np.unique(np.asarray(asked.column("token").to_pylist(), dtype=object), return_inverse=True)
+        ids, which = np.unique(np.asarray(asked.column("question_id").to_pylist(), dtype=object), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        self.begin, self.asked_by = np.searchsorted(of[order], np.arange(len(words) + 1)), which[order]
+        self.ids = pa.array(ids.tolist(), asked.schema.field("question_id").type)
+        self.found = automaton.build(words.tolist())
+
+    def seeds(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """From (label, name, confidence, lower-case name): (label, name, confidence, question_id, n_tokens). The rows of a node and a question may be parted, to be added up."""
+        questions = max(1, len(self.ids))
+        for part, data, offsets in utf8_blocks(batch, 3, automaton.BLOCK_BYTES):
+            name, word = self.found.words_in(data, offsets)
+            times = self.begin[word + 1] - self.begin[word]
+            upto = np.cumsum(times)
+            lo = 0
+            while lo < len(name):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BLOCK_PAIRS, side="right")))
+                t = times[lo:hi]
+                at = np.repeat(self.begin[word[lo:hi]] - np.cumsum(t) + t, t) + np.arange(t.sum())
+                pair, n = np.unique(np.repeat(name[lo:hi], t) * questions + self.asked_by[at], return_counts=True)
+                node, question = np.divmod(pair, questions)
+                taken = [part.column(c).take(pa.array(node)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*taken, self.ids.take(pa.array(question)), pa.array(n.astype(np.int64))], ["label", "name", "confidence", "question_id", "n_tokens"])
+                lo = hi
 
 
 def lexical_seeds(questions: DataFrame, nodes: DataFrame, k: int | None = None) -> DataFrame:
-    """(question_id, label, name, n_tokens, score, match): nodes whose name holds a word of the question (VEC-05, FN-13, FN-15).
+    """(question_id, label, name, confidence, n_tokens, score, match): nodes whose name holds a word of the question (VEC-05, FN-13, FN-15).
 
-    questions: question_id, question, those of one request: their words, ``MOST_WORDS`` at most, come to the driver and go with the plan, so every node is
-    looked at once and nothing is joined. nodes: label, name, confidence.
+    questions: question_id, question, as many as there are. Their words go into automata of ``BLOCK_WORDS`` words, built once each and sent to all tasks, which read every node's
+    name once for each automaton; nothing is joined. nodes: label, name, confidence; repeated ones count once, a null name holds nothing.
     """
-    words = questions.select("question_id", F.explode(F.array_distinct(question_tokens(F.col("question")))).alias("token")).limit(MOST_WORDS + 1).collect()
-    if len(words) > MOST_WORDS:
-        raise ValueError(f"a request has {MOST_WORDS} words at most; split its questions")
-    kind = questions.schema["question_id"].dataType
-    asked = F.array(*(F.struct(F.lit(w["question_id"]).cast(kind).alias("question_id"), F.lit(w["token"]).alias("token")) for w in words))
-    if not words:
-        asked = F.array().cast(f"array<struct<question_id:{kind.simpleString()},token:string>>")
-    met = nodes.select("*", F.explode(F.filter(asked, lambda w: F.contains(F.lower(F.col("name")), w["token"]))).alias("w")).select("*", "w.question_id")
-    hits = met.groupBy("question_id", "label", "name", "confidence").agg(F.count("*").alias("n_tokens"))
+    spark = questions.sparkSession
+    asked = cut(questions.where("question_id is not null").select("question_id", F.explode(question_tokens(F.col("question"))).alias("token")).where("token <> ''").distinct(), "words_asked")
+    blocks = max(1, -(-asked.count() // BLOCK_WORDS))
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("token", "question_id"), F.lit(blocks)).cast("int"))
+    names = nodes.select("label", "name", "confidence").distinct().withColumn("_low", F.lower("name"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*names.schema.fields[:3], asked.schema["question_id"]])
+    found = []
+    for b in range(blocks):
+        block = spark.sparkContext.broadcast(_Asked(dealt.where(F.col("_block") == b).select("question_id", "token").toArrow()))  # about BLOCK_WORDS rows
+        found.append(names.mapInArrow(lambda batches, block=block: (out for batch in batches for out in block.value.seeds(batch)), f"{kinds}, n_tokens long"))
+    hits = reduce(DataFrame.unionByName, found).groupBy("question_id", "label", "name", "confidence").agg(F.sum("n_tokens").alias("n_tokens"))
     out = hits.withColumns({"score": F.lit(1.0), "match": F.lit("lexical_exact")})
     return out if k is None else number(out, ["question_id"], [F.desc("n_tokens"), F.asc("label"), F.asc("name")], "_n", k).drop("_n")
 
@@ -118,10 +158,51 @@ def context(entities: DataFrame, joins: DataFrame, values: DataFrame, most_entit
     return e.join(j, "question_id", "left").join(v, "question_id", "left")
 
 
-def suggestions(wrong: list[str], known: DataFrame, k: int = 3) -> DataFrame:
-    """(wrong, known, distance, n): the k names nearest by edits (FN-22, SRT-06). ``wrong``: the names of one query, which go with the plan."""
-    met = known.select("known", F.explode(F.array(*map(F.lit, wrong))).alias("wrong")).withColumn("distance", F.levenshtein(F.lower("wrong"), F.lower("known")))
-    return number(met, ["wrong"], [F.asc("distance"), F.asc("known")], "n", k)
+#: For each number of deletions, the longest names that are indexed by them: about 2,000 keys a name at most.
+INDEXED = {1: 2000, 2: 62, 3: 23}
+
+#: Names that one slice of the last round has.
+SLICE = 10_000
+
+
+def _deletions(text: str, d: int) -> str:
+    """SQL: all texts that are left of ``text`` when 0 to ``d`` of its characters are deleted, each once."""
+    level = kept = f"array({text})"
+    for _ in range(d):
+        level = f"array_distinct(flatten(transform({level}, t -> transform(sequence(1, greatest(length(t), 1)), i -> concat(substr(t, 1, i - 1), substr(t, i + 1))))))"
+        kept = f"concat({kept}, {level})"
+    return f"array_distinct({kept})"
+
+
+def suggestions(wrong: DataFrame | list[str], known: DataFrame, k: int = 3) -> DataFrame:
+    """(wrong, known, distance, n): the k names nearest by edits, upper and lower case alike, ties to the smaller name (FN-22, SRT-06).
+
+    wrong: the words asked about, as a list or a column ``wrong``; known: a column ``known``. Words and names that are d edits apart have a text in common when both lose up to d
+    characters, so names are found by an equality, with d growing until a word has k names. Only words that still lack some after that, or are too long to be indexed, are compared
+    with all names, slice by slice. Repeated words and names count once; nulls take no part.
+    """
+    spark = known.sparkSession
+    if isinstance(wrong, list):
+        wrong = spark.createDataFrame([(w,) for w in wrong], "wrong string")
+    steps = Steps(spark)
+    names = steps.cut(known.where("known is not null").select("known", F.lower("known").alias("name")).distinct(), "names")
+    left = steps.cut(wrong.where("wrong is not null").select("wrong", F.lower("wrong").alias("word")).distinct(), "words")
+    done = []
+    for d, longest in INDEXED.items():
+        fits = F.length("word") + d <= longest
+        asked = left.where(fits).select("wrong", "word", F.explode(F.expr(_deletions("word", d))).alias("key"))
+        index = names.where(F.length("name") <= longest).select("known", "name", F.explode(F.expr(_deletions("name", d))).alias("key"))
+        near = asked.join(index, "key").select("wrong", "known", F.levenshtein("word", "name").alias("distance")).where(F.col("distance") <= d).distinct()
+        best = steps.cut(number(near, ["wrong"], [F.asc("distance"), F.asc("known")], "n", k), f"within_{d}")
+        whole = steps.cut(best.where(F.col("n") == k).select("wrong"), "settled")
+        done.append(best.join(whole, "wrong", "left_semi"))
+        left = steps.cut(left.join(whole, "wrong", "left_anti"), "words")
+    slices = max(1, -(-names.count() // SLICE))
+    asked = left.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    dealt = names.withColumn("slice", F.pmod(F.xxhash64("known"), F.lit(slices)).cast("int"))
+    far = asked.join(dealt, "slice").select("wrong", "known", F.levenshtein("word", "name").alias("distance"))
+    done.append(number(far, ["wrong"], [F.asc("distance"), F.asc("known")], "n", k))
+    return reduce(DataFrame.unionByName, done).select("wrong", "known", "distance", "n")
 
 
 def unknown_references(references: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -67,6 +67,21 @@ def lexical_seed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.hits(_questions(spark), _nodes(spark, sf_dir)).select("question_id", "label", "name", F.round("final_score", 6).alias("final_score"))
 
 
+@query("""WITH q AS (SELECT c_custkey AS question_id, 'Where is ' || substr(c_name, 6) || ' of ' || c_mktsegment || ', buyer of a ' || p_name || '?' AS question FROM customer LEFT JOIN part ON p_partkey = c_custkey),
+    t AS (SELECT DISTINCT question_id, token FROM (SELECT question_id, unnest(regexp_split_to_array(lower(question), '[\\s\\-_/.,;:!?()]+')) AS token FROM q) WHERE length(token) >= 3 AND token NOT IN (""" + _STOP + """)),
+    nodes AS (SELECT 'customer' AS label, c_name AS name FROM customer UNION SELECT 'supplier', s_name FROM supplier UNION SELECT 'part', p_name FROM part),
+    tokens AS (SELECT DISTINCT token FROM t), met AS (SELECT label, name, token FROM nodes JOIN tokens ON contains(lower(name), token))
+    SELECT question_id, label, name, count(*) AS n_tokens FROM met JOIN t USING (token) GROUP BY ALL""")
+def lexical_seeds_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-05, FN-15: a question of every customer, against the names of all customers, suppliers and parts."""
+    c, p = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    text = F.concat(F.lit("Where is "), F.substring("c_name", 6, 100), F.lit(" of "), "c_mktsegment", F.lit(", buyer of a "), "p_name", F.lit("?"))
+    questions = c.join(p, c["c_custkey"] == p["p_partkey"], "left").select(F.col("c_custkey").alias("question_id"), text.alias("question"))
+    node = lambda t, label, name: table(spark, sf_dir, t).select(F.lit(label).alias("label"), F.col(name).alias("name"), F.lit(0.9).alias("confidence"))
+    nodes = reduce(DataFrame.unionByName, [node("customer", "customer", "c_name"), node("supplier", "supplier", "s_name"), node("part", "part", "p_name")])
+    return retrieve.lexical_seeds(questions, nodes).select("question_id", "label", "name", "n_tokens")
+
+
 _NEAR = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 4) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0),
     near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM pairs) WHERE rank <= 10)"""
 
@@ -122,6 +137,19 @@ def edit_distance_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.suggestions(_WRONG, table(spark, sf_dir, "nation").select(F.col("n_name").alias("known")))
 
 
+@query("""WITH w AS (SELECT DISTINCT wrong FROM (SELECT left(s_name, (s_suppkey % 8)::INT) || substr(s_name, (s_suppkey % 8)::INT + 2) AS wrong FROM supplier UNION ALL SELECT upper(p_name) || 's' FROM part UNION ALL SELECT p_type || ' ' || p_brand FROM part)),
+    known AS (SELECT p_name AS known FROM part UNION SELECT s_name FROM supplier UNION SELECT n_name FROM nation)
+    SELECT wrong, known, distance, n FROM (SELECT *, row_number() OVER (PARTITION BY wrong ORDER BY distance, known)::INT AS n FROM (SELECT wrong, known, levenshtein(lower(wrong), lower(known))::INT AS distance FROM known, w)) WHERE n <= 3""")
+def nearest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-22, SRT-06: misspelt names of all suppliers and parts, and words that are near to none, against all names."""
+    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    cut_at = (F.col("s_suppkey") % 8).cast("int")
+    wrong = s.select(F.concat(F.substring("s_name", F.lit(1), cut_at), F.substring("s_name", cut_at + 2, F.length("s_name"))).alias("wrong"))
+    wrong = wrong.union(p.select(F.concat(F.upper("p_name"), F.lit("s")))).union(p.select(F.concat_ws(" ", "p_type", "p_brand")))
+    known = p.select(F.col("p_name").alias("known")).union(s.select("s_name")).union(table(spark, sf_dir, "nation").select("n_name"))
+    return retrieve.suggestions(wrong, known)
+
+
 @query(f"""WITH {CATALOG_SQL}, asked AS (SELECT "table", CASE WHEN position % 3 = 1 THEN 'gone' ELSE "column" END AS "column" FROM catalog UNION ALL SELECT "table" || 's', "column" FROM catalog WHERE position < 2 UNION ALL SELECT DISTINCT "table", NULL FROM catalog UNION ALL SELECT 'nowhere', NULL)
     SELECT DISTINCT "table", "column" FROM asked a WHERE "table" NOT IN (SELECT "table" FROM catalog) OR ("column" IS NOT NULL AND NOT EXISTS (SELECT 1 FROM catalog c WHERE c."table" = a."table" AND c."column" = a."column"))""")
 def closed_world(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,7 @@
 """Writes that can be repeated.
 
-A scoped write replaces the partition of its scope and touches no other; an empty one drops it, which an overwrite alone would
-not. Parquet has no updates, so a keyed write makes the whole new table from the stored one and swaps it in. Sessions that have read a
-table before refresh it to see the new one.
+A scoped write replaces its scope and touches no other (``scoped``). A keyed write of a table without parts makes the whole new table from the stored one and
+swaps it in; tables that grow are ``scoped.KeyedTable``. Sessions that have read a table before refresh it to see the new one.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import ranked
+from weftline.sources.scoped import ScopedTable
 
 
 def recover(spark: SparkSession, name: str) -> None:
@@ -51,20 +51,9 @@ def write_table(spark: SparkSession, name: str, rows: DataFrame, comments: dict[
 def write_scope(spark: SparkSession, name: str, rows: DataFrame, scope: dict[str, str]) -> int:
     """SNK-09 to SNK-11: the rows of a scope are replaced, also by none. Returns how many rows the scope has then.
 
-    The table is partitioned by the scope's columns, in their order; rows outside the scope are an error of the caller and are left out.
+    The table is made of scopes (``scoped.ScopedTable``) by the scope's columns, in their order; rows outside the scope are an error of the caller and are left out.
     """
-    mine = F.lit(True)
-    for c, v in scope.items():
-        mine = mine & (F.col(c) == v)
-    inside = rows.where(mine)
-    if not spark.catalog.tableExists(name):
-        inside.write.partitionBy(*scope).saveAsTable(name)
-    elif inside.isEmpty():
-        where = ", ".join(f"{c} = '{v.replace(chr(39), chr(92) + chr(39))}'" for c, v in scope.items())
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({where})")
-    else:
-        inside.select(*spark.read.table(name).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
-    return spark.read.table(name).where(mine).count()
+    return ScopedTable.create(rows, name, list(scope)).swap(rows, [tuple(scope.values())]).n_written
 
 
 def write_upsert(spark: SparkSession, name: str, rows: DataFrame, key: list[str], order: list[Column]) -> None:

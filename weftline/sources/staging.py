@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 _own_dir: str | None = None
 _WANTED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
@@ -101,3 +106,26 @@ class Steps:
 
     def finish(self, *kept: DataFrame) -> None:
         self.drop(*(t for _, t in self.made if not any(t is k for k in kept)))
+
+
+def observed(counts: Observation) -> dict[str, int]:
+    """What was counted while a plan ran. A plan that turns out to be empty while it runs is not carried on, and leaves no counts."""
+    try:
+        return counts.get
+    except Py4JJavaError:
+        return {}
+
+
+def utf8_blocks(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of ``batch`` with about ``limit`` bytes of the text column ``column`` each (one row at least), with its UTF-8 bytes and row offsets. Null counts as empty."""
+    texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
+    if not len(texts):
+        return
+    _, offs, data = texts.buffers()
+    offsets = np.frombuffer(offs, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+        yield batch.slice(lo, hi - lo), raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi

@@ -6,30 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.operators.assertions import latest
-from weftline.sources.staging import Steps
+from weftline.sources.scoped import KeyedTable
 
 
 def follow_status(log: DataFrame, table: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """Keep in ``table`` the last event (by seq) of each id of a stream (id, status, seq) (D5). Events may come late, twice or out of order.
+    """Keep in ``table`` the last event (by seq) of each id of a stream (id, status, seq) (D5). Events may come late, twice or out of order; those without an id are left out.
 
-    The table is partitioned by a hash of the id in ``buckets`` parts, fixed when it is made. A batch reads and replaces the parts that its ids are in and
+    The table is dealt by a hash of the id in ``buckets`` parts, fixed when it is made. A batch reads and replaces the parts that its ids are in and
     no other; a batch that is run again gives the same rows.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        last = latest(batch, ["id"], [F.col("seq")]).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-        if not spark.catalog.tableExists(table):
-            last.repartition("bucket").write.partitionBy("bucket").saveAsTable(table)
-            return
-        spark.catalog.refreshTable(table)
-        touched = [r[0] for r in last.select("bucket").distinct().collect()]  # ``buckets`` at most
-        old = spark.read.table(table).where(F.col("bucket").isin(touched))
-        steps = Steps(spark)  # Spark does not replace what it is reading
-        new = steps.cut(latest(old.unionByName(last), ["id"], [F.col("seq")]).select(*old.columns), "merged")
-        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
-        steps.finish()
+        stored = KeyedTable(batch, table, ["id"], parts=buckets, buckets=1)
+        stored.merge(batch, [-F.col("seq"), F.col("status")], F.col("new.seq") > F.col("old.seq"))
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
