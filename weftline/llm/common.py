@@ -127,3 +127,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes=lo
         out[lo:hi] = span_hashes(codes(data[a:b]), starts[lo:hi] - a, ends[lo:hi] - a)
         lo = hi
     return out
+
+
+def own_name(name: str, taken: list[str]) -> str:
+    """``name`` with as many ``_`` in front as it takes to be no column of ``taken``, one at least."""
+    have = {c.lower() for c in taken}
+    name = f"_{name}"
+    while name.lower() in have:
+        name = f"_{name}"
+    return name

@@ -9,14 +9,16 @@ Each level is a table of grouped hashes, written once; descending is a join of t
 that differ. Records are never gathered beyond the range of one leaf.
 
 Defined cases: a null payload counts as empty, and null offsets, lengths or files are left out; of records that share file and offset the hash covers
-all, and they match if the sorted lists of their hashes are equal; an empty replica lacks every record; two empty ones give an
+all, and they match if the sorted lists of their lengths and hashes are equal, so a record whose stated length alone differs is changed; an empty replica lacks every record; two empty ones give an
 empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -47,7 +49,7 @@ def warc_record(uri: Column, content: Column, number: Column, date: str = DATE)
 def archive(pages: DataFrame, *, key: str = "page_id", uri: str = "url", content: str = "html", per_file: int = 1000, date: str = DATE) -> DataFrame:
     """(file, offset, length, key, payload): ``pages`` as records of WARC files with the pages of ``per_file`` consecutive keys each.
 
-    Records of a file follow their keys, those of one key a digest. Offsets are sums over (key, digest, length) alone; payloads are dealt by
+    Pages without a key are in no file. Records of a file follow their keys, those of one key a digest. Offsets are sums over (key, digest, length) alone; payloads are dealt by
     these and never sorted by file. Pages that are alike in all columns lie side by side.
     """
     record = warc_record(F.col(uri), F.col(content), F.col(key), date)
@@ -71,30 +73,48 @@ def write_warc(records: DataFrame, path: str) -> None:
     rows.repartition("file").sortWithinPartitions("file", "offset").select("file", "value").write.partitionBy("file").option("lineSep", "\r\n\r\n").text(path)
 
 
+def _plain_records(raw: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, payload). What cannot be read as a record goes up to the next one that begins with a version line."""
+    at = 0
+    while at < len(raw):
+        found = _HEAD.match(raw, at)
+        end = found.end() + int(found[1]) + 4 if found else at
+        if not found or end > len(raw) or raw[end - 4 : end] != b"\r\n\r\n":
+            following = _NEXT.search(raw, at + 1)
+            end = following.start() if following else len(raw)
+        yield at, end - at, bytes(raw[at:end])
+        at = end
+
+
+def _packed_records(raw: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """The same for a file of gzip members, one for each record: offset and length are those of the member, the payload is what it holds. What is no whole member is one record, as it is."""
+    at = 0
+    while at < len(raw):
+        member = zlib.decompressobj(wbits=31)
+        try:
+            payload = member.decompress(raw[at:])
+            end = len(raw) - len(member.unused_data) if member.eof else -1
+        except zlib.error:
+            end = -1
+        if end < 0:
+            payload, end = bytes(raw[at:]), len(raw)
+        yield at, end - at, payload
+        at = end
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, offset, length, payload) of the records in whole files. What cannot be read as a record goes up to the next one that begins with a version line."""
+    """(path, offset, length, payload) of the records in whole files."""
     for batch in batches:
         for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
             raw = memoryview(raw.as_buffer())
-            at, rows = 0, []
-            while at < len(raw):
-                found = _HEAD.match(raw, at)
-                end = found.end() + int(found[1]) + 4 if found else at
-                if not found or end > len(raw) or raw[end - 4 : end] != b"\r\n\r\n":
-                    following = _NEXT.search(raw, at + 1)
-                    end = following.start() if following else len(raw)
-                rows.append((at, end))
-                at = end
-            for lo in range(0, len(rows), 1000):
-                some = rows[lo : lo + 1000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(some)), pa.array([a for a, _ in some], pa.int64()), pa.array([b - a for a, b in some], pa.int64()), pa.array([bytes(raw[a:b]) for a, b in some], pa.binary())],
-                    ["file", "offset", "length", "payload"],
-                )
+            found = _packed_records(raw) if bytes(raw[:2]) == b"\x1f\x8b" else _plain_records(raw)
+            while some := list(islice(found, 1000)):
+                offset, length, payload = zip(*some)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(payload, pa.binary())], ["file", "offset", "length", "payload"])
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """(file, offset, length, payload) of WARC files without compression, from (path, content) as Spark's ``binaryFile`` reads them. A file is read by one task."""
+    """(file, offset, length, payload) of WARC files, plain or of a gzip member for each record, from (path, content) as Spark's ``binaryFile`` reads them. A file is read by one task."""
     return files.select("path", "content").mapInArrow(_members, "file string, offset long, length long, payload binary")
 
 
@@ -140,7 +160,7 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
 
     def records(t: DataFrame, side: str) -> DataFrame:
         own = t.select("*", leaf).join(bad, ["file", "up"], "left_semi")
-        return own.groupBy("file", "offset").agg(F.max("length").alias(f"{side}_length"), F.sort_array(F.collect_list("hash")).alias(side))
+        return own.groupBy("file", "offset").agg(F.max("length").alias(f"{side}_length"), F.sort_array(F.collect_list(F.concat_ws(":", F.col("length").cast("string"), "hash"))).alias(side))
 
     both = records(left, "ours").join(records(right, "theirs"), ["file", "offset"], "full_outer")
     state = F.when(F.col("theirs").isNull(), "missing").when(F.col("ours").isNull(), "extra").otherwise("changed")

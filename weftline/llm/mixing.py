@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Steps
+from .common import Steps, own_name
 
 RANGES = 4096  # of the digest, for each leaf
 
@@ -81,15 +81,6 @@ def digest(key: Column, epoch: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
-def own_name(name: str, taken: list[str]) -> str:
-    """``name`` with as many ``_`` in front as it takes to be no column of ``taken``, one at least."""
-    have = {c.lower() for c in taken}
-    name = f"_{name}"
-    while name.lower() in have:
-        name = f"_{name}"
-    return name
-
-
 def mix_sources(
     docs: DataFrame, path: dict[str, Column], weights: list[Column], *, budget: int | None = None, share: float = 1.0, epochs: int = 1, seed: int = 1, key: str = "doc_id", tokens: Column | None = None
 ) -> DataFrame:
@@ -97,6 +88,7 @@ def mix_sources(
 
     path: the tree's levels, names and expressions; weights: whole numbers for the nodes of each level, over columns of
     these names; budget: tokens in all, by default the part ``share`` of those in ``docs``; epochs: how often a document may be taken.
+    Rows that share a key are in the order of a digest of all their columns.
     Where ``docs`` has such a column itself, the added one has another ``_`` in front.
     """
     tokens = count_words() if tokens is None else tokens
@@ -129,7 +121,7 @@ def mix_sources(
     rows = beside(placed(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *own)), ends, "left")
     more = F.when(F.col("end").isNull() | (F.col("range") < F.col("end")), 1).otherwise(0)
     whole = rows.withColumn("times", F.col("full") + more).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    running = F.sum("tokens").over(Window.partitionBy(*levels).orderBy("digest", "key").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("tokens").over(Window.partitionBy(*levels).orderBy("digest", "key", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, 0))
     edge = rows.where(F.col("range") == F.col("end")).withColumn("running", F.col("before") + running).where("running <= rest").withColumn("epoch", F.col("full"))
     names = {n: own_name(p, docs.columns) for n, p in [*zip(levels, path), ("tokens", "tokens"), ("epoch", "epoch")]}
     out = [F.col("row.*"), *(F.col(n).alias(name) for n, name in names.items())]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_chunks
+from .common import cut, own_name, text_chunks
 from .token_counts import encoder
 
 CAPACITY = 2048
@@ -112,12 +112,17 @@ def _round(capacity: int, last: bool):
 
 
 def pack(items: DataFrame, *, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
-    """``items`` with ``sequence_id`` and ``offset``. Lengths are from 1 to ``capacity``; items of the full length are sequences of their own."""
-    numbered = cut(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    full = numbered.where(F.col(length) >= capacity).withColumns({"sequence_id": F.col("item"), "offset": F.lit(0).cast("long")})
+    """``items`` with ``sequence_id`` and ``offset``. Lengths are from 1 to ``capacity``; items of the full length are sequences of their own.
+
+    Where ``items`` has such a column itself, the added one has a ``_`` in front.
+    """
+    have = {c.lower() for c in items.columns}
+    name, sequence, offset = own_name("item", items.columns), *(n if n not in have else own_name(n, items.columns) for n in ("sequence_id", "offset"))
+    numbered = cut(items.withColumn(name, F.monotonically_increasing_id()), "items")
+    full = numbered.where(F.col(length) >= capacity).withColumns({sequence: F.col(name), offset: F.lit(0).cast("long")})
     loose = numbered.where(F.col(length) < capacity)
     groups = max(1, -(-loose.count() // GROUP))
-    todo = loose.select("item", F.col(length).alias("length"), F.pmod(F.xxhash64("item"), F.lit(groups)).alias("group"))
+    todo = loose.select(F.col(name).alias("item"), F.col(length).alias("length"), F.pmod(F.xxhash64(name), F.lit(groups)).alias("group"))
     # where each item of the first round is, followed from bin to bin
     place = None
     while True:
@@ -137,5 +142,5 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, length: str = "length")
         groups = -(-groups // FAN)
         todo = got.where(~F.col("done")).groupBy(F.col("bin").alias("item")).agg(F.first("fill").alias("length"), F.first("group").alias("from"))
         todo = todo.select("item", "length", F.floor(F.col("from") / FAN).cast("long").alias("group"))
-    final = final.select("item", F.col("bin").alias("sequence_id"), "offset")
-    return full.unionByName(loose.join(final, "item")).drop("item")
+    final = final.select(F.col("item").alias(name), F.col("bin").alias(sequence), F.col("offset").alias(offset))
+    return full.unionByName(loose.join(final, name)).drop(name)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, Steps, span_hashes, text_chunks
+from .common import BYTE_CODES, Steps, own_name, span_hashes, text_chunks
 
 VOCABULARY = 1 << 15  # words with a vector of their own: what is held and sent to tasks, 200 bytes each
 LEAST = 3  # occurrences of such a word
@@ -99,7 +99,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(docs: DataFrame, *, text: str = "text") -> np.ndarray:
     """The sorted hashes of the most frequent words, ``VOCABULARY`` at most, that occur ``LEAST`` times.
 
-    The frequency from which on words fit is found from counts of frequencies; words as frequent as the first one that does not fit are left out.
+    The frequency from which on words fit is found from counts of frequencies; of the words that are as frequent as the first one that does not fit, those with the lowest hashes fill the rest.
     """
     steps = Steps(docs.sparkSession)
     counted = steps.cut(docs.select(text).mapInArrow(_occurrences, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "words")
@@ -107,11 +107,12 @@ def vocabulary(docs: DataFrame, *, text: str = "text") -> np.ndarray:
     level = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor((F.log2("n") - 12) * 64)).cast("long")
     least, total = 0, 0
     for row in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):  # some 7,000 rows at most
-        least, total = row["level"], total + row["count"]
-        if total > VOCABULARY:
-            least += 1
+        if total + row["count"] > VOCABULARY:
+            least = row["level"] + 1
             break
-    chosen = counted.where(level >= least).select("word").toPandas()["word"]
+        total += row["count"]
+    chosen = counted.where(level >= least).select("word")
+    chosen = chosen.union(counted.where(level == least - 1).select("word").orderBy(F.xxhash64("word"), "word").limit(VOCABULARY - total)).toPandas()["word"]
     steps.finish()
     return np.sort(chosen.to_numpy(np.int64).view(np.uint64))
 
@@ -275,13 +276,14 @@ def _features(vectors: WordVectors):
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: WordVectors, *, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> Network:
-    """``labels`` (key, label): the rows to learn from. At most ``most`` of them are, those whose ids hash lowest."""
+    """``labels`` (key, label): the rows to learn from. At most ``most`` of them are, those whose ids hash lowest; of documents that share an id, one."""
     chosen = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     order = F.xxhash64(F.col("id"), F.lit(29))
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).withColumn("ord", order).orderBy("ord", "id").limit(most)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "ord", "text")
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(_features(vectors), f"id {kind}, label int, ord long, x binary").orderBy("ord", "id", "x").toPandas()  # at most ``most`` documents
+    each = rows.mapInArrow(_features(vectors), f"id {kind}, label int, ord long, x binary")
+    got = each.groupBy("id").agg(F.min(F.struct("ord", "label", "x")).alias("row")).select("id", "row.*").orderBy("ord", "id").toPandas()  # a row for each id, at most ``most``
     x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, FEATURES)
     return fit(x, got["label"].to_numpy())
 
@@ -321,5 +323,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
 def keep_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows whose score is below ``threshold``."""
     vectors, network = classifier(docs, labels, key=key, text=text, label=label)
-    name = next(n for n in ("quality_score", *(f"quality_score_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    name = own_name("quality_score", docs.columns)
     return score(docs, network, vectors, text=text, name=name).where(F.col(name) >= threshold).drop(name)
