@@ -5,11 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import profile, sketches
 from weftline.queries.base import query, table
+from weftline.sources import accounts
+from weftline.sources.graphs import StoredGraph
 from weftline.sources.scoped import KeyedTable, ScopedTable
 from weftline.sources.staging import cut, new_path, remove
 
@@ -81,3 +85,101 @@ def stored_edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
             stored.merge(part.drop("l_returnflag"), [-seconds, -F.col("o"), -F.col("l")], later)
         stored.delete(edges.where("`from` % 10 = 0").select("from", "to"))
         return cut(stored.read().select("from", "to", "quantity", "shipped"), "edges")
+
+
+_LINES = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*)::BIGINT AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_exact, true AS within FROM lineitem" for c in _LINES))
+def profile_in_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-03, AGG-05: a profile kept as lines arrive in four parts, one of them twice; its distinct counts are held against exact ones."""
+    lines = table(spark, sf_dir, "lineitem")
+    with _home(spark, "profiles") as [(name, path)]:
+        kept = sketches.Profiles(lines, name, path)
+        for part in (0, 1, 2, 3, 1):
+            kept.arrive(lines.where(F.pmod("l_orderkey", F.lit(4)) == part), "lineitem", f"part {part}")
+        found = cut(kept.profile(), "profile")
+    exact = profile.profile(lines, "lineitem").select("column", F.col("n_distinct").alias("n_exact"))
+    # small counts are told apart by the sketch: the bound is one value at least
+    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.greatest(F.lit(1.0), F.col("n_exact") * sketches.distinct_error())
+    return found.join(exact, "column").select("column", "n_rows", "n_nulls", "n_exact", near.alias("within"))
+
+
+_FREQUENT = {"l_suppkey": 10, "l_quantity": 20, "l_shipdate": 5, "l_orderkey": 7, "l_returnflag": 9}
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{c}' AS "column", {f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c == 'l_shipdate' else f"{c}::VARCHAR"} AS value, count(*) AS frequency FROM lineitem GROUP BY 2 ORDER BY frequency DESC, value LIMIT {k})""" for c, k in _FREQUENT.items()
+))
+def frequent_values_in_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-04, PRJ-10: the most frequent values from sketches of two arrivals, made exact by a count of the candidates; where no value is frequent enough for that, all are counted."""
+    lines = table(spark, sf_dir, "lineitem").select(*_FREQUENT)
+    halves = [sketches.sketch(lines.where(F.pmod("l_orderkey", F.lit(2)) == part), "lineitem", f"half {part}") for part in (0, 1)]
+    kept = cut(halves[0].unionByName(halves[1]), "sketches")
+    found = [sketches.top_values(lines, kept, "lineitem", c, k).select(F.lit(c).alias("column"), "value", "frequency") for c, k in _FREQUENT.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""WITH source AS (SELECT CASE WHEN o_orderkey % 9 = 0 THEN '  ' WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey::VARCHAR END AS k, o_orderstatus, o_orderkey % 5 = 0 AS odd FROM orders),
+    staged AS (SELECT o_orderstatus = 'P' AS none, o_orderstatus = 'P' AND NOT odd AS empty FROM source WHERE trim(coalesce(k, '')) <> '')
+    SELECT (SELECT count(*) FROM source) AS source_rows, (SELECT count(*) FROM source) - count(*) AS missing_rows, count(*) AS written_rows, count_if(empty)::BIGINT AS null_rows, count_if(none)::BIGINT AS no_map_rows,
+        0::BIGINT AS resolved_but_null, count_if(none AND NOT empty)::BIGINT AS no_map_but_populated, count_if(none AND NOT empty) = 0 AS passed FROM staged""")
+def observed_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-07, QA-01, QA-02, QA-06: orders are staged, some without a key and some with a target against their resolution; the counts come with the write."""
+    key = F.when(F.col("o_orderkey") % 9 == 0, "  ").when(F.col("o_orderkey") % 11 == 0, None).otherwise(F.col("o_custkey").cast("string"))
+    source = table(spark, sf_dir, "orders").select("o_orderkey", key.alias("k"), "o_orderstatus", "o_orderpriority")
+
+    def stage(rows: DataFrame) -> DataFrame:
+        none = F.col("o_orderstatus") == "P"
+        target = F.when(~none | (F.col("o_orderkey") % 5 == 0), F.col("o_orderkey"))
+        return rows.where("trim(coalesce(k, '')) <> ''").select("k", target.alias("target_id"), F.when(none, "NO_MAP").otherwise("RESOLVED").alias("resolution"), "o_orderpriority")
+
+    with _home(spark, "staged") as [(name, path)]:
+        stored = ScopedTable.create(stage(source), name, ["o_orderpriority"], path=path)
+        found = accounts.staged_swap(stored, source, stage, [(p,) for p in PRIORITIES], key="k")
+    return accounts.as_row(found, source).drop("recounted")
+
+
+_GRAPH = """part_of AS (SELECT p_partkey AS id, 's' || (p_partkey % 4) AS s, p_brand AS t, 'c' || (p_size % 5) AS c, p_name AS entity, p_type || ' ' || p_size AS property, p_name || '/' || p_size AS alias FROM part),
+    edges AS (SELECT 'entity_on_table' AS kind, 'Entity' AS from_label, entity AS "from", 'Table' AS to_label, s || '.' || t AS "to", s AS source_schema FROM part_of
+        UNION SELECT 'property_on_column', 'Property', property, 'Column', s || '.' || t || '.' || c, s FROM part_of UNION SELECT 'refers_to', 'Alias', alias, 'Entity', entity, s FROM part_of
+        UNION SELECT 'provenance', 'Assertion', id || '@' || s || '.' || t || '.' || c, 'Property', property, s FROM part_of UNION SELECT 'parent_of', 'Term', c_mktsegment, 'Term', c_mktsegment || c_nationkey, NULL FROM customer),
+    nodes AS (SELECT DISTINCT from_label AS label, "from" AS key, CASE WHEN from_label = 'Assertion' THEN source_schema END AS source_schema FROM edges UNION SELECT to_label, "to", NULL FROM edges
+        UNION SELECT 'Entity', s_name, NULL FROM supplier UNION SELECT 'Alias', 'alias of nothing', NULL UNION SELECT 'Table', 's1.empty', NULL),
+    gone AS (SELECT label, key FROM nodes WHERE (label = 'Assertion' AND (source_schema = 's1' OR regexp_extract(key, '@(.*)$', 1) LIKE 's2.Brand#2.%')) OR (label = 'Table' AND key = 's2.Brand#2') OR (label = 'Column' AND key LIKE 's2.Brand#2.%')),
+    left_edges AS (SELECT * FROM edges e WHERE source_schema IS DISTINCT FROM 's1' AND NOT EXISTS (SELECT 1 FROM gone WHERE (label = from_label AND key = "from") OR (label = to_label AND key = "to"))),
+    left_nodes AS (SELECT label, key FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.label = n.label AND g.key = n.key)
+        AND NOT (label = 'Alias' AND NOT EXISTS (SELECT 1 FROM left_edges WHERE kind = 'refers_to' AND "from" = n.key))
+        AND NOT (label IN ('Entity', 'Property', 'Term') AND NOT EXISTS (SELECT 1 FROM left_edges WHERE (from_label = n.label AND "from" = n.key) OR (to_label = n.label AND "to" = n.key))))"""
+
+
+@query(f"""WITH {_GRAPH} SELECT 'node' AS what, label AS a, key AS b, NULL AS c, NULL AS source_schema FROM left_nodes UNION ALL SELECT 'edge', kind, "from", "to", source_schema FROM left_edges""")
+def stored_graph_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-07 to GRF-09: a stored graph of all parts loses one study and one table, and then what no edge reaches."""
+    p = table(spark, sf_dir, "part")
+    s = F.concat(F.lit("s"), (F.col("p_partkey") % 4).cast("string"))
+    t = F.concat_ws(".", s, "p_brand")
+    c = F.concat(t, F.lit(".c"), (F.col("p_size") % 5).cast("string"))
+    prop, alias = F.concat_ws(" ", "p_type", "p_size"), F.concat_ws("/", "p_name", "p_size")
+    edge = lambda rows, kind, a, x, b, y, schema: rows.select(F.lit(kind).alias("kind"), F.lit(a).alias("from_label"), x.alias("from"), F.lit(b).alias("to_label"), y.alias("to"), schema.alias("source_schema"))
+    segment = F.col("c_mktsegment")
+    edges = reduce(DataFrame.unionByName, [
+        edge(p, "entity_on_table", "Entity", F.col("p_name"), "Table", t, s), edge(p, "property_on_column", "Property", prop, "Column", c, s), edge(p, "refers_to", "Alias", alias, "Entity", F.col("p_name"), s),
+        edge(p, "provenance", "Assertion", F.concat_ws("@", "p_partkey", c), "Property", prop, s),
+        edge(table(spark, sf_dir, "customer"), "parent_of", "Term", segment, "Term", F.concat(segment, F.col("c_nationkey").cast("string")), F.lit(None).cast("string")),
+    ])
+    own = F.when(F.col("from_label") == "Assertion", F.col("source_schema"))
+    ends = edges.select(F.col("from_label").alias("label"), F.col("from").alias("key"), own.alias("source_schema")).union(edges.select("to_label", "to", F.lit(None)))
+    more = table(spark, sf_dir, "supplier").select(F.lit("Entity"), "s_name", F.lit(None)).union(spark.createDataFrame([("Alias", "alias of nothing", None), ("Table", "s1.empty", None)], "a string, b string, c string"))
+    nodes = ends.union(more).withColumn("confidence", F.lit(0.5))
+    with _home(spark, "graph") as [(name, path)]:
+        g = StoredGraph(spark, name, path=path, parts=4, buckets=2)
+        try:
+            g.add(nodes, edges)
+            g.delete_schema("s1")
+            g.delete_table("s2", "Brand#2")
+            found = g.nodes.read().select(F.lit("node").alias("what"), F.col("label").alias("a"), F.col("key").alias("b"), F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("source_schema"))
+            return cut(found.union(g.read_edges().select(F.lit("edge"), "kind", "from", "to", "source_schema")), "graph")
+        finally:
+            for kind in ("nodes", "edges"):
+                spark.sql(f"DROP TABLE IF EXISTS {name}_{kind}")
