@@ -122,11 +122,12 @@ def source_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.distinct_keys(table(spark, sf_dir, "orders"), "o_orderstatus").select(F.col("o_orderstatus").alias("code"))
 
 
-@query("SELECT 'sf' AS \"schema\"")
+@query(f"""WITH {CATALOG_SQL}, three AS (SELECT 'sf' AS "schema", "table", "column" FROM catalog UNION ALL SELECT 'zz', "table", "column" FROM catalog UNION ALL SELECT 'aa', "table", 'not ' || "column" FROM catalog)
+    SELECT min("schema") AS "schema" FROM three WHERE "table" = 'orders' AND "column" = 'cust_key'""")
 def schema_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-28."""
     own = catalog(spark, sf_dir)
-    return first_schema_with(own.unionByName(own.withColumn("schema", F.lit("zz"))), "orders", "cust_key")
+    return first_schema_with(own.unionByName(own.withColumn("schema", F.lit("zz"))).unionByName(own.withColumns({"schema": F.lit("aa"), "column": F.concat(F.lit("not "), "column")})), "orders", "cust_key")
 
 
 @query("""SELECT n_pushed, n_target, n_pushed = n_target AS matches FROM (SELECT count(*) AS n_pushed FROM orders), (SELECT count(*) AS n_target FROM orders WHERE o_orderkey % 10 > 0)""")

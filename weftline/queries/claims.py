@@ -111,23 +111,38 @@ def normalise_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.claims_of_catalog(catalog(spark, sf_dir).withColumn("comment", comment), "r1", "w", "cat").select("subject", "predicate", "payload", "family")
 
 
-_REFS = [
-    "databricks://ws/cat/sch/tbl", "databricks://ws/cat/sch/tbl/col", "databricks://ws/cat/sch/tbl.col", "postgres://host/db/sch/tbl/col", "postgres://host/db/sch/tbl",
-    "mysql://host/db/tbl", "mysql://host/db/tbl/col", "unity://cat.sch.tbl", "unity://cat.sch.tbl.col", "nothing", "",
+#: Forms of references, over the schema s, table t and column c that a part makes, with what they are parsed to and translated to.
+_FORMS = [
+    ("databricks://ws/cat/{s}/{t}", ("ws", "cat", "{s}", "{t}", None), None), ("databricks://ws/cat/{s}/{t}/{c}", ("ws", "cat", "{s}", "{t}", "{c}"), None), ("databricks://ws/cat/{s}/{t}.{c}", ("ws", "cat", "{s}", "{t}", "{c}"), None),
+    ("postgres://host/db/{s}/{t}/{c}", ("host/db", "db", "{s}", "{t}", "{c}"), None), ("postgres://host/db/{s}/{t}", ("host/db", "db", "{s}", "{t}", None), None),
+    ("mysql://host/db/{t}", ("host/db", "db", None, "{t}", None), None), ("mysql://host/db/{t}/{c}", ("host/db", "db", None, "{t}", "{c}"), None),
+    ("unity://cat.{s}.{t}", ("unity", "cat", "{s}", "{t}", None), "databricks://w/cat/{s}/{t}"), ("unity://cat.{s}.{t}.{c}", ("unity", "cat", "{s}", "{t}", "{c}"), "databricks://w/cat/{s}/{t}/{c}"), ("nothing {t}", (None,) * 5, None), ("", (None,) * 5, None),
 ]
-_PARSED = [
-    ("ws", "cat", "sch", "tbl", None), ("ws", "cat", "sch", "tbl", "col"), ("ws", "cat", "sch", "tbl", "col"), ("host/db", "db", "sch", "tbl", "col"), ("host/db", "db", "sch", "tbl", None),
-    ("host/db", "db", None, "tbl", None), ("host/db", "db", None, "tbl", "col"), ("unity", "cat", "sch", "tbl", None), ("unity", "cat", "sch", "tbl", "col"), (None,) * 5, (None,) * 5,
-]
-_TRANSLATED = [*_REFS[:7], "databricks://w/cat/sch/tbl", "databricks://w/cat/sch/tbl/col", "nothing", ""]
-_QUOTED = lambda v: "NULL" if v is None else f"'{v}'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_QUOTED(v) for v in (r, *p, t)) + ")" for r, p, t in zip(_REFS, _PARSED, _TRANSLATED)) + ") t(ref, source, catalog, \"schema\", \"table\", \"column\", translated)")
+def _made(form: str | None) -> str:
+    """SQL of both engines: a form with its names put in."""
+    if form is None:
+        return "NULL"
+    out = "'" + form + "'"
+    for k in "stc":
+        out = f"replace({out}, '{{{k}}}', {k})"
+    return out
+
+
+def _of_form(values: list[str | None]) -> str:
+    return "CASE i % 11 " + " ".join(f"WHEN {n} THEN {_made(v)}" for n, v in enumerate(values)) + " END"
+
+
+_NAMED = "SELECT p_partkey AS i, 's' || p_size AS s, lower(p_type) AS t, 'c' || (p_partkey % 7) AS c FROM part"
+
+
+@query(f"""WITH named AS ({_NAMED}) SELECT i, {_of_form([f for f, _, _ in _FORMS])} AS ref, """ + ", ".join(f"{_of_form([p[n] for _, p, _ in _FORMS])} AS \"{name}\"" for n, name in enumerate(["source", "catalog", "schema", "table", "column"])) + f""", {_of_form([t or f for f, _, t in _FORMS])} AS translated FROM named""")
 def parse_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D7, FN-25: the expected parts are written out, one line for each form."""
-    rows = spark.createDataFrame([(r,) for r in _REFS], "ref string")
-    return rows.select("ref", refs.parse_ref(F.col("ref")).alias("p"), refs.translate_ref(F.col("ref"), "w").alias("translated")).select("ref", "p.*", "translated")
+    """D7, FN-25: references of all parts, in all forms."""
+    named = table(spark, sf_dir, "part").selectExpr("p_partkey AS i", "'s' || p_size AS s", "lower(p_type) AS t", "'c' || (p_partkey % 7) AS c")
+    rows = named.select("i", F.expr(_of_form([f for f, _, _ in _FORMS])).alias("ref"))
+    return rows.select("i", "ref", refs.parse_ref(F.col("ref")).alias("p"), refs.translate_ref(F.col("ref"), "w").alias("translated")).select("i", "ref", "p.*", "translated")
 
 
 @query("""SELECT doc_id, lower(regexp_replace(regexp_replace(source || '  ' || chr(9) || lang || ' ', '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS name FROM documents""")
@@ -145,10 +160,13 @@ def schema_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", keys.safe_schema_name("st", raw).alias("name"))
 
 
-@query("""SELECT * FROM (VALUES ('BIOTYPE (STRING)', 'BIOTYPE', false), ('age [INT]', 'age', false), (' patient_id: VARCHAR ', 'patient_id', true), ('', '', false), ('id', 'id', true), ('a b', '', false)) t(raw, name, is_key)""")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN lower(p_type) || ' (STRING)' WHEN 1 THEN 'n' || p_size || ' [INT]' WHEN 2 THEN ' t' || p_size || '_id: VARCHAR ' WHEN 3 THEN '' WHEN 4 THEN 'id' ELSE 'a ' || p_name END AS raw,
+    CASE p_partkey % 6 WHEN 0 THEN lower(p_type) WHEN 1 THEN 'n' || p_size WHEN 2 THEN 't' || p_size || '_id' WHEN 4 THEN 'id' ELSE '' END AS name, p_partkey % 6 IN (2, 4) AS is_key FROM part""")
 def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-09, FN-12: the expected names are written out."""
-    rows = spark.createDataFrame([("BIOTYPE (STRING)",), ("age [INT]",), (" patient_id: VARCHAR ",), ("",), ("id",), ("a b",)], "raw string")
+    """FN-09, FN-12: headers made of all parts."""
+    i, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    raw = F.when(i == 0, F.concat(F.lower("p_type"), F.lit(" (STRING)"))).when(i == 1, F.concat(F.lit("n"), size, F.lit(" [INT]"))).when(i == 2, F.concat(F.lit(" t"), size, F.lit("_id: VARCHAR "))).when(i == 3, "").when(i == 4, "id").otherwise(F.concat(F.lit("a "), "p_name"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
     return rows.withColumn("name", keys.bare_column_name(F.col("raw"))).withColumn("is_key", keys.is_key_name(F.col("name")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,15 +41,20 @@ def stage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpret.coverage(columns)
 
 
-_NAMES = [("ICD-10", "icd-10 codes", "categorical", "dx_code"), ("AJCC Staging", "AJCC 8th edition", "categorical", "stage"), ("TNM Classification", None, "Numeric", "t"), ("LOINC", "SNOMED", "identifier", "lab"), ("ZIP", "zip", None, "zip")]
+#: vocabulary, what a model guessed, kind and name of a column; then the confidence of 0.7 after the guess, whether there is a hierarchy, and whether the name is one of codes.
+_NAMES = [("ICD-10", "icd-10 codes", "categorical", "dx_code", 0.1, True, True), ("AJCC Staging", "AJCC 8th edition", "categorical", "stage", 0.1, True, True), ("TNM Classification", None, "Numeric", "t", 0.0, False, False), ("LOINC", "SNOMED", "identifier", "lab", 0.0, False, False), ("ZIP", "zip", None, "zip", 0.1, False, False)]
 
 
-@query("""SELECT * FROM (VALUES ('ICD-10', 0.8::DOUBLE, true, 'dx_code', true), ('AJCC Staging', 0.8::DOUBLE, true, 'stage', true), ('TNM Classification', 0.7::DOUBLE, false, 't', false), ('LOINC', 0.7::DOUBLE, false, 'lab', false), ('ZIP', 0.8::DOUBLE, false, 'zip', false)) t(vocabulary, confidence, hierarchical, name, coded)""")
+@query(f"""WITH g(n, vocabulary, guess, kind, name, boost, hierarchical, coded) AS (VALUES {", ".join("(" + str(n) + ", " + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else f"'{v}'" for v in r) + ")" for n, r in enumerate(_NAMES))})
+    SELECT event_id, vocabulary, round((event_id % 8)::DOUBLE / 10 + boost, 6) AS confidence, hierarchical, CASE WHEN coded THEN event_type || '_' || name ELSE name END AS name, coded FROM events JOIN g ON n = event_id % 5""")
 def vocabulary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-18 to FN-20: the expected values are written out."""
-    rows = spark.createDataFrame(_NAMES, "vocabulary string, guess string, kind string, name string")
+    """FN-18 to FN-20: a guess on a column for every event."""
+    n = F.col("event_id") % 5
+    of = lambda k: reduce(lambda c, x: c.when(n == x[0], F.lit(x[1][k])), enumerate(_NAMES[1:], 1), F.when(n == 0, F.lit(_NAMES[0][k])))
+    name = F.when(of(6), F.concat_ws("_", "event_type", of(3))).otherwise(of(3))
+    rows = table(spark, sf_dir, "events").select("event_id", of(0).alias("vocabulary"), of(1).alias("guess"), of(2).alias("kind"), name.alias("name"), ((F.col("event_id") % 8).cast("double") / 10.0).alias("c"))
     v = F.col("vocabulary")
-    return rows.select("vocabulary", F.round(interpret.boosted(F.lit(0.7), v, F.col("guess")), 6).alias("confidence"), interpret.has_hierarchy(F.col("kind"), v).alias("hierarchical"), "name", interpret.is_coded_name(F.col("name")).alias("coded"))
+    return rows.select("event_id", "vocabulary", F.round(interpret.boosted(F.col("c"), v, F.col("guess")), 6).alias("confidence"), interpret.has_hierarchy(F.col("kind"), v).alias("hierarchical"), "name", interpret.is_coded_name(F.col("name")).alias("coded"))
 
 
 @query("""WITH t AS (SELECT 't' || n_nationkey AS ref, n_name AS entity, n_regionkey % 2 = 0 AS fixed FROM nation), a AS (SELECT ref, unnest(['x' || ref, 'y' || ref]) AS v, unnest([true, false]) AS p FROM t WHERE NOT fixed)
@@ -103,12 +110,15 @@ _STATUS = ["candidate", "auto_accepted", "review_pending", "human_pinned", "reje
 _ALLOWED = [(a, b) for a, bs in lifecycle.TRANSITIONS.items() for b in bs]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _ALLOWED) + ") t(current, target)")
+_STATUS_OF = "CASE {} % 5 " + " ".join(f"WHEN {n} THEN '{s}'" for n, s in enumerate(_STATUS)) + " END"
+
+
+@query(f"""WITH moves AS (SELECT event_id, {_STATUS_OF.format('event_id')} AS current, {_STATUS_OF.format('(event_id // 5)')} AS target FROM events)
+    SELECT event_id, current, target, (current, target) IN ({", ".join(f"('{a}', '{b}')" for a, b in _ALLOWED)}) AS allowed FROM moves""")
 def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MAP-07."""
-    s = spark.createDataFrame([(x,) for x in _STATUS], "current string")
-    pairs = s.select("current", F.explode(F.array(*map(F.lit, _STATUS))).alias("target"))
-    return pairs.where(lifecycle.may_follow(F.col("current"), F.col("target")))
+    """MAP-07: whether each event's status may follow the one before."""
+    moves = table(spark, sf_dir, "events").select("event_id", F.expr(_STATUS_OF.format("event_id")).alias("current"), F.expr(_STATUS_OF.format("(event_id div 5)")).alias("target"))
+    return moves.withColumn("allowed", lifecycle.may_follow(F.col("current"), F.col("target")))
 
 
 @query("""WITH b AS (SELECT event_id AS i FROM events) SELECT i AS id, CASE WHEN i % 11 = 0 THEN 'awaiting_review' WHEN i % 7 = 0 THEN 'blocked_by_resolution' WHEN i % 5 = 0 OR i % 13 = 0 THEN 'blocked_by_obligation' WHEN i % 3 = 0 THEN 'blocked_by_fk'

@@ -168,10 +168,10 @@ def decoded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(spark, sf_dir)[1]
 
 
-@query("""SELECT 'a' || o_orderkey AS alias, 'customer' AS label, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0""")
+@query("""SELECT 'a' || o_orderkey AS alias, 'customer' AS label, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey""")
 def alias_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-12."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("a"), "o_orderkey").alias("alias"), F.col("o_custkey").alias("to"))
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("a"), "o_orderkey").alias("alias"), F.col("o_custkey").alias("to"))
     return graph.aliases(o, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("label"), F.col("c_name").alias("name")))
 
 
@@ -192,10 +192,10 @@ def claims_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.claims_of_table(c, tables).select("id")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN coalesce(CASE WHEN p_size % 5 > 0 THEN p_name END, p_brand) WHEN 1 THEN p_name ELSE p_name || CASE WHEN p_size % 2 = 0 THEN ' - ' || p_type ELSE '' END END AS text FROM part WHERE p_partkey % 3 <> 1 OR p_size % 5 > 0""")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN coalesce(CASE WHEN p_size % 5 > 0 THEN p_name END, p_brand) WHEN 1 THEN p_name ELSE p_name || CASE WHEN p_size % 2 = 0 THEN ' - ' || p_type ELSE '' END END AS text FROM part""")
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-29."""
-    p, i = table(spark, sf_dir, "part").where("p_partkey % 3 <> 1 or p_size % 5 > 0"), F.col("p_partkey") % 3
+    p, i = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
     name = F.when((i != 0) | (F.col("p_size") % 5 > 0), F.col("p_name"))
     made = interpret.embedding_text(F.when(i == 0, "term").when(i == 1, "alias").otherwise("part"), name, F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(" "), F.col("p_brand"))
     return p.select("p_partkey", made.alias("text"))
@@ -250,11 +250,10 @@ def table_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(i, table_key(ref).alias("key"))
 
 
-@query(r"""SELECT p_partkey, trim(regexp_replace(nfc_normalize('  Cafe' || chr(769) || '  ' || p_name || ' u' || chr(776)), '\s+', ' ', 'g')) AS name FROM part WHERE p_size % 2 = 0""")
+@query(r"""SELECT p_partkey, trim(regexp_replace(nfc_normalize('  Cafe' || chr(769) || '  ' || p_name || ' u' || chr(776)), '\s+', ' ', 'g')) AS name FROM part""")
 def composed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-07: composed Unicode, then one space between words."""
-    p = table(spark, sf_dir, "part").where("p_size % 2 = 0")
-    return p.select("p_partkey", canonical_name(F.concat(F.lit("  Cafe\u0301  "), "p_name", F.lit(" u\u0308"))).alias("name"))
+    return table(spark, sf_dir, "part").select("p_partkey", canonical_name(F.concat(F.lit("  Cafe\u0301  "), "p_name", F.lit(" u\u0308"))).alias("name"))
 
 
 @query("""SELECT kind, name, section, row_number() OVER (PARTITION BY kind ORDER BY name)::INT AS place FROM (SELECT DISTINCT k AS kind, p_name AS name, s AS section FROM part JOIN (VALUES ('entity', 1), ('obligation', 2), ('binding', 3), ('term', 4), ('card', 5)) t(k, s) ON s = p_size % 7 + 1)""")
