@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from weftline.operators.connect import components
 from weftline.sources.staging import Steps
 
-from .common import mix, text_chunks, word_hashes, word_spans
+from .common import lean, mix, text_chunks, word_hashes, word_spans
 
 WORDS = 5
 SIMILARITY = (3, 4)  # as a fraction, so that all comparisons are exact
@@ -362,25 +362,25 @@ class _Verifier:
         texts = self.keyed.join(_sent(wanted.select("key")), "key", "left_semi").select("text")
         if not wanted.where("key is null").isEmpty():  # sets that only rows without a key have
             texts = texts.union(self.keyed.where("key is null").select("text"))
-        found = texts.mapInArrow(self.make, "node long, short binary, long binary").join(_sent(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
+        found = texts.mapInArrow(lean(self.make), "node long, short binary, long binary").join(_sent(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
         found = self.steps.cut(found, "sets")
         self.sets = found if self.sets is None else self.sets.union(found)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         a, b = (self.marks.select(F.col("node").alias(v), F.col("n").alias(f"n{v}"), F.col("mark").alias(f"m{v}")) for v in "ab")
         met = a.join(_sent(pairs), "a").join(b.join(_sent(pairs.select("b")), "b", "left_semi"), "b").select("a", "b", "na", "ma", "nb", "mb")
-        pairs = self.steps.cut(met.mapInArrow(_near(*self.similarity), "a long, b long"), "near_pairs")
+        pairs = self.steps.cut(met.mapInArrow(lean(_near(*self.similarity)), "a long, b long"), "near_pairs")
         self._read(pairs)
         a, b = (self.sets.select(F.col("node").alias(v), F.col("short").alias(f"s{v}"), F.col("long").alias(f"l{v}")) for v in "ab")
         met = a.join(_sent(pairs), "a").join(b.join(_sent(pairs.select("b")), "b", "left_semi"), "b").select("a", "b", "sa", "la", "sb", "lb")
-        return self.steps.cut(met.mapInArrow(_probe(*self.similarity), "a long, b long"), "links")
+        return self.steps.cut(met.mapInArrow(lean(_probe(*self.similarity)), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] = SIMILARITY, name_bits: int = 64) -> DataFrame:
     """(key, n_shingles, component_id) for every row of ``docs``: the least key that links reach. ``name_bits``: fewer are for tests."""
     steps = Steps(docs.sparkSession)
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    survey = steps.cut(keyed.mapInArrow(_survey("key", name_bits), "key long, n long, node long, other long, mark binary, token long, seen long"), "survey")
+    survey = steps.cut(keyed.mapInArrow(lean(_survey("key", name_bits)), "key long, n long, node long, other long, mark binary, token long, seen long"), "survey")
 
     common = survey.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen >= 4")
     common = common.orderBy(F.desc("seen"), "token").limit(LONG_LISTS).toPandas()  # at most LONG_LISTS rows
@@ -402,7 +402,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     holders = names.where("n > 0").select("node", "key", "n", "mark")
     verifier = _Verifier(steps, keyed, holders, _sets(order, similarity, name_bits, again), similarity)
 
-    postings = keyed.select("text").mapInArrow(_postings(order, similarity, name_bits, again), "slot long, node long, meta long")
+    postings = keyed.select("text").mapInArrow(lean(_postings(order, similarity, name_bits, again)), "slot long, node long, meta long")
     slot = Window.partitionBy("slot")
     several = postings.withColumns({"low": F.min("node").over(slot), "high": F.max("node").over(slot)}).where((F.col("low") != F.col("high")) | (F.col("slot") >= _DEALT))
     lists = several.drop("low", "high").dropDuplicates(["slot", "node"]).withColumn("c", F.col("node"))
