@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, own_name, text_chunks
+from .common import cut, lean, own_name, text_chunks
 from .token_counts import encoder
 
 CAPACITY = 2048
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", t
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(key, text).mapInArrow(lean(run), f"{key} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, Steps, own_name, span_hashes, text_chunks
+from .common import BYTE_CODES, Steps, lean, own_name, span_hashes, text_chunks
 
 VOCABULARY = 1 << 15  # words with a vector of their own: what is held and sent to tasks, 200 bytes each
 LEAST = 3  # occurrences of such a word
@@ -102,7 +102,7 @@ def vocabulary(docs: DataFrame, *, text: str = "text") -> np.ndarray:
     The frequency from which on words fit is found from counts of frequencies; of the words that are as frequent as the first one that does not fit, those with the lowest hashes fill the rest.
     """
     steps = Steps(docs.sparkSession)
-    counted = steps.cut(docs.select(text).mapInArrow(_occurrences, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "words")
+    counted = steps.cut(docs.select(text).mapInArrow(lean(_occurrences), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "words")
     # whole up to 4,096, then 64 steps for each doubling
     level = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor((F.log2("n") - 12) * 64)).cast("long")
     least, total = 0, 0
@@ -161,7 +161,7 @@ class WordVectors:
 def word_vectors(docs: DataFrame, *, text: str = "text") -> WordVectors:
     """Context vectors of length 1 or zero, counted over all of ``docs``; at most ``VOCABULARY`` and ``SHAPES`` rows, whatever the corpus."""
     known = vocabulary(docs, text=text)
-    counted = docs.select(text).mapInArrow(_count(known), "slot long, " + ", ".join(f"{c} long" for c in _SUMS))
+    counted = docs.select(text).mapInArrow(lean(_count(known)), "slot long, " + ", ".join(f"{c} long" for c in _SUMS))
     total = counted.groupBy("slot").agg(*(F.sum(c).alias(c) for c in _SUMS)).toPandas()  # a row for each vector
     out = np.zeros((len(known) + SHAPES, WIDTH + 1))
     out[total["slot"].to_numpy(np.int64)] = total[_SUMS].to_numpy(np.float64)
@@ -282,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: WordVectors, *, key: str
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).withColumn("ord", order).orderBy("ord", "id").limit(most)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "ord", "text")
     kind = docs.schema[key].dataType.simpleString()
-    each = rows.mapInArrow(_features(vectors), f"id {kind}, label int, ord long, x binary")
+    each = rows.mapInArrow(lean(_features(vectors)), f"id {kind}, label int, ord long, x binary")
     got = each.groupBy("id").agg(F.min(F.struct("ord", "label", "x")).alias("row")).select("id", "row.*").orderBy("ord", "id").toPandas()  # a row for each id, at most ``most``
     x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, FEATURES)
     return fit(x, got["label"].to_numpy())
@@ -299,7 +299,7 @@ def score(docs: DataFrame, network: Network, vectors: WordVectors, *, text: str
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*part.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {name} double")
+    return docs.mapInArrow(lean(run), f"{fields}, {name} double")
 
 
 def held_out(key: Column, parts: int = 4, part: int = 2) -> Column:

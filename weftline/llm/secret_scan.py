@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import lean, text_chunks
 
 
 @dataclass(frozen=True)
@@ -295,7 +295,7 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ru
                     rows.append([{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in spans])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], [key, "spans"])
 
-    return docs.select(key, text).mapInArrow(scan, f"{key} {key_type}, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select(key, text).mapInArrow(lean(scan), f"{key} {key_type}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def span_digest(found: DataFrame, *, key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -337,4 +337,4 @@ def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mask: st
                     part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
                 yield part
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)

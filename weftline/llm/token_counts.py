@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, text_chunks
+from .common import cut, lean, new_path, text_chunks
 from .pieces import PieceEncoder
 
 
@@ -68,7 +68,7 @@ class TokenCountCache:
                     n = enc.counts(part.column(1).to_pylist())
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * part.num_rows, pa.string()), pa.array(n)], ["digest", "tokenizer", "n_tokens"])
 
-        self.misses(docs, text).mapInArrow(count, self.schema).write.mode("append").parquet(self.path)
+        self.misses(docs, text).mapInArrow(lean(count), self.schema).write.mode("append").parquet(self.path)
 
     def counts(self, docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
         """(key, n_bytes, n_tokens, over_limit) for every row of ``docs``, after ``fill``."""
