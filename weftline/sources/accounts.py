@@ -26,9 +26,13 @@ class Account:
     no_map_but_populated: int = 0
     recounted: bool = False
 
+    @property
+    def adds_up(self) -> bool:
+        return self.written_rows + self.missing_rows == self.source_rows
+
     @property
     def passed(self) -> bool:
-        return self.written_rows + self.missing_rows == self.source_rows and not self.resolved_but_null and not self.no_map_but_populated
+        return self.adds_up and not self.resolved_but_null and not self.no_map_but_populated
 
 
 def _source_counts(key: str) -> list[Column]:
@@ -53,7 +57,7 @@ def staged_swap(target: ScopedTable, source: DataFrame, stage: Callable[[DataFra
     done = target.swap(stage(source.observe(read, *_source_counts(key))).observe(staged, *_staged_counts()), scopes)
     found = replace(Account(), **{k: v for k, v in (observed(read) | observed(staged)).items() if v is not None})
     found = replace(found, written_rows=found.written_rows - done.n_outside)
-    if found.passed and done.n_written == found.written_rows:
+    if found.adds_up and done.n_written == found.written_rows:
         return found
     counts = source.agg(*_source_counts(key)).first().asDict() | target.rows_of(scopes).agg(*_staged_counts()).first().asDict()
     return Account(**counts, recounted=True)
