@@ -50,6 +50,21 @@ def row_key(rule: Column, **refs: Column) -> Column:
     return F.sha2(F.concat_ws("|", rule, *(F.concat(F.lit(f"{n}="), F.coalesce(c.cast("string"), F.lit(""))) for n, c in refs.items())), 256)
 
 
+def profile_hash(signature: Column) -> Column:
+    """FN-33: a digest of a JSON signature, the same for any order of its keys; null for what is no JSON."""
+    return F.sha2(F.to_json(F.try_parse_json(signature)), 256)
+
+
+def cache_key(prefix: Column, *versions: Column) -> Column:
+    """FN-33: what a prompt's answer is kept by: the digest of its prefix and the versions that made it. The source it is about is no part of it."""
+    return F.sha2(F.concat_ws("|", F.sha2(prefix, 256), *(F.coalesce(v.cast("string"), F.lit("")) for v in versions)), 256)
+
+
+def leaks(prefix: Column, ref: Column) -> Column:
+    """FN-33: whether a prefix names the source it is sent for, so that no two calls would share it; an empty reference is a fault too."""
+    return F.coalesce((ref == "") | F.contains(prefix, ref), F.lit(True))
+
+
 def text_digest(c: Column) -> Column:
     """FN-05."""
     return F.sha2(c, 256)

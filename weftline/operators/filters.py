@@ -27,6 +27,11 @@ def row_predicate(op: str, clauses: list[tuple[str, Any]]) -> Column:
     return reduce((lambda a, b: a & b) if op == "AND" else (lambda a, b: a | b), each)
 
 
+def optional(rows: DataFrame, wanted: dict[str, Any]) -> DataFrame:
+    """FLT-10: the rows with these values; a parameter that is None is not set and filters nothing, so its column is not even read for it."""
+    return at_grain(rows, set_) if (set_ := {c: v for c, v in wanted.items() if v is not None}) else rows
+
+
 def at_grain(rows: DataFrame, key: dict[str, Any]) -> DataFrame:
     """FLT-15, FLT-19: the rows with all of these values; null is a value."""
     return rows.where(reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(v)) for c, v in key.items())))

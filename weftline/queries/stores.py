@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import profile, sketches
+from weftline.functions import keys
+from weftline.operators import filters, profile, sketches, targets
 from weftline.queries.base import query, table
-from weftline.sources import accounts
+from weftline.sources import accounts, objects
 from weftline.sources.graphs import StoredGraph
 from weftline.sources.scoped import KeyedTable, ScopedTable
 from weftline.sources.staging import cut, new_path, remove
@@ -183,3 +184,75 @@ def stored_graph_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
         finally:
             for kind in ("nodes", "edges"):
                 spark.sql(f"DROP TABLE IF EXISTS {name}_{kind}")
+
+
+_KIND_OF = "CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(objects.KINDS)) + " END"
+_LIST_OF = "CASE p_partkey % 7 WHEN 1 THEN 'risks' WHEN 4 THEN 'fields' WHEN 6 THEN 'sources' ELSE 'listed' END"
+
+
+@query(f"""WITH p AS (SELECT *, {_KIND_OF} AS kind, {_LIST_OF} AS field, p_partkey % 7 IN (1, 4, 6) AS free FROM part),
+    v AS (SELECT *, 1 AS version, p_size AS size FROM p UNION ALL SELECT *, 2, p_size + 1 FROM p WHERE p_partkey % 5 = 0 UNION ALL SELECT *, 2, p_size FROM p WHERE p_partkey % 5 > 0 AND NOT free),
+    t AS (SELECT kind, p_partkey::VARCHAR AS id, version::BIGINT AS version, size, p_brand AS brand, '"brand":"' || p_brand || '"' AS b, '"' || field || '":[' || CASE WHEN free OR version = 1 THEN '"x","y"' ELSE '"y","x"' END || ']' AS l, '"size":{{"a":1,"n":' || size || '}}' AS s, field FROM v)
+    SELECT kind, id, version, sha256('{{' || b || ',' || CASE WHEN field < 'size' THEN l || ',' || s ELSE s || ',' || l END || '}}') AS digest, brand, size FROM t""")
+def plan_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-15: parts as plan objects of seven kinds, then once more with their keys and lists in another order, some of them changed; all versions are read back typed."""
+    p = table(spark, sf_dir, "part")
+    kind, field = F.expr(_KIND_OF).alias("kind"), F.expr(_LIST_OF)
+    text = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts)).alias("json")
+    size = F.col("p_size").cast("string")
+    more = (F.col("p_size") + F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0)).cast("string")
+    first = p.select(kind, F.col("p_partkey").alias("id"), text('{"brand":"', F.col("p_brand"), '","size":{"n":', size, ',"a":1},"', field, '":["x","y"]}'))
+    second = p.select(kind, F.col("p_partkey").alias("id"), text('{"', field, '": ["y", "x"], "size": {"a": 1, "n": ', more, '}, "brand": "', F.col("p_brand"), '"}'))
+    with _home(spark, "objects") as [(name, path)]:
+        for arrived in (first, second, second, first.where("false")):
+            objects.persist(spark, name, arrived, path)
+        found = objects.read(spark, name)
+        value = lambda at, of: F.try_variant_get("payload", at, of)
+        return cut(found.select("kind", "id", "version", "digest", value("$.brand", "string").alias("brand"), value("$.size.n", "int").alias("size")), "objects")
+
+
+@query("""SELECT event_id, sha256('{"k":' || (props ->> '$.k') || ',"user":' || user_id || '}') AS profile_hash, sha256(sha256(event_type) || '|v1|' || user_id) AS cache_key, event_id % 3 = 0 AS leaks FROM events""")
+def provenance_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-33: digests of signatures with their keys in any order, cache keys, and prefixes that name their source."""
+    e = table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    odd = F.concat(F.lit('{"user": '), user, F.lit(", "), F.substring("props", 2, 1000))
+    even = F.concat(F.regexp_replace("props", "}$", ""), F.lit(', "user": '), user, F.lit("}"))
+    prefix = F.concat(F.col("event_type"), F.when(F.col("event_id") % 3 == 0, F.lit(" of ref")).otherwise(""))
+    signature = F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)
+    return e.select("event_id", keys.profile_hash(signature).alias("profile_hash"), keys.cache_key(F.col("event_type"), F.lit("v1"), F.col("user_id")).alias("cache_key"), keys.leaks(prefix, F.lit("of ref")).alias("leaks"))
+
+
+@query("""WITH declared AS (SELECT DISTINCT p_brand AS entity, p_type AS name, 'string' AS type, p_size % 2 = 0 AS nullable FROM part), ends AS (SELECT DISTINCT p_brand AS entity, unnest(['subject', 'object']) AS name, unnest([p_name, p_type]) AS target, unnest(['one', 'many']) AS cardinality FROM part WHERE p_brand > 'Brand#2'),
+    joint AS (SELECT entity, name, type, nullable, 'DECLARED' AS kind, NULL AS target, NULL AS cardinality FROM declared UNION ALL SELECT entity, name, 'endpoint', name = 'object', 'ENDPOINT', target, cardinality FROM ends)
+    SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY name, kind DESC, type, target NULLS FIRST, nullable)::INT AS place, name, type, nullable, kind, target, cardinality FROM joint""")
+def endpoint_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TGT-02: brands as entities, some of them edges from a name to a type."""
+    p = table(spark, sf_dir, "part")
+    declared = p.select(F.col("p_brand").alias("entity"), F.col("p_type").alias("name"), F.lit("string").alias("type"), (F.col("p_size") % 2 == 0).alias("nullable"))
+    end = lambda role, target, many: p.where("p_brand > 'Brand#2'").select(F.col("p_brand").alias("entity"), F.lit(role).alias("role"), F.col(target).alias("target"), F.lit(many).alias("cardinality"), F.lit(role == "object").alias("nullable"))
+    return targets.properties(declared, end("subject", "p_name", "one").unionByName(end("object", "p_type", "many")))
+
+
+@query("""WITH RECURSIVE needs AS (SELECT p_partkey AS stage, p_partkey // 7 AS needed FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 50 FROM part WHERE p_partkey > 0),
+    stale AS (SELECT p_partkey AS stage FROM part WHERE p_partkey % 101 = 13 OR p_partkey % 97 = 5 UNION SELECT n.stage FROM stale s JOIN needs n ON n.needed = s.stage)
+    SELECT p_partkey AS stage, CASE WHEN p_partkey IN (SELECT stage FROM stale) THEN 'run' ELSE 'skip' END AS state FROM part UNION ALL SELECT -1 - p_partkey, 'drop' FROM part WHERE p_partkey % 10 = 0""")
+def guarded_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TGT-04: parts as stages that need two others; some have changed since the last run, some are new, and some are gone."""
+    p = table(spark, sf_dir, "part")
+    stage = F.col("p_partkey").alias("stage")
+    content = lambda changed: targets.content_digests(p.select(stage, "p_name", "p_size", (F.col("p_retailprice") + F.when(changed, 1.0).otherwise(0.0)).alias("price")), "stage")
+    some = p.where("p_partkey > 0")
+    needs = some.select(stage, F.expr("p_partkey div 7").alias("needed")).union(some.select(stage, F.expr("p_partkey div 50")))
+    before = targets.chained(content(F.lit(False)), needs).where("stage % 97 <> 5").unionByName(p.where("p_partkey % 10 = 0").select((-1 - F.col("p_partkey")).alias("stage"), F.lit("gone").alias("digest")))
+    now = targets.chained(content((F.col("p_partkey") % 101 == 13) | (F.col("p_partkey") % 97 == 5)), needs)
+    return targets.stages_to_run(now, before)
+
+
+@query("""SELECT o_orderkey, 'status' AS asked FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'none' FROM orders UNION ALL SELECT o_orderkey, 'both' FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW'""")
+def optional_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-10: one lookup, asked with one, no and both of its parameters."""
+    o = table(spark, sf_dir, "orders")
+    asked = {"status": ("F", None), "none": (None, None), "both": ("F", "5-LOW")}
+    found = [filters.optional(o, {"o_orderstatus": s, "o_orderpriority": q}).select("o_orderkey", F.lit(n).alias("asked")) for n, (s, q) in asked.items()]
+    return reduce(DataFrame.unionByName, found)
