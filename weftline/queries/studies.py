@@ -18,15 +18,21 @@ from weftline.queries.base import query, table
 from weftline.queries.building import CLAIMS, claims
 from weftline.queries.catalog import CATALOG_SQL, catalog
 from weftline.queries.claims import SOURCES, _case, _case_sql
-from weftline.sources import files
+from weftline.sources import files, folders
 from weftline.sources.staging import new_path
 
 
+#: Files that a table is written as.
+PARTS = 8
+
+
 def _file(spark: SparkSession, name: str, head: list[str], rows: DataFrame) -> str:
-    """A file of tab-separated lines in the shared folder: ``head``, then ``rows`` with nulls as empty fields."""
+    """A folder of files of tab-separated lines, each with ``head`` and then its part of ``rows``, nulls as empty fields."""
     path = new_path(spark, name)
-    body = rows.select(F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns)).alias("value"))
-    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).union(body).coalesce(1).write.text(path)
+    line = F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns))
+    body = rows.select(F.pmod(F.xxhash64(line), F.lit(PARTS)).cast("int").alias("part"), F.lit(len(head)).alias("at"), line.alias("value"))
+    heads = spark.createDataFrame([(p, i, h) for p in range(PARTS) for i, h in enumerate(head)], "part int, at int, value string")
+    heads.union(body).repartition(PARTS, "part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
@@ -108,7 +114,7 @@ def scan_field_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-20."""
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("Table"), F.concat(F.lit("C"), "n_nationkey").alias("Column"), F.when(F.col("n_regionkey") > 0, F.concat(F.lit("about "), "n_name")).otherwise(" ").alias("Comment"))
     path = new_path(spark, "comments.csv")
-    n.coalesce(1).write.option("header", True).csv(path)
+    n.repartition(PARTS).write.option("header", True).csv(path)
     return files.field_comments(spark, path)
 
 
@@ -261,3 +267,39 @@ def model_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-08."""
     kind = F.element_at(F.array(*(F.lit(k) for k in [*lifecycle.MODEL_PARTS, "x", "y"])), (F.col("p_size") % 7 + 1).cast("int"))
     return lifecycle.model_order(table(spark, sf_dir, "part").select(kind.alias("kind"), F.col("p_name").alias("name")))
+
+
+def _study(spark: SparkSession, sf_dir: str) -> str:
+    """200 files of orders in two studies, each with its header: one has the columns in another order, and one more; every 29th order is a line with a field too many."""
+    o = table(spark, sf_dir, "orders")
+    i = F.col("o_orderkey")
+    number, odd = (i % 200).cast("int"), i % 2 == 1
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    plain = F.concat_ws("\t", text("o_orderkey"), text("o_custkey"), text("o_totalprice"))
+    other = F.concat_ws("\t", text("o_totalprice"), text("o_orderstatus"), text("o_orderkey"), text("o_custkey"))
+    line = F.concat(F.when(odd, other).otherwise(plain), F.when(i % 29 == 0, F.lit("\tmore")).otherwise(""))
+    body = o.select(F.when(odd, "study_b").otherwise("study_a").alias("study"), number.alias("n"), F.lit(9).alias("at"), line.alias("value"))
+    clinical = {
+        0: ["#Key\tWho\tPrice", "#the key\tthe customer\tpaid", "#STRING\tSTRING\tNUMBER", "KEY\tWHO\tPRICE"],
+        1: ["#Price\tStatus\tKey\tWho", "#paid\t\tthe key\tthe customer", "#NUMBER\tSTRING\tSTRING\tSTRING", "PRICE\tSTATUS\tKEY\tWHO"],
+    }
+    heads = spark.createDataFrame([("study_b" if n % 2 else "study_a", n, k, h) for n in range(200) for k, h in enumerate(clinical[n % 2])], "study string, n int, at int, value string")
+    path = new_path(spark, "studies")
+    heads.union(body).repartition(16, "n").sortWithinPartitions("study", "n", "at").select("study", "n", "value").write.partitionBy("study", "n").text(path)
+    return path
+
+
+@query("""SELECT o_orderkey::VARCHAR AS "KEY", o_custkey::VARCHAR AS "WHO", o_totalprice AS "PRICE", CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS "STATUS", CASE WHEN o_orderkey % 2 = 1 THEN 'b' ELSE 'a' END AS study FROM orders WHERE o_orderkey % 29 > 0""")
+def study_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-08, SRC-09, SRC-21, SRC-31: 200 files of two header variants in one scan."""
+    found = folders.read_files(spark, [_study(spark, sf_dir)], "clinical")
+    return found.select("KEY", "WHO", "PRICE", "STATUS", F.regexp_extract("source_file", "study=study_([ab])", 1).alias("study"))
+
+
+@query("""SELECT n::INT AS n, count(*) FILTER (o_orderkey % 29 > 0) AS n_rows, count(*) FILTER (o_orderkey % 29 = 0) AS n_malformed, 2 AS n_comments FROM (SELECT unnest(range(200)) AS n) LEFT JOIN orders ON o_orderkey % 200 = n GROUP BY n""")
+def study_folder_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-08, SRC-31: good and bad lines of each of 200 files, and how many columns their headers comment besides the key."""
+    path = [_study(spark, sf_dir)]
+    n = F.regexp_extract("source_file", "/n=([0-9]+)/", 1).cast("int").alias("n")
+    told = folders.comments(spark, path).where("column <> 'KEY'").groupBy(n).agg(F.count("*").cast("int").alias("n_comments"))
+    return folders.malformed(spark, path).select(n, "n_rows", "n_malformed").join(told, "n")

@@ -166,7 +166,8 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """SRC-18: tab-separated, all texts, quotes are letters like others."""
     names = lines(spark, path).first()["value"].rstrip("\r").split("\t")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.option("sep", "\t").option("header", True).option("quote", "").option("mode", "PERMISSIVE").csv(path, schema=schema)
+    rows = spark.read.option("sep", "\t").option("header", True).option("quote", "").option("mode", "PERMISSIVE").csv(path, schema=schema)
+    return rows.select(*(F.col(f"`{n}`") for n in names))  # without what the names of folders add
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
