@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.queries import building, catalog, claims, graphs, identities, interpretation, mapping, patterns, search, stores, streams, studies  # noqa: F401
+from weftline.queries import building, catalog, claims, graphs, identities, interpretation, mapping, patterns, search, stores, streams, studies, written  # noqa: F401
 from weftline.queries.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "vocab_resolve_stage"

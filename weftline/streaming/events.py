@@ -28,3 +28,8 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour
     timed = events.withWatermark("ts", late)
     grouped = timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def follow_windows(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append each window of ``windowed_counts`` to the files of ``path`` when it closes, once; then its state goes. Events of a window that has closed are dropped."""
+    return counts.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
