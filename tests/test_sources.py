@@ -143,3 +143,41 @@ def test_windowed_counts(spark, sf, tmp_path):
     q.awaitTermination()
     want = events.windowed_counts(source.drop("event_id")).select("start", "event_type", "n")
     assert rows(spark.table("counts").select("start", "event_type", "n")) == rows(want)
+
+
+def test_windows_close_once_and_late_events_are_dropped(spark, tmp_path):
+    schema = "ts timestamp, event_type string, value double"
+    at = lambda day, hour: f"2024-01-{day:02d} {hour:02d}:00:00"
+    log, out, cp = (str(tmp_path / x) for x in ("log", "out", "cp"))
+    seen = []
+    batches = [
+        [(at(1, 5), "a", 1.0), (at(1, 6), "a", 2.0), (at(2, 12), "a", 4.0), (None, "a", 9.0)],  # the mark is at day 2, 11 h: day 1 closes
+        [(at(1, 7), "a", 100.0), (at(2, 1), "b", 8.0)],  # day 1 is too late, day 2 is open
+        [(at(4, 0), "c", 16.0)],  # closes day 2
+        [(at(2, 2), "a", 100.0), (at(4, 1), None, 32.0)],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, "ts string, event_type string, value double").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").coalesce(1).write.mode("append").parquet(log)
+        counts = events.windowed_counts(spark.readStream.schema(schema).parquet(log), "1 day", "1 hour")
+        q = events.follow_windows(counts, out, cp)
+        q.awaitTermination()
+        rows_in_state = [s["numRowsTotal"] for s in q.lastProgress["stateOperators"]] if q.lastProgress else []
+        found = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(out)
+        seen.append(sorted((r["start"].day, r["event_type"], r["n"], r["total"]) for r in found.collect()))
+    assert seen[0] == [(1, "a", 2, 3.0)] and seen[1] == seen[0]
+    assert seen[2] == [(1, "a", 2, 3.0), (2, "a", 1, 4.0), (2, "b", 1, 8.0)] and seen[3] == seen[2]
+    assert rows_in_state == [2]  # only the open day is held: its two kinds of events
+
+
+def test_changes_by_state_are_those_of_the_batch(spark, tmp_path):
+    schema = "id string, status string, seq long"
+    batches = [[("a", "auto", 1), ("b", "pinned", 5), ("b", "other", 5), (None, "lost", 1), ("c", "x", None)], [("a", "accepted", 3), ("a", "rejected", 2), ("b", "auto", 4), ("a", None, 9)], [("a", "accepted", 3), ("b", "pinned", 5), ("d", "auto", 0)], [("d", "auto", 0)]]
+    log, out, cp = (str(tmp_path / x) for x in ("log", "out", "cp"))
+    written = []
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(log)
+        events.follow_changes(spark.readStream.schema(schema).parquet(log), out, cp).awaitTermination()
+        written.append(spark.read.schema(schema).parquet(out).count())
+    assert rows(events.newest(spark.read.schema(schema).parquet(out))) == [("a", None, 9), ("b", "other", 5), ("d", "auto", 0)]
+    assert written == [2, 3, 4, 4]  # late and repeated events write nothing
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")

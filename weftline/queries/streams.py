@@ -27,6 +27,17 @@ def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+@query("""SELECT user_id AS id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY user_id""")
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5: the same by state: three batches, the second older than the first, the third a repetition of both; what was written is never read by the stream."""
+    log, out, at = new_path(spark, "log"), new_path(spark, "changes"), new_path(spark, "follow")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
+    for part in (F.col("seq") % 2 == 1, F.col("seq") % 2 == 0, F.lit(True)):
+        rows.where(part).write.mode("append").parquet(log)
+        events.follow_changes(spark.readStream.schema(rows.schema).parquet(log), out, at).awaitTermination()
+    return events.newest(spark.read.schema("id long, status string, seq long").parquet(out))
+
+
 @query("""WITH e AS (SELECT ts, event_type, event_id % 50 = 7 AS late, date_trunc('day', ts) AS start FROM events), seen AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM e WHERE NOT late), final AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM e)
     SELECT start, event_type, count(*) AS n FROM e WHERE (NOT late OR start + INTERVAL 1 DAY > (SELECT mark FROM seen)) AND start + INTERVAL 1 DAY <= (SELECT mark FROM final) GROUP BY ALL""")
 def window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
