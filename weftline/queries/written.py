@@ -202,6 +202,8 @@ def connector_and_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in ("nation", "region"):
         source.table("sf", t).createOrReplaceTempView(f"{t}_{mark}")
     joined = plugins.Runtime(spark).execute(f"SELECT count(*) AS n_joined FROM nation_{mark} JOIN region_{mark} ON r_regionkey = n_regionkey")
+    for t in ("nation", "region"):  # the plan has what it needs
+        spark.catalog.dropTempView(f"{t}_{mark}")
     n = catalog.sample(source.table("sf", "nation"), 1_000_000).agg(F.count("*").alias("n_rows"))
     width = source.columns("sf", ["nation"]).agg(F.count("*").alias("n_columns"))
     one = lambda df: df.withColumn("_", F.lit(1))

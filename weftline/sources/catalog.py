@@ -15,7 +15,7 @@ def schemas(spark: SparkSession, pattern: str = "*") -> list[str]:
 
 def tables(spark: SparkSession, schema: str, pattern: str = "*") -> list[str]:
     """SRC-03: names that match a glob pattern."""
-    return [t.name for t in spark.catalog.listTables(schema) if fnmatch.fnmatch(t.name, pattern)]
+    return [t.name for t in spark.catalog.listTables(schema) if not t.isTemporary and fnmatch.fnmatch(t.name, pattern)]
 
 
 def columns(spark: SparkSession, schema: str, names: list[str]) -> DataFrame:
