@@ -14,7 +14,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 _own_dir: str | None = None
-_WANTED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_WANTED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 _before: dict[str, str | None] = {}
 _lock = threading.Lock()
 _writers = 0
@@ -38,7 +38,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 class _Settings:
-    """The session's settings while any table is written: shuffle files go as soon as their query has ended, and Python gets fewer rows at once.
+    """The session's settings while any table is written: shuffle files go as soon as their query has ended, and Python gets fewer rows and bytes at once.
 
     Tables written at the same time by several threads share them.
     """
