@@ -20,7 +20,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are scored like others; equal texts have equal scores, so repeated rows stay or go together; labels without a document are
     ignored, and without any label all scores are 0.5, so nothing stays; an empty table gives an empty one.
     """
-    return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cut(quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "good_quality")  # so that Python gets texts in small batches
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are masked, and n_chars follows. All rows stay: null texts and texts without secrets as they are, repeated rows alike, an empty table empty."""
     clean = secret_scan.redact(docs)
-    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut(clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))), "without_secrets")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
