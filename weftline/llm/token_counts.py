@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lean, new_path, text_chunks
+from .common import lean, new_path, text_chunks
 from .pieces import PieceEncoder
 
 
