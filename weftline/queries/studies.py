@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from weftline.functions import keys
 from weftline.functions import values as V
 from weftline.functions.refs import table_key
 from weftline.functions.text import canonical_name
-from weftline.operators import graph, identity, interpret, lifecycle, retrieve
+from weftline.operators import graph, interpret, lifecycle, retrieve
 from weftline.plans import build, fit, plugins
 from weftline.queries import mapping
 from weftline.queries.base import query, table
