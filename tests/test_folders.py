@@ -2,7 +2,8 @@
 
 import pytest
 
-from weftline.sources import folders
+from weftline.queries import studies
+from weftline.sources import files, folders
 
 
 def rows(df):
@@ -83,3 +84,14 @@ def test_which_files_are_taken(spark, tmp_path):
         write(tmp_path, f"study/{name}", "A\n")
     found = {(r["name"], r["kind"], r["study"], r["length"]) for r in folders.study_files(spark, str(tmp_path)).collect()}
     assert found == {(n, k, "study", 2) for n, k in {"data_clinical_sample.txt": "clinical", "data_linear_cna_hg19.seg": "segments", "data_mutations.txt": "mutations", "data_timeline_lab.txt": "timeline", "data_sv.txt": "variants"}.items()}
+
+
+def test_a_table_is_written_as_more_files_when_it_has_more_lines(spark, monkeypatch):
+    """Each task sorts the lines of one file; every file begins with the head."""
+    monkeypatch.setattr(studies, "LINES", 100)
+    head = ["# a note", "id\tname"]
+    path = studies._file(spark, "many.txt", head, spark.range(4000).selectExpr("id", "'n' || id % 7"))
+    found = spark.read.text(path, wholetext=True).select("value").collect()
+    texts = [r["value"].splitlines() for r in found]
+    assert len(texts) == 40 and all(t[:2] == head and 20 < len(t) < 200 for t in texts)
+    assert rows(files.read_tsv(spark, path)) == sorted(((str(i), f"n{i % 7}") for i in range(4000)), key=repr)

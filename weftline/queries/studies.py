@@ -20,17 +20,17 @@ from weftline.sources import files, folders
 from weftline.sources.staging import new_path
 
 
-#: Files that a table is written as.
-PARTS = 8
+#: Files that a table is written as, at least, and the lines of one of them, about.
+PARTS, LINES = 8, 500_000
 
 
 def _file(spark: SparkSession, name: str, head: list[str], rows: DataFrame) -> str:
     """A folder of files of tab-separated lines, each with ``head`` and then its part of ``rows``, nulls as empty fields."""
-    path = new_path(spark, name)
+    path, parts = new_path(spark, name), max(PARTS, -(-rows.count() // LINES))
     line = F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns))
-    body = rows.select(F.pmod(F.xxhash64(line), F.lit(PARTS)).cast("int").alias("part"), F.lit(len(head)).alias("at"), line.alias("value"))
-    heads = spark.createDataFrame([(p, i, h) for p in range(PARTS) for i, h in enumerate(head)], "part int, at int, value string")
-    heads.union(body).repartition(PARTS, "part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    body = rows.select(F.pmod(F.xxhash64(line), F.lit(parts)).cast("int").alias("part"), F.lit(len(head)).alias("at"), line.alias("value"))
+    heads = spark.createDataFrame([(p, i, h) for p in range(parts) for i, h in enumerate(head)], "part int, at int, value string")
+    heads.union(body).repartitionById(parts, "part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
