@@ -51,6 +51,15 @@ def test_canonical_texts(spark):
     assert [r["c"] for r in got] == [plain(r["kind"], r["json"]) for r in got]
 
 
+def test_texts_are_parsed_once_each_and_away_from_the_files_they_come_in(spark, name, tmp_path, monkeypatch):
+    """A source of one file does not make one task parse all, and a repeated text is parsed once."""
+    parse, counted = F.try_parse_json, spark.sparkContext.accumulator(0)
+    once = F.udf(lambda t: counted.add(1) or t).asNondeterministic()
+    monkeypatch.setattr(objects.F, "try_parse_json", lambda c: parse(once(c)))
+    objects.persist(spark, name, of(spark, *(("pin", str(i), '{"n":1}') for i in range(50) for _ in range(4))).coalesce(1), str(tmp_path / "t"))
+    assert objects.read(spark, name).count() == 50 and counted.value == 50
+
+
 def test_versions_of_all_kinds(spark, name, tmp_path):
     rng = random.Random(1)
     first = [(k, f"{i}", json.dumps({"n": i, "list": [2, 1], "deep": {"a": 1, "b": [i]}})) for k in objects.KINDS for i in range(5)]

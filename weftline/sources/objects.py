@@ -22,9 +22,9 @@ def canonical(kind: Column, payload: Column) -> Column:
             out = F.when((kind == k) & entry["key"].isin(fields) & out.startswith("["), in_order).otherwise(out)
         return F.concat(F.substring(F.to_json(F.array(entry["key"])), F.lit(2), F.length(F.to_json(F.array(entry["key"]))) - 2), F.lit(":"), out)
 
-    # map entries of a VARIANT are sorted by key, as its fields are
+    # map entries of a VARIANT are sorted by key, as its fields are: only kinds with such lists have to be taken apart
     whole = F.concat(F.lit("{"), F.array_join(F.transform(pairs, value), ","), F.lit("}"))
-    return F.when(plain.startswith("{"), whole).otherwise(plain)
+    return F.when(kind.isin(list(SETS)) & plain.startswith("{"), whole).otherwise(plain)
 
 
 def digest(kind: Column, payload: Column) -> Column:
@@ -55,13 +55,14 @@ def persist(spark: SparkSession, name: str, objects: DataFrame, path: str | None
 
     Of rows that share kind and id, the one with the largest canonical text counts. Rows without an id, of an unknown kind or with a text that is no JSON are left out.
     """
-    made = objects.where("id is not null").where(F.col("kind").isin(KINDS)).select("kind", F.col("id").cast("string").alias("id"), F.try_parse_json("json").alias("payload")).where("payload is not null")
+    texts = objects.where("id is not null").where(F.col("kind").isin(KINDS)).select("kind", F.col("id").cast("string").alias("id"), "json").distinct()  # texts are parsed once each, by as many tasks as there are partitions, not by those of the source's few files
+    made = texts.select("kind", "id", F.try_parse_json("json").alias("payload")).where("payload is not null")
     named = made.withColumn("text", canonical(F.col("kind"), F.col("payload")))
     best = named.groupBy("kind", "id").agg(F.max_by("payload", "text").alias("payload"), F.sha2(F.max("text"), 256).alias("digest"))
     if not spark.catalog.tableExists(name):
         fresh = best.withColumn("version", F.lit(1).cast("long"))
     else:
-        old = current(read(spark, name)).select("kind", "id", F.col("version").alias("last"), F.col("digest").alias("known"))
+        old = read(spark, name).groupBy("kind", "id").agg(F.max("version").alias("last"), F.max_by("digest", "version").alias("known"))  # payloads are not read
         met = best.join(old, ["kind", "id"], "left").where("known is null or known <> digest")
         fresh = met.withColumn("version", F.coalesce("last", F.lit(0)).cast("long") + 1)
     out = fresh.select("id", "version", "digest", "payload", "kind").write.mode("append").partitionBy("kind")
