@@ -169,6 +169,19 @@ def test_windows_close_once_and_late_events_are_dropped(spark, tmp_path):
     assert rows_in_state == [2]  # only the open day is held: its two kinds of events
 
 
+def test_changes_are_kept_by_spark_and_not_by_a_call_of_python_for_each_id(spark, tmp_path):
+    schema = "id long, status string, seq long"
+    log, out, cp = (str(tmp_path / x) for x in ("log", "out", "cp"))
+    for shift in (0, 1000):
+        spark.range(2000).selectExpr("id + %d as id" % shift, "'s' || id % 3 as status", "id as seq").write.mode("append").parquet(log)
+        q = events.follow_changes(spark.readStream.schema(schema).parquet(log), out, cp)
+        q.awaitTermination()
+        operators = [s.operatorName for s in q.lastProgress.stateOperators]
+        assert operators == ["stateStoreSave"], operators
+    written = spark.read.schema(schema).parquet(out)
+    assert written.count() == 3000 and events.newest(written).where("id >= 1000").agg({"seq": "sum"}).first()[0] == sum(range(1000, 2000)) + sum(range(1000, 2000))
+
+
 def test_changes_by_state_are_those_of_the_batch(spark, tmp_path):
     schema = "id string, status string, seq long"
     batches = [[("a", "auto", 1), ("b", "pinned", 5), ("b", "other", 5), (None, "lost", 1), ("c", "x", None)], [("a", "accepted", 3), ("a", "rejected", 2), ("b", "auto", 4), ("a", None, 9)], [("a", "accepted", 3), ("b", "pinned", 5), ("d", "auto", 0)], [("d", "auto", 0)]]

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from weftline.operators.ranked import pick
 from weftline.sources.scoped import KeyedTable
@@ -39,46 +36,28 @@ def follow_windows(counts: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return counts.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Newest(StatefulProcessor):
-    """Of each id, the largest seq so far; rows go on only if they are newer than it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best = None
-        for some in rows:
-            some = some[some["seq"].notna()]
-            if len(some):
-                top = some.sort_values(["seq", "status"], ascending=[False, True]).iloc[0]
-                if best is None or top["seq"] > best["seq"]:
-                    best = top
-        known = self.last.get()[0] if self.last.exists() else None
-        if best is not None and (known is None or int(best["seq"]) > known):
-            self.last.update((int(best["seq"]),))
-            yield pd.DataFrame({"id": [key[0]], "status": [best["status"]], "seq": [int(best["seq"])]})
-
-    def close(self) -> None:
-        pass
-
-
 def follow_changes(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append to the files of ``path`` the events of a stream (id, status, seq) that are newer than all before them of their id (D5); ``newest`` reads the last of each.
 
-    The largest seq of each id is kept as state on the executors, so a batch reads nothing that was written, and late and repeated events add nothing. The state
-    is a number for each id and stays; it is in RocksDB, so it need not fit in memory.
+    The newest event of each id is kept as state of a grouped minimum, with the time of the batch that brought it, so a batch reads nothing that was written; late and repeated events
+    leave an older time there and add nothing. The state is a row for each id and stays; it is in RocksDB, so it need not fit in memory. A batch is a folder, written anew if it is run again.
     """
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
     spark = log.sparkSession
     key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    schema = f"id {log.schema['id'].dataType.simpleString()}, status string, seq long"
     before = spark.conf.get(key, None)
     spark.conf.set(key, store)
     try:
-        newer = log.where("id is not null").groupBy("id").transformWithStateInPandas(_Newest(), schema, "Append", "None")
-        return newer.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        best = F.struct((-F.col("seq")).alias("_o"), "at", F.col("status").isNull().alias("_none"), "status", F.col("seq").cast("long").alias("seq"))
+        kept = log.where("id is not null and seq is not null").withColumn("at", F.current_timestamp()).groupBy("id").agg(F.min(best).alias("best"))
+        newer = kept.where(F.col("best.at") == F.current_timestamp()).select("id", "best.status", "best.seq")
+        return newer.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def newest(changes: DataFrame) -> DataFrame:
-    return pick(changes, ["id"], [-F.col("seq"), F.col("status")])
+    return pick(changes.select("id", "status", "seq"), ["id"], [-F.col("seq"), F.col("status")])
