@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.sources import sinks
+from weftline.sources import scoped, sinks
 from weftline.sources.scoped import KeyedTable, ScopedTable, part_of
 from weftline.streaming import events
 
@@ -113,6 +113,24 @@ def test_the_stored_side_of_a_merge_is_not_shuffled(spark, name):
     assert "PartitionFilters: [_part" in plan and "SelectedBucketsCount" in plan
 
 
+def test_a_large_merge_is_dealt_into_as_many_tasks_as_its_rows_need(spark, name, monkeypatch):
+    """No task joins or writes a whole bucket; each file still has rows of its bucket only, so small merges join them as they lie."""
+    rows_a_file = lambda t: [r["count"] for r in t.table.read().groupBy(F.input_file_name()).count().collect()]
+    first = spark.range(4000).select("id", F.lit(0.0).alias("confidence"), F.lit("old").alias("part"))
+    monkeypatch.setattr(scoped, "TASK_ROWS", 100)
+    t = KeyedTable(first, name, ["id"], parts=2, buckets=2)
+    t.merge(first, [F.col("part")])
+    assert t.read().count() == 4000 and max(rows_a_file(t)) < 100
+    t.merge(first.where("id % 2 = 0").withColumn("part", F.lit("new")), [F.col("part")])
+    t.delete(first.where("id % 4 = 0"))
+    assert max(rows_a_file(t)) < 100
+    monkeypatch.undo()
+    t.merge(spark.createDataFrame([(1, 1.0, "last"), (4, 1.0, "last")], first.schema), [F.col("part")])
+    assert t.touched(first)[1] == 2 and "Exchange hashpartitioning" not in t.read().groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert rows(t.read().groupBy("part").count()) == [("last", 2), ("new", 1000), ("old", 1999)]
+    assert rows(t.read().where("id in (1, 4)").select("id", "part")) == [(1, "last"), (4, "last")]
+
+
 def test_confident_merges_ties_repeats_and_nulls(spark, name):
     like = spark.createDataFrame([], "k string, old_k string, confidence double, part string")
     t = KeyedTable(like.drop("old_k"), name, ["k"], parts=4, buckets=2)

@@ -2,7 +2,8 @@
 
 A scope is a partition of an external table. A swap writes the new rows to a folder of their own and then points the scope at it: one change of the
 catalog, so readers see the old rows or the new ones, and a run that breaks off leaves every scope whole. Nothing is written over. Folders that no scope
-points at any more are removed by ``vacuum``. Tables that are merged by key are bucketed by it as well: their stored side is joined as it lies, without a shuffle.
+points at any more are removed by ``vacuum``. Tables that are merged by key are bucketed by it as well: their stored side is joined as it lies, without a shuffle,
+as long as a task can hold a bucket; larger merges are dealt into as many tasks as their rows need.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from weftline.sources.staging import new_path, observed, remove
 #: Scopes that one swap may replace: the driver holds their names and points each at its folder.
 MOST_SCOPES = 10_000
 
+#: Rows that one task of a merge joins or writes, about: with more, a merge is dealt into more tasks than there are buckets.
+TASK_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class Swapped:
@@ -79,8 +83,8 @@ class ScopedTable:
             inside = inside | mine
         return self.read().where(inside)
 
-    def swap(self, rows: DataFrame, scopes: list[tuple]) -> Swapped:
-        """Replace the rows of each of ``scopes`` (values in the order of the scope's columns) by those of ``rows``; a scope without rows is emptied.
+    def swap(self, rows: DataFrame, scopes: list[tuple], tasks: int | None = None) -> Swapped:
+        """Replace the rows of each of ``scopes`` (values in the order of the scope's columns) by those of ``rows``; a scope without rows is emptied. ``tasks``: see ``write``.
 
         Rows in none of them, also those with a null there, are left out and counted. ``rows`` may come from the table itself: what it reads stays until ``vacuum``.
         """
@@ -88,7 +92,7 @@ class ScopedTable:
         if len(scopes) > MOST_SCOPES:
             raise ValueError(f"a swap replaces {MOST_SCOPES} scopes at most")
         specs = [", ".join(f"`{c}` = {_literal(v)}" for c, v in zip(self.scope, s, strict=True)) for s in scopes]
-        folder, seen = self.write(rows, scopes)
+        folder, seen = self.write(rows, scopes, tasks)
         filled = {r[0] for r in self.spark.read.schema("_scope int").parquet(folder).select("_scope").distinct().collect()} if scopes else set()
         for i, spec in enumerate(specs):
             if i in filled:
@@ -98,8 +102,11 @@ class ScopedTable:
         self.spark.catalog.refreshTable(self.name)
         return Swapped(seen["n"], seen["inside"], seen["n"] - seen["inside"], len(scopes))
 
-    def write(self, rows: DataFrame, scopes: list[tuple]) -> tuple[str, dict]:
-        """The first step of a swap: the folder with the new rows, and how many there were, counted while they were written."""
+    def write(self, rows: DataFrame, scopes: list[tuple], tasks: int | None = None) -> tuple[str, dict]:
+        """The first step of a swap: the folder with the new rows, and how many there were, counted while they were written.
+
+        With a key, ``tasks``, a multiple of the buckets, write them (one for each bucket, unless given); each has rows of one bucket only.
+        """
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.spark.read.table(self.name).select(*self.scope).schema)
         numbers = self.spark.createDataFrame([(*s, i) for i, s in enumerate(scopes)], f"{kinds}, _scope int")  # ``MOST_SCOPES`` at most
         body = [c for c in self.spark.read.table(self.name).columns if c not in self.scope]
@@ -109,7 +116,7 @@ class ScopedTable:
         folder = f"{self.path}/_swaps/{uuid.uuid4().hex}"
         if self.key:
             beside = f"{self.name}__{uuid.uuid4().hex}"
-            met.repartition(self.buckets, *self.key).write.partitionBy("_scope").bucketBy(self.buckets, *self.key).sortBy(*self.key).option("path", folder).saveAsTable(beside)
+            met.repartition(tasks or self.buckets, *self.key).write.partitionBy("_scope").bucketBy(self.buckets, *self.key).sortBy(*self.key).option("path", folder).saveAsTable(beside)
             self.spark.sql(f"DROP TABLE {beside}")  # its files are outside the warehouse and stay
         else:
             met.write.partitionBy("_scope").parquet(folder)
@@ -148,14 +155,21 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self.table.read().drop("_part")
 
-    def touched(self, rows: DataFrame) -> list[int]:
-        """The parts that the keys of ``rows`` are in, ``parts`` at most."""
-        return sorted(r[0] for r in rows.select(part_of(self.key, self.parts).alias("p")).distinct().collect())
+    def touched(self, rows: DataFrame) -> tuple[list[int], int]:
+        """The parts that the keys of ``rows`` are in, ``parts`` at most, and the tasks for their stored rows and ``rows``: one for each bucket or, with more than ``TASK_ROWS`` in a bucket, a multiple of that."""
+        found = dict(map(tuple, rows.groupBy(part_of(self.key, self.parts).alias("p")).count().collect()))
+        touched, buckets = sorted(found), self.table.buckets
+        stored = self.table.rows_of([(p,) for p in touched]).count() if touched else 0  # from the files' footers
+        return touched, buckets * max(1, -(-(stored + sum(found.values())) // (buckets * TASK_ROWS)))
+
+    def dealt(self, rows: DataFrame, tasks: int | None) -> DataFrame:
+        """``rows`` as they lie if a task for each bucket can hold them, else dealt into ``tasks`` by the key."""
+        return rows.repartition(tasks, *self.key) if tasks and tasks > self.table.buckets else rows
 
-    def merged(self, new: DataFrame, wins: Column, touched: list[int]) -> DataFrame:
-        """Stored rows of the parts in ``touched`` with those of ``new`` (a row a key): where both have a key, the new row if ``wins``, which may use ``old.`` and ``new.`` names. The stored side is joined as it lies in its buckets."""
+    def merged(self, new: DataFrame, wins: Column, touched: list[int], tasks: int | None = None) -> DataFrame:
+        """Stored rows of the parts in ``touched`` with those of ``new`` (a row a key): where both have a key, the new row if ``wins``, which may use ``old.`` and ``new.`` names. The stored side is joined as it lies in its buckets, unless they are too large for a task each."""
         columns = [c for c in new.columns if c not in self.key]
-        side = lambda df, name: df.select(*self.key, F.struct(*(F.col(f"`{c}`") for c in columns)).alias(name))
+        side = lambda df, name: self.dealt(df.select(*self.key, F.struct(*(F.col(f"`{c}`") for c in columns)).alias(name)), tasks)
         met = side(self.table.rows_of([(p,) for p in touched]).drop("_part"), "old").join(side(new, "new"), self.key, "full_outer")
         row = F.when(F.col("old").isNull() | (F.col("new").isNotNull() & F.coalesce(wins, F.lit(False))), F.col("new")).otherwise(F.col("old")).alias("_row")
         return met.select(*self.key, row).select(*self.key, *(F.col(f"_row.`{c}`") for c in columns))
@@ -167,9 +181,9 @@ class KeyedTable:
         """
         named = rows.dropna(subset=self.key)
         new = ranked.pick(named, self.key, order).select(*self.read().columns)
-        touched = self.touched(named)
-        out = self.merged(new, F.lit(True) if wins is None else wins, touched)
-        return self.table.swap(out.withColumn("_part", part_of(self.key, self.parts)), [(p,) for p in touched])
+        touched, tasks = self.touched(named)
+        out = self.merged(new, F.lit(True) if wins is None else wins, touched, tasks)
+        return self.table.swap(out.withColumn("_part", part_of(self.key, self.parts)), [(p,) for p in touched], tasks)
 
     def merge_confident(self, rows: DataFrame, confidence: str = "confidence") -> Swapped:
         """Of stored and new rows the most confident one of each key; none counts as -1, and stored rows win ties (AGG-20)."""
@@ -179,6 +193,7 @@ class KeyedTable:
 
     def delete(self, keys: DataFrame) -> Swapped:
         """Remove the rows of ``keys``, from the parts they are in only."""
-        touched = self.touched(keys.dropna(subset=self.key))
-        stored = self.table.rows_of([(p,) for p in touched])
-        return self.table.swap(stored.join(keys.select(*self.key).distinct(), self.key, "left_anti"), [(p,) for p in touched])
+        touched, tasks = self.touched(keys.dropna(subset=self.key))
+        stored, gone = (self.dealt(x, tasks) for x in (self.table.rows_of([(p,) for p in touched]), keys.select(*self.key).distinct().withColumn("_gone", F.lit(True))))
+        left = stored.join(gone, self.key, "left").where("_gone is null").drop("_gone")  # an anti join would go below the dealing, to a task for each bucket
+        return self.table.swap(left, [(p,) for p in touched], tasks)
