@@ -104,6 +104,22 @@ def test_nearest_names(spark, monkeypatch, indexed):
     assert rows(got) == plain_nearest(wrong, known, 3)
 
 
+def test_keys_of_names_are_made_by_many_tasks_and_no_further_for_few_words(spark, monkeypatch):
+    """One small file of names is dealt out before it is taken apart, keys are never sent whole, and few words make no index by more deletions."""
+    monkeypatch.setattr(retrieve, "TASK_NAMES", 50)
+    made = {}
+    cut = retrieve.Steps.cut
+    monkeypatch.setattr(retrieve.Steps, "cut", lambda self, df, name: made.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and cut(self, df, name))
+    known = spark.createDataFrame([(f"name {i:04d}",) for i in range(300)], "known string").coalesce(1)
+    wrong = ["name 0000x", "nothing like it"]
+    got = rows(retrieve.suggestions(wrong, known))
+    assert "RoundRobinPartitioning(6)" in made["within_1"] and "Broadcast" not in made["within_1"] and "within_2" not in made
+    monkeypatch.setattr(retrieve, "FEW_WORDS", 0)
+    monkeypatch.setattr(retrieve, "SENT_WORDS", 0)
+    assert rows(retrieve.suggestions(wrong, known)) == got == plain_nearest(wrong, [r["known"] for r in known.collect()], 3)
+    assert "within_3" in made
+
+
 def test_nearest_names_of_nothing_and_of_few(spark):
     none = spark.createDataFrame([], "known string")
     assert retrieve.suggestions(["a"], none).count() == 0

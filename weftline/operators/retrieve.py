@@ -164,6 +164,20 @@ INDEXED = {1: 2000, 2: 62, 3: 23}
 #: Names that one slice of the last round has.
 SLICE = 10_000
 
+#: Words or names that one task takes apart or compares: a few bytes each, but thousands of keys.
+TASK_NAMES = 2_000
+
+#: So few words are compared with all names after one round: that costs less than the keys of all names with more deletions.
+FEW_WORDS = 1_000
+
+#: Rows of the last round's words, once for each slice, that are sent to all tasks at most.
+SENT_WORDS = 200_000
+
+
+def _spread(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows, few bytes and so few files, dealt out to tasks of ``TASK_NAMES``."""
+    return rows.repartition(max(1, -(-n // TASK_NAMES)))
+
 
 def _deletions(text: str, d: int) -> str:
     """SQL: all texts that are left of ``text`` when 0 to ``d`` of its characters are deleted, each once."""
@@ -178,8 +192,8 @@ def suggestions(wrong: DataFrame | list[str], known: DataFrame, k: int = 3) -> D
     """(wrong, known, distance, n): the k names nearest by edits, upper and lower case alike, ties to the smaller name (FN-22, SRT-06).
 
     wrong: the words asked about, as a list or a column ``wrong``; known: a column ``known``. Words and names that are d edits apart have a text in common when both lose up to d
-    characters, so names are found by an equality, with d growing until a word has k names. Only words that still lack some after that, or are too long to be indexed, are compared
-    with all names, slice by slice. Repeated words and names count once; nulls take no part.
+    characters, so names are found by an equality, with d growing until a word has k names or few words are left. Only words that still lack some after that, or are too long to be
+    indexed, are compared with all names, slice by slice. Repeated words and names count once; nulls take no part.
     """
     spark = known.sparkSession
     if isinstance(wrong, list):
@@ -187,19 +201,24 @@ def suggestions(wrong: DataFrame | list[str], known: DataFrame, k: int = 3) -> D
     steps = Steps(spark)
     names = steps.cut(known.where("known is not null").select("known", F.lower("known").alias("name")).distinct(), "names")
     left = steps.cut(wrong.where("wrong is not null").select("wrong", F.lower("wrong").alias("word")).distinct(), "words")
-    done = []
+    n_names, n_left, done = names.count(), left.count(), []
     for d, longest in INDEXED.items():
+        if d > 1 and n_left <= FEW_WORDS:
+            break
         fits = F.length("word") + d <= longest
-        asked = left.where(fits).select("wrong", "word", F.explode(F.expr(_deletions("word", d))).alias("key"))
-        index = names.where(F.length("name") <= longest).select("known", "name", F.explode(F.expr(_deletions("name", d))).alias("key"))
-        near = asked.join(index, "key").select("wrong", "known", F.levenshtein("word", "name").alias("distance")).where(F.col("distance") <= d).distinct()
+        asked = _spread(left.where(fits), n_left).select("wrong", "word", F.explode(F.expr(_deletions("word", d))).alias("key"))
+        index = _spread(names.where(F.length("name") <= longest), n_names).select("known", "name", F.explode(F.expr(_deletions("name", d))).alias("key"))
+        # by size of file either side could be sent, but it is that of the keys that counts; -1: more than d edits
+        near = asked.join(index.hint("merge"), "key").select("wrong", "known", F.levenshtein("word", "name", d).alias("distance")).where("distance >= 0").distinct()
         best = steps.cut(number(near, ["wrong"], [F.asc("distance"), F.asc("known")], "n", k), f"within_{d}")
         whole = steps.cut(best.where(F.col("n") == k).select("wrong"), "settled")
         done.append(best.join(whole, "wrong", "left_semi"))
         left = steps.cut(left.join(whole, "wrong", "left_anti"), "words")
-    slices = max(1, -(-names.count() // SLICE))
+        n_left = left.count()
+    slices = max(1, -(-n_names // SLICE))
     asked = left.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    dealt = names.withColumn("slice", F.pmod(F.xxhash64("known"), F.lit(slices)).cast("int"))
+    asked = F.broadcast(asked) if n_left * slices <= SENT_WORDS else asked
+    dealt = _spread(names, n_names).withColumn("slice", F.pmod(F.xxhash64("known"), F.lit(slices)).cast("int"))
     far = asked.join(dealt, "slice").select("wrong", "known", F.levenshtein("word", "name").alias("distance"))
     done.append(number(far, ["wrong"], [F.asc("distance"), F.asc("known")], "n", k))
     return reduce(DataFrame.unionByName, done).select("wrong", "known", "distance", "n")
